@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthline.llm import minhash
+from hearthline.llm import minhash, recompress
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), per_cent=85)
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompress.remove_repeats(_table(spark, sf_dir, "documents"), width=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash,)}
+    return {f.__name__: f for f in (op5_minhash, op9_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
