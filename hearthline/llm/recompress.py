@@ -1,4 +1,4 @@
-"""Removal of repeated passages: recompression finds the places, 128-bit names of whole windows confirm them.
+"""Removal of repeated passages: recompression finds the places, 96-bit names of whole windows confirm them.
 
 Every word is a symbol, named by its hash. In each round, symbols are parted in left and right ones by a hashed bit, and every adjacent
 (left, right) pair is replaced by one symbol, named by the hash of the two names: a name depends on the content alone, so all
@@ -125,7 +125,7 @@ def _flat(batch: pa.RecordBatch, column: str, a: int, b: int) -> tuple[pa.Array,
 
 
 def _window_rows(width: int):
-    """The windows that hold one of the document's shared anchors: two names, id, first word."""
+    """The windows that hold one of the document's shared anchors: a name of 64 and one of 32 bits, id, first word, and whether the document has the window before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +143,14 @@ def _window_rows(width: int):
                 if not len(wanted):
                     continue
                 h1 = window_names(word_hashes(data, begins, ends), width)[wanted]
-                h2 = window_names(word_hashes(data, begins, ends, seed=7), width)[wanted]
+                h2 = (window_names(word_hashes(data, begins, ends, seed=7), width)[wanted] >> U(32)).astype(np.uint32)
                 row = np.searchsorted(bounds, wanted, "right") - 1
+                order = np.lexsort((wanted, h2, h1, row))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (h1, h2, row)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array((wanted - bounds[row]).astype(np.int32))],
-                    names=["h1", "h2", "id", "at"],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array((wanted - bounds[row]).astype(np.int32)), pa.array(again)],
+                    names=["h1", "h2", "id", "at", "again"],
                 )
 
     return run
@@ -204,10 +207,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = found.groupBy(spread_key("name"), "name").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.max("again").alias("again")).where("lo < hi OR again").select("name")
     spans = found.select("id", "name", "at", "size").join(shared, "name", "left_semi").groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
     spans = materialise(spans.join(copies, "id", "left_anti"))
-    windows = materialise(slim.join(spans, "id").select("id", "text", "spans").mapInArrow(_window_rows(width), f"h1 long, h2 long, id {kind}, at int"))
+    discard(table)
+    windows = materialise(slim.join(spans, "id").select("id", "text", "spans").mapInArrow(_window_rows(width), f"h1 long, h2 int, id {kind}, at int, again boolean"))
     discard(spans)
-    earliest = windows.groupBy(spread_key("h1", "h2"), "h1", "h2").agg(F.min(F.struct("id", "at")).alias("e"), F.max(F.struct("id", "at")).alias("l")).where("e <> l").select("h1", "h2", F.col("e.id").alias("e_id"), F.col("e.at").alias("e_at"))
-    later = windows.join(earliest, ["h1", "h2"]).where("id <> e_id OR at <> e_at").groupBy("id").agg(F.collect_set("at").alias("starts"))
+    new = windows.where("NOT again").select("h1", "h2", "id", "at")
+    earliest = new.groupBy(spread_key("h1", "h2"), "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first")
+    later = new.join(earliest, ["h1", "h2"]).where("id > first").select("id", "at").unionByName(windows.where("again").select("id", "at"))
+    later = later.groupBy("id").agg(F.collect_set("at").alias("starts"))
     later = materialise(later.unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("starts"))))
     discard(windows)
     marked = slim.join(later.withColumn("copy", F.col("starts").isNull()), "id", "left").select("id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
