@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import minhash, mixing, recompress, tokens, topk, warc
+from hearthline.llm import minhash, mixing, recompress, tiling, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), cut=0.7)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), cover=0.5, least=4)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
@@ -43,7 +51,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tokens, op3_warc, op5_minhash, op8_mixing, op9_substring, op10_topk)}
+    return {f.__name__: f for f in (op2_tokens, op3_warc, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
