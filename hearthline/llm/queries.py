@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import minhash, mixing, recompress, tiling, tokens, topk, toxicity, warc
+from hearthline.llm import licences, minhash, mixing, recompress, tiling, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), per_cent=85)
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,8 +55,8 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tokens, op3_warc, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk)}
+    return {f.__name__: f for f in (op1_licences, op2_tokens, op3_warc, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_licences": licences.oracle(), "op3_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
