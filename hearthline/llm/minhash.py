@@ -131,9 +131,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialise(same.select("f1", "f2", "rep", "copies", "n", "bands"))
 
     buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
-    first = buckets.groupBy(spread_key("key"), "key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
+    first = buckets.groupBy(spread_key("key"), "key").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
     members = materialise(buckets.join(first, "key").select("key", "rep", "n", "first"))
-    stars = members.where(f"rep <> first.rep AND 100 * least(n, first.n) >= {per_cent} * greatest(n, first.n)").select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = members.select(F.col("rep").alias("id")).distinct()
     sets = materialise(slim.join(wanted, "id", "left_semi").mapInArrow(_set_maker("text", width), f"rep {kind}, set array<long>"))
 

@@ -54,4 +54,4 @@ def discard(df: DataFrame) -> None:
 
 def spread_key(*keys: str) -> Column:
     """A grouping expression to add to groupBy(*keys): the aggregate is then not partitioned by the keys alone, so a later join shuffles both of its sides and a hot key can be split."""
-    return F.xxhash64(*keys).alias("_spread")
+    return F.pmod(F.xxhash64(*keys), F.lit(8)).cast("byte").alias("_spread")
