@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import licences, minhash, mixing, recompress, tiling, tokens, topk, toxicity, warc
+from hearthline.llm import licences, minhash, mixing, pii, recompress, tiling, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), per_cent=85)
 
@@ -55,7 +63,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licences, op2_tokens, op3_warc, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk)}
+    return {f.__name__: f for f in (op1_licences, op2_tokens, op3_warc, op4_pii, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
