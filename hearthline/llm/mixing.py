@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.storage import discard, materialise
+from hearthline.llm.storage import discard, free_name, materialise
 
 #: Seeded starts tried for each source's sample; the one that comes nearest to the source's target is taken.
 STARTS = 32
@@ -42,7 +42,7 @@ def water_fill(sources: DataFrame, share: float, most: float) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: str | None = None) -> DataFrame:
     """Per row of docs: id, source, size, source_size, target, copies and taken (copies * size).
 
     Size is the number of words. Sources by code point, null last, weigh ``weights`` in turn. A source's rate is target / source_size: each document is
@@ -51,9 +51,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     nearest to the target is used. Reruns agree whatever the partitioning: ranks are by size and a hash of seed and id.
 
     A null text has size 0; a null source is one source; rows with equal ids, null ones too, are dealt as rows of their own.
-    A source of size 0 has target 0 and nothing taken.
+    A source of size 0 has target 0 and nothing taken. ``carry`` names a further column to return, as a key for joining.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(carry) if carry else F.lit(None).cast("long")).alias("carry"))
     slim = slim.withColumn("tie", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 16))
     # Ranks within a source without a task per source: ranges in order, each counted, then ranked inside.
     ranged = materialise(slim.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size"), F.col("tie")).withColumn("part", F.spark_partition_id()))
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
     ranked = ranged.withColumn("k", F.row_number().over(Window.partitionBy("source", "part").orderBy("size", "tie")) - 1)
     ranked = _beside(ranked, starts, "source", "part").withColumn("k", F.col("k") + F.col("skip"))
-    ranked = materialise(_beside(ranked, totals, "source").select("id", "source", "size", "source_size", "target", "whole", "part_of", "k"))
+    ranked = materialise(_beside(ranked, totals, "source").select("id", "source", "size", "carry", "source_size", "target", "whole", "part_of", "k"))
     discard(ranged)
 
     def extra(start: Column) -> Column:
@@ -78,7 +78,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     off = F.array(*(F.struct(F.abs(F.col(f"t{j}") + F.col("w") * F.col("s") - F.col("target")).alias("off"), F.lit(u).alias("start")) for j, u in enumerate(tries)))
     chosen = sums.select("source", F.array_min(off)["start"].alias("start"))
     out = _beside(ranked, chosen, "source").withColumn("copies", F.col("whole") + extra(F.col("start")))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([F.col("carry").alias(carry)] if carry else []))
+
+
+def repeat(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as mix(docs, **how) takes them, with a column copy (copy_ if docs has one) that counts from 1. Rows not taken go."""
+    row, copy = free_name(docs, "row"), free_name(docs, "copy")
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix(keyed, carry=row, **how).select(F.col(row), F.col("copies").alias(copy)).where(F.col(copy) > 0)
+    return keyed.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*docs.columns, copy)
 
 
 #: DuckDB: the rows of mix() with its defaults.

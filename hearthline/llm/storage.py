@@ -55,3 +55,11 @@ def discard(df: DataFrame) -> None:
 def spread_key(*keys: str) -> Column:
     """A grouping expression to add to groupBy(*keys): the aggregate is then not partitioned by the keys alone, so a later join shuffles both of its sides and a hot key can be split."""
     return F.pmod(F.xxhash64(*keys), F.lit(8)).cast("byte").alias("_spread")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of df has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
