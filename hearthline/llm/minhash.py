@@ -140,9 +140,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = materialise(_linked(stars, sets, per_cent))
     more = materialise(_linked(_rest_of_pairs(members, sets, edges, per_cent), sets, per_cent))
     label = components(edges.union(more))
-    for done in (members, sets):
-        discard(done)
     moved = reps.join(label.withColumnRenamed("v", "rep"), "rep", "left").where("copies > 1 OR m IS NOT NULL").select("f1", "f2", F.coalesce("m", "rep").alias("m"))
-    out = table.join(materialise(moved), ["f1", "f2"], "left")
+    out = table.join(moved, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("m", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
+    for done in (table, reps, members, sets, edges, more):
+        discard(done)
+    return out
