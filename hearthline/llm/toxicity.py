@@ -175,7 +175,7 @@ def learn(rows: DataFrame, most_rows: int = 20_000, most_terms: int = 300) -> Le
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), batch.column(1)], names=["a", "b", "toxic"])
 
     # bounded by most_rows
-    points = sample.mapInArrow(measure, "a double, b double, toxic int").orderBy("a", "b", "toxic").toPandas()
+    points = sample.mapInArrow(measure, "a double, b double, toxic int").toPandas().sort_values(["a", "b", "toxic"])
     return Lexicon(weights, bare.exceptions, _fit(points[["a", "b"]].to_numpy(), points["toxic"].to_numpy().astype(float)))
 
 
