@@ -129,7 +129,7 @@ def learn(rows: DataFrame, most_rows: int = 20_000, most_terms: int = 300) -> Le
 
     A term enters if the documents that have it are toxic far more often than others: by a likelihood ratio that
     allows for the number of terms tried, and in at least four documents. Equal texts count once. Phrases of a hit and a word beside it that occur in
-    three or more clean documents, and in four times as many of them as of toxic ones, are exceptions. The score's curve is fitted to the same sample. Without labels of both kinds the lexicon is empty, and every score is the share of toxic labels (0 without labels).
+    three or more clean documents, and in four times as many of them as of toxic ones, are exceptions. The score's curve is fitted to the same sample. Without labels of both kinds the lexicon is empty, and every score is the share of toxic labels (next to 0 without labels).
     """
     rows = rows.where("toxic IS NOT NULL").select("id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     n = rows.count()
