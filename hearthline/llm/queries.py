@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": licences.oracle(), "op3_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_licences": licences.oracle(), "op3_warc": warc.ORACLE, "op5_minhash": minhash.ORACLE, "op8_mixing": mixing.ORACLE, "op9_substring": recompress.ORACLE, "op10_topk": topk.ORACLE}

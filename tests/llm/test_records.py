@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import duckdb
+import pandas as pd
 import zstandard
 
 from hearthline.llm import licences, mixing, warc
@@ -18,7 +19,7 @@ def sql_rows(sql, **tables):
 
 def same_rows(got, want):
     def clean(v):
-        return None if v is None or v != v else round(float(v), 9) if not isinstance(v, str) else v
+        return None if pd.isna(v) else round(float(v), 9) if not isinstance(v, str) else v
 
     rows = lambda f: sorted((list(map(clean, r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False)), key=repr)
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
