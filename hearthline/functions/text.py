@@ -169,7 +169,7 @@ def facing(c: Column) -> Column:
 
 def address_part(address: Column, pattern: str) -> Column:
     """The last comma-parted piece of an address whose folded form has the pattern."""
-    pieces = F.transform(F.split(address, ","), F.trim)
+    pieces = F.transform(F.split(address, ","), lambda x: F.trim(x))
     return F.try_element_at(F.filter(pieces, lambda x: fold(x).rlike(pattern)), F.lit(-1))
 
 
