@@ -26,7 +26,7 @@ ACCENTS = {
 FOLD = str.maketrans({**LOOKALIKES, **SUBSTITUTES, **{c: a for a, many in ACCENTS.items() for c in many}, "ß": "ss", "­": "", "​": "", "‌": "", "‍": ""})
 GAPS = re.compile(r"[\W_]+")
 #: Lengths of the word beginnings that may stand in the lexicon beside whole words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def fold(text: str | None) -> str:
@@ -141,12 +141,12 @@ def learn(rows: DataFrame, most_rows: int = 20_000, most_terms: int = 300) -> Le
     if not toxic or not clean:
         p = toxic / max(totals["n"], 1)
         return Lexicon({}, (), (math.log(p / (1 - p)) if 0 < p < 1 else (50.0 if p else -50.0), 0.0, 0.0))
-    counted = materialise(_counted(sample, terms).where("toxic >= 4"))
+    counted = materialise(_counted(sample, terms).where("toxic + clean >= 4"))
     tried = counted.count()
     entropy = lambda k, rest: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (toxic + clean) / ((F.col("toxic") + F.col("clean")) * rest))).otherwise(0.0)
     ratio = 2 * (entropy("toxic", toxic) + entropy("clean", clean))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    chosen = counted.withColumn("ratio", ratio).withColumn("weight", weight).where((F.col("weight") > 2.5) & (F.col("ratio") > 2 * math.log(tried + 1) + 4) & (F.col("toxic") > F.col("clean")))
+    chosen = counted.withColumn("ratio", ratio).withColumn("weight", weight).where((F.col("weight") > 2.5) & (F.col("ratio") > 2 * math.log(tried + 1) + 4) & (F.col("toxic") >= 4) & (F.col("toxic") > F.col("clean")))
     weights = {r["term"]: float(r["weight"]) for r in chosen.orderBy(F.desc("ratio"), "term").limit(most_terms).collect()}
 
     def phrases(folded: str, held: list = []) -> set[str]:  # noqa: B006
