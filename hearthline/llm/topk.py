@@ -15,41 +15,38 @@ class Lists:
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.vectors, self.order, 0)
+        self.order_back, self.sorted_back = self.order[::-1].copy(), self.sorted[::-1].copy()
 
     def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best but ``own``, ties to the smaller id.
 
-        The lists are read from their best end for the query, in steps of a sixteenth; a component of 0 needs no list. What is seen of a
+        The lists are read from their best end for the query, first to the middle and then in steps of a sixteenth; a component of 0 needs no list. What is seen of a
         vector, with the list's last value read for what is not, bounds its score from above; with the list's worst value, from below. Reading ends when the
         upper bounds of all but a few fall below the k-th best lower bound; the scores of those few are then summed to the end.
         """
-        m = len(self.ids)
-        used = np.flatnonzero(q)
-        back = q[used] > 0
-        weight = q[used].astype(np.float64)
-        worst = np.where(back, self.sorted[0, used], self.sorted[-1, used]) * weight
-        seen = np.zeros((m, len(used)))
-        score = np.zeros(m)
-        step = max(1, -(-m // 16))
+        m, used = len(self.ids), np.flatnonzero(q)
         other = self.ids != own
         left = np.flatnonzero(other)
-        for d in range(0, m, step):
-            if m <= 4 * k or not len(used):
-                break
-            e = min(d + step, m)
-            rows = np.where(back, m - 1 - np.arange(d, e)[:, None], np.arange(d, e)[:, None])
-            at = self.order[rows, used]
-            score += np.bincount(at.ravel(), (self.sorted[rows, used] * weight).ravel(), m)
-            seen[at, np.arange(len(used))] = 1.0
-            if e < m // 2 or e == m:
-                continue
-            last = np.where(back, self.sorted[m - e, used], self.sorted[e - 1, used]) * weight
-            low = score + worst.sum() - seen @ worst
-            low[~other] = -np.inf
-            bar = np.partition(low, m - k)[m - k]
-            left = np.flatnonzero(other & (score + last.sum() - seen @ last >= bar))
-            if len(left) <= 4 * k:
-                break
+        if m > 4 * k and len(used):
+            pick = slice(None) if len(used) == len(q) else used
+            back, weight = q[used] > 0, q[used].astype(np.float64)
+            worst = np.where(back, self.sorted[0, used], self.sorted[-1, used]) * weight
+            seen, score, column = np.zeros(m * len(used)), np.zeros(m), np.arange(len(used))
+            d, e = 0, m // 2
+            while e < m:
+                at = np.where(back, self.order_back[d:e, pick], self.order[d:e, pick])
+                value = np.where(back, self.sorted_back[d:e, pick], self.sorted[d:e, pick]) * weight
+                last = value[-1]
+                score += np.bincount(at.ravel(), value.ravel(), m)
+                seen[(at * len(used) + column).ravel()] = 1.0
+                known = seen.reshape(m, len(used)) @ np.column_stack([worst, last])
+                low = score + worst.sum() - known[:, 0]
+                low[~other] = -np.inf
+                bar = np.partition(low, m - k)[m - k]
+                left = np.flatnonzero(other & (score + last.sum() - known[:, 1] >= bar))
+                if len(left) <= 4 * k:
+                    break
+                d, e = e, e + max(1, m // 16)
         exact = self.vectors[left] @ q.astype(np.float64)
         best = np.lexsort((self.ids[left], -exact))[:k]
         return self.ids[left[best]], exact[best].astype(np.int64)
@@ -89,7 +86,7 @@ def quantised(embedding: Column, scale: int = 1024) -> Column:
     return F.when(embedding.isNotNull() & sound, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale)))))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 6000, block_queries: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 3000, block_queries: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products, ties to the smaller id; all, if there are fewer than k.
 
     Queries meet all rows but their own in blocks of a bounded size, dealt by hash; every pair of a query block and a row block is one task's work and
