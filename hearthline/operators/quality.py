@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,14 +68,65 @@ def ledger(df: DataFrame, steps: list[str], reason: str = "reason") -> DataFrame
     return out.withColumn("percent", F.round(F.when(F.col("rows_in") > 0, 100.0 * F.col("removed") / F.col("rows_in")).otherwise(0.0), 2))
 
 
+def _terms(texts: pd.Series) -> pd.Series:
+    """Words of two or more letters and pairs of such in a row."""
+    return texts.str.findall(r"\b\w\w+\b").map(lambda w: w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+
+def _counted(texts: pd.Series) -> pd.DataFrame:
+    texts = texts.fillna("").str.lower()
+    return pd.DataFrame({"long": texts.str.len() >= 20, "terms": [[{"term": t, "n": n} for t, n in sorted(Counter(ts).items())] for ts in _terms(texts)]})
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _large_leaders(df: DataFrame, block: list[str], text: str, row_id: str, cut: float) -> DataFrame:
+    """The leaders of similar_leaders() by joins, for blocks of any size.
+
+    Rows of equal terms share a leader and are compared once. Two texts can only reach ``cut`` if they share a term among the first ones, the rarest
+    first, that are needed until the rest of the vector is shorter than ``cut``; such pairs are scored in full. Then, in rounds, rows without an undecided
+    earlier neighbour are kept and their neighbours go. The work grows with the pairs that are near, the rounds with the longest chain of such pairs.
+    """
+    counted = F.pandas_udf(_counted, "long boolean, terms array<struct<term:string,n:long>>")
+    rows = df.select(F.col(row_id).alias("id"), F.struct(*block).alias("b"), counted(F.coalesce(F.col(text), F.lit(""))).alias("c")).select("id", "b", "c.*")
+    rows = _cut(rows.withColumn("key", F.sha2(F.to_json("terms"), 256)))
+    blocks = rows.groupBy("b").agg(F.count("*").alias("rows")).join(rows.where("long").select("b").distinct(), "b", "left_semi")
+    vectors = rows.where(F.size("terms") > 0).groupBy("b", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("terms").alias("terms")).join(blocks, "b")
+    counts = vectors.select("b", "rep", "rows", "copies", F.explode("terms").alias("x")).select("b", "rep", "rows", "copies", "x.*")
+    seen = counts.groupBy("b", "term").agg(F.sum("copies").alias("df"))
+    weighted = counts.join(seen, ["b", "term"]).withColumn("w", F.col("n") * (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1))
+    own = Window.partitionBy("rep")
+    square = F.pow("w", F.lit(2))
+    before = F.sum(square).over(own.orderBy("df", "term")) - square
+    total = F.sum(square).over(own)
+    weighted = _cut(weighted.select("b", "rep", "term", (F.col("w") / F.sqrt(total)).alias("w"), ((total - before) / total >= (cut - 1e-9) ** 2).alias("first")))
+    first = weighted.where("first").select("b", "term", "rep")
+    pairs = first.withColumnRenamed("rep", "i").join(first.withColumnRenamed("rep", "j"), ["b", "term"]).where("i < j").select("i", "j").distinct()
+    left, right = (weighted.select(F.col("rep").alias(c), "term", F.col("w").alias(f"w{c}")) for c in "ij")
+    edges = _cut(pairs.join(left, "i").join(right, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("score")).where(F.col("score") >= cut - 1e-12).select("i", "j"))
+    gone, undecided = edges.select("j").limit(0), edges
+    while True:
+        kept = undecided.select("i").distinct().join(undecided.select(F.col("j").alias("i")), "i", "left_anti")
+        out = _cut(undecided.join(kept, "i", "left_semi").select("j").distinct())
+        if out.isEmpty():
+            break
+        gone = gone.unionByName(out)
+        undecided = _cut(undecided.join(out, "j", "left_anti").join(out.withColumnRenamed("j", "i"), "i", "left_anti"))
+    leader = edges.join(gone.withColumnRenamed("j", "i"), "i", "left_anti").groupBy(F.col("j").alias("rep")).agg(F.min("i").alias("leader"))
+    led = vectors.select("b", "key", "rep").join(leader, "rep", "left").select("b", "key", F.coalesce("leader", "rep").alias("leader"))
+    return rows.join(led, ["b", "key"], "left").select(F.col("id").alias(row_id), F.coalesce("leader", "id").alias("leader"))
+
+
 def similar_leaders(df: DataFrame, block: list[str], text: str, row_id: str = "row_id", cut: float = 0.9, most: int = 800) -> DataFrame:
     """row_id and leader: in each block, in order of row_id, a text whose TF-IDF cosine with a kept one is ``cut`` or more goes to the first such; others are kept (leader = row_id).
 
-    Terms are one and two words in a row; blocks of one row or of more than ``most`` keep all their rows, as do blocks where all texts are shorter than 20
-    characters. So a task never holds more than ``most`` texts of a block.
+    Terms are one and two words in a row; blocks of one row keep it, and blocks where all texts are shorter than 20 characters keep all. row_id is unique.
+    Blocks of up to ``most`` rows are worked out in one task each, larger ones by joins, with the same leaders; so a task never holds more than ``most`` texts of a block.
     """
     sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(*block)))
-    alone = sized.where((F.col("_n") < 2) | (F.col("_n") > most)).select(row_id, F.col(row_id).alias("leader"))
+    alone = sized.where("_n < 2").select(row_id, F.col(row_id).alias("leader"))
     kind = df.schema[row_id].dataType.simpleString()
 
     def lead(rows: pd.DataFrame) -> pd.DataFrame:
@@ -82,8 +134,7 @@ def similar_leaders(df: DataFrame, block: list[str], text: str, row_id: str = "r
         texts = rows[text].fillna("").str.lower()
         leader = rows[row_id].to_numpy().copy()
         if (texts.str.len() >= 20).any():
-            words = texts.str.findall(r"\b\w\w+\b")
-            terms = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+            terms = _terms(texts)
             place: dict[str, int] = {}
             counts = [np.unique([place.setdefault(t, len(place)) for t in ts], return_counts=True) if ts else (np.zeros(0, int), np.zeros(0, int)) for ts in terms]
             df_ = np.bincount(np.concatenate([c[0] for c in counts]), minlength=max(len(place), 1))
@@ -107,7 +158,10 @@ def similar_leaders(df: DataFrame, block: list[str], text: str, row_id: str = "r
         return pd.DataFrame({row_id: rows[row_id].to_numpy(), "leader": leader})
 
     grouped = sized.where((F.col("_n") >= 2) & (F.col("_n") <= most)).select(row_id, *block, text)
-    return alone.unionByName(grouped.groupBy(*block).applyInPandas(lead, f"{row_id} {kind}, leader {kind}"))
+    out = alone.unionByName(grouped.groupBy(*block).applyInPandas(lead, f"{row_id} {kind}, leader {kind}"))
+    if df.groupBy(*block).count().where(F.col("count") > most).isEmpty():
+        return out
+    return out.unionByName(_large_leaders(sized.where(F.col("_n") > F.greatest(F.lit(most), F.lit(1))), block, text, row_id, cut))
 
 
 def upsert(events: DataFrame, key: str, at: str, payload: str) -> DataFrame:

@@ -98,6 +98,23 @@ def test_similar_leaders(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8} or got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8}
 
 
+def test_similar_leaders_of_large_blocks(spark):
+    rng = random.Random(4)
+    base = [[rng.choice(("nhà", "đẹp", "gần", "chợ", "bán", "gấp", "hẻm", "xe", "hơi", "view", "sông", "lô")) + str(rng.randint(0, 9)) for _ in range(30)] for _ in range(8)]
+    def near():
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(30)] = "x" + str(rng.randint(0, 50))
+        return " ".join(w)
+    rows = [(i, rng.choice(("a", None)), near()) for i in range(200)] + [(900, "a", None), (901, "a", "!"), (902, None, "!"), (903, "s", "kurz und gut"), (904, "s", "kurz und gut"), (905, "t", "alone")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "row_id long, g string, t string")
+    lead = lambda most: {r.row_id: r.leader for r in quality.similar_leaders(df, ["g"], "t", most=most).collect()}
+    small = lead(800)
+    assert 10 < sum(k != v for k, v in small.items()) < 190 and lead(5) == lead(1) == small
+
+
+
 def test_relaxation_skips_what_would_leave_nothing(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "b", 9)], "row_id long, w string, p int")
     out, skipped = search.relax(df, [search.Condition("w", F.col("w") == "a"), search.Condition("p", F.col("p") > 7), search.Condition("not 5", F.col("p") != 5, unknown=True)])
