@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.functions.geo import cell, haversine_km, in_ring, plane_km
+from hearthline.functions.geo import RADIUS_KM, cell, haversine_km, in_ring, plane_km
 
 
 def quantile_table(df: DataFrame, groups: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 1) -> DataFrame:
@@ -101,11 +101,47 @@ def within(df: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     return df.where(box).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).where(F.col("km") <= km)
 
 
-def nearest(df: DataFrame, base: DataFrame, k: int, km: float, row_id: str = "row_id") -> DataFrame:
-    """l_row_id, r_row_id, km, rank: the k nearest base rows within km of each row, itself left out; of equal distances the smaller id."""
-    pairs = pairs_within(df.select(row_id, "lat", "lon"), base.select(row_id, "lat", "lon"), km).where(f"l_{row_id} <> r_{row_id}")
+def _cube(lat: str, lon: str) -> list[Column]:
+    """A place as a point of the sphere in kilometres, moved so that no coordinate is negative: straight distances order places as those on the ground do, at every latitude and across the date line."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [RADIUS_KM * (1 + c) for c in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+
+#: The side of the cube of level 0, beyond the Earth's diameter, and the finest level (cells of four metres).
+CUBE_KM, FINEST = 16384.0, 22
+
+
+def nearest(df: DataFrame, base: DataFrame, k: int, km: float | None = None, row_id: str = "row_id") -> DataFrame:
+    """l_row_id, r_row_id, km, rank: the k nearest base rows of each row, at any distance or within km, itself left out; of equal distances the smaller id. Rows without a place have none.
+
+    Cells halve from level to level. A row's own cell at the finest level where it holds more than k base rows bounds the distance of the k-th by its
+    diagonal, and the cells around one twice as wide hold everything within that: so one equi-join finds all, near in dense places and far in thin ones.
+    A far row is compared with all that is in the wide cells around it, however dense.
+    """
+    left, right = (d.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)").select(F.col(row_id).alias(f"{p}_{row_id}"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), *(c.alias(f"{p}_{n}") for n, c in zip("xyz", _cube("lat", "lon")))) for d, p in ((df, "l"), (base, "r")))
+    # of rows at one place only the first k + 1 can be among the k nearest of any row
+    place = Window.partitionBy("r_lat", "r_lon").orderBy(f"r_{row_id}")
+    right = right.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + 1).drop("_n")
+    cells = ["level", "gx", "gy", "gz"]
+    at = lambda p: [F.floor(F.col(f"{p}_{c}") * F.pow(F.lit(2.0), F.col("level")) / CUBE_KM).alias(f"g{c}") for c in "xyz"]
+    fine = F.explode(F.sequence(F.lit(1), F.lit(FINEST))).alias("level")
+    full = right.select("*", fine).groupBy("level", *at("r")).count().where(F.col("count") > k).drop("count")
+    own = left.select(f"l_{row_id}", fine, *(f"l_{c}" for c in "xyz")).select(f"l_{row_id}", "level", *at("l")).join(full, cells).groupBy(f"l_{row_id}").agg(F.max("level").alias("level"))
+    side = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    ready = left.join(own, f"l_{row_id}", "left").withColumn("level", F.greatest(F.coalesce("level", F.lit(0)) - 1, F.lit(0)))
+    ready = ready.select("*", *at("l"))
+    for g in cells[1:]:
+        ready = ready.withColumn("d", side).withColumn(g, F.col(g) + F.col("d")).drop("d")
+    found = ready.join(right.select("*", F.explode(F.sequence(F.lit(0), F.lit(FINEST - 1))).alias("level")).select("*", *at("r")), cells)
+    square = sum((F.pow(F.col(f"l_{c}") - F.col(f"r_{c}"), F.lit(2)) for c in "xyz"), F.lit(0.0))
+    # the own cell has half the side: three quarters of this square; a little more for rounding
+    wide = F.pow(F.lit(CUBE_KM) / F.pow(F.lit(2.0), F.col("level")), F.lit(2))
+    found = found.where((square <= 0.76 * wide) | (F.col("level") == 0)).where(f"l_{row_id} <> r_{row_id}")
+    found = found.select(f"l_{row_id}", f"r_{row_id}", haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")).alias("km"))
+    if km is not None:
+        found = found.where(F.col("km") <= km)
     order = Window.partitionBy(f"l_{row_id}").orderBy("km", f"r_{row_id}")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(f"l_{row_id}", f"r_{row_id}", "km", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def poi_features(df: DataFrame, poi: DataFrame, kinds: tuple[str, ...], km: float, row_id: str = "row_id") -> DataFrame:

@@ -171,6 +171,14 @@ def nearest_listings(spark: SparkSession, d: str) -> DataFrame:
     return _round(areas.nearest(p, p, k=5, km=4.0), 6)
 
 
+@query(f"""WITH {PLACES} SELECT a.row_id AS l_row_id, b.row_id AS r_row_id, round({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) AS km, row_number() OVER (PARTITION BY a.row_id ORDER BY {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, b.row_id)::INT AS rank
+FROM places a JOIN places b ON a.row_id <> b.row_id QUALIFY rank <= 5""")
+def nearest_anywhere(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every listing, however far."""
+    p = places(spark, d)
+    return _round(areas.nearest(p, p, k=5), 6)
+
+
 @query(f"""WITH {PLACES}, poi AS (SELECT ward AS kind, lat, lon FROM places WHERE row_id % 4 = 0), r AS (SELECT row_id, lat, lon FROM places),
 j AS (SELECT r.row_id, kind, {km_sql('r.lat', 'r.lon', 'poi.lat', 'poi.lon')} AS km FROM r JOIN poi ON {km_sql('r.lat', 'r.lon', 'poi.lat', 'poi.lon')} <= 8)
 SELECT r.row_id, round(min(km) FILTER (kind = 0), 6) AS near_0, count(*) FILTER (kind = 0) AS count_0, round(min(km) FILTER (kind = 1), 6) AS near_1, count(*) FILTER (kind = 1) AS count_1,

@@ -177,3 +177,19 @@ def test_a_stream_of_sightings_equals_the_batch(spark, tmp_path):
     got = {tuple(r) for r in sightings.latest(spark, f"{tmp_path}/out", "k").collect()}
     want = {tuple(r) for r in quality.upsert(spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), "k", "at", "p").collect()}
     assert got == want and (1, 8, 12, 3, "c") in got
+
+
+def test_nearest_at_any_distance(spark):
+    rng = random.Random(6)
+    pts = [(i, 21 + rng.gauss(0, 0.01), 105.8 + rng.gauss(0, 0.01)) for i in range(60)] + [(100 + i, 21.0, 105.8) for i in range(12)]
+    pts += [(200, 12.0, 109.0), (201, -45.0, 179.99), (202, -45.0, -179.99), (203, 90.0, 0.0), (204, 10.0, 106.7)]
+    df = spark.createDataFrame([*pts, (300, None, 1.0)], "row_id long, lat double, lon double")
+    def far(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * geo.RADIUS_KM * math.asin(math.sqrt(min(1.0, h)))
+    for km in (None, 1.0):
+        got = {(r.l_row_id, r["rank"]): r.km for r in areas.nearest(df, df, 4, km).collect()}
+        want = {(a[0], n): d for a in pts for n, d in enumerate(sorted(d for d in (far(a, b) for b in pts if b[0] != a[0]) if d <= (km or 1e9))[:4], 1)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    few = df.where("row_id >= 203")
+    assert sorted((r.l_row_id, r.r_row_id) for r in areas.nearest(few, few, 4).collect()) == [(203, 204), (204, 203)]
