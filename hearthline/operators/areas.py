@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.geo import RADIUS_KM, cell, haversine_km, in_ring, plane_km
+from hearthline.operators.quality import cut_lineage
 
 
 def quantile_table(df: DataFrame, groups: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 1) -> DataFrame:
@@ -209,7 +210,7 @@ def cascade(df: DataFrame, levels: list[tuple[str, list[str]]], least: int = 3)
 
 
 def left_out_median(value: str, group: list[str]) -> Column:
-    """The median of the others of the group, by ranks: two order statistics beside the middle suffice, whichever value goes."""
+    """The median of the others of the group, by ranks: two order statistics beside the middle suffice, whichever value goes. For small groups: each row holds its group's values; with_left_out_median() has no such bound."""
     w = Window.partitionBy(*group)
     values = F.sort_array(F.collect_list(value).over(w))
     at = F.array_position(values, F.col(value))
@@ -219,6 +220,32 @@ def left_out_median(value: str, group: list[str]) -> Column:
     return F.when(m > 0, (take(low) + take(high)) / 2)
 
 
+def with_left_out_median(df: DataFrame, value: str, group: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """Adds ``name``, left_out_median() for groups of any size, null groups being a group.
+
+    Values with their counts fall into buckets between approximate quantiles of their group. Counts of buckets tell which ones hold the (up to three) middle ranks; only
+    these are sorted, each by itself, and a row takes its two of the few values found. So no task holds or sorts more than about one bucket of a group.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.struct(*group).alias("g"), F.col(value).alias("v"))
+    cuts = known.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 100 * buckets).alias("cuts"))
+    counted = known.groupBy("g", "v").agg(F.count("*").alias("c")).join(cuts, "g").withColumn("bucket", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    counted = cut_lineage(counted)  # approximate quantiles may differ from run to run
+    upto = lambda *by: F.sum("c").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]))
+    full = counted.groupBy("g", "n", "bucket").agg(F.sum("c").alias("c")).withColumn("before", upto("g", "bucket") - F.col("c"))
+    # the middle of the n - 1 others: ranks low and high, each one further on if the row's own value comes first
+    low, high = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2) + 1
+    ranks = F.array(low, low + 1, high, high + 1)
+    held = lambda first, last: F.filter(ranks, lambda r: (r > first) & (r <= last))
+    full = full.where(F.size(held(F.col("before"), F.col("before") + F.col("c"))) > 0).select("g", "bucket", "before")
+    inside = counted.join(full, ["g", "bucket"]).withColumn("last", F.col("before") + upto("g", "bucket", "v"))
+    at = [F.max(F.when((r > F.col("last") - F.col("c")) & (r <= F.col("last")), F.col("v"))).alias(f"_{i}") for i, r in enumerate((low, low + 1, high, high + 1))]
+    middle = inside.groupBy("g").agg(*at, F.max("n").alias("_n"))
+    x = F.col(value)
+    take = lambda i: F.when(F.col(f"_{i}") < x, F.col(f"_{i}")).otherwise(F.col(f"_{i + 1}"))
+    out = df.withColumn("g_", F.struct(*group)).join(middle.withColumnRenamed("g", "g_"), "g_", "left")
+    return out.withColumn(name, F.when((F.col("_n") > 1) & x.isNotNull(), (take(0) + take(2)) / 2)).drop("g_", "_0", "_1", "_2", "_3", "_n")
+
+
 def smooth(df: DataFrame, value: str, size_km: float, sigma_km: float, reach: int = 3) -> DataFrame:
     """cx, cy, mean: the Gaussian-weighted geometric mean of value around each cell that has rows, in two passes along the axes over cell sums."""
     x, y = plane_km(F.col("lat"), F.col("lon"))

@@ -78,7 +78,8 @@ def _counted(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"long": texts.str.len() >= 20, "terms": [[{"term": t, "n": n} for t, n in sorted(Counter(ts).items())] for ts in _terms(texts)]})
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the checkpoint folder if there is one."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
@@ -91,7 +92,7 @@ def _large_leaders(df: DataFrame, block: list[str], text: str, row_id: str, cut:
     """
     counted = F.pandas_udf(_counted, "long boolean, terms array<struct<term:string,n:long>>")
     rows = df.select(F.col(row_id).alias("id"), F.struct(*block).alias("b"), counted(F.coalesce(F.col(text), F.lit(""))).alias("c")).select("id", "b", "c.*")
-    rows = _cut(rows.withColumn("key", F.sha2(F.to_json("terms"), 256)))
+    rows = cut_lineage(rows.withColumn("key", F.sha2(F.to_json("terms"), 256)))
     blocks = rows.groupBy("b").agg(F.count("*").alias("rows")).join(rows.where("long").select("b").distinct(), "b", "left_semi")
     vectors = rows.where(F.size("terms") > 0).groupBy("b", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("terms").alias("terms")).join(blocks, "b")
     counts = vectors.select("b", "rep", "rows", "copies", F.explode("terms").alias("x")).select("b", "rep", "rows", "copies", "x.*")
@@ -101,19 +102,19 @@ def _large_leaders(df: DataFrame, block: list[str], text: str, row_id: str, cut:
     square = F.pow("w", F.lit(2))
     before = F.sum(square).over(own.orderBy("df", "term")) - square
     total = F.sum(square).over(own)
-    weighted = _cut(weighted.select("b", "rep", "term", (F.col("w") / F.sqrt(total)).alias("w"), ((total - before) / total >= (cut - 1e-9) ** 2).alias("first")))
+    weighted = cut_lineage(weighted.select("b", "rep", "term", (F.col("w") / F.sqrt(total)).alias("w"), ((total - before) / total >= (cut - 1e-9) ** 2).alias("first")))
     first = weighted.where("first").select("b", "term", "rep")
     pairs = first.withColumnRenamed("rep", "i").join(first.withColumnRenamed("rep", "j"), ["b", "term"]).where("i < j").select("i", "j").distinct()
     left, right = (weighted.select(F.col("rep").alias(c), "term", F.col("w").alias(f"w{c}")) for c in "ij")
-    edges = _cut(pairs.join(left, "i").join(right, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("score")).where(F.col("score") >= cut - 1e-12).select("i", "j"))
+    edges = cut_lineage(pairs.join(left, "i").join(right, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("score")).where(F.col("score") >= cut - 1e-12).select("i", "j"))
     gone, undecided = edges.select("j").limit(0), edges
     while True:
         kept = undecided.select("i").distinct().join(undecided.select(F.col("j").alias("i")), "i", "left_anti")
-        out = _cut(undecided.join(kept, "i", "left_semi").select("j").distinct())
+        out = cut_lineage(undecided.join(kept, "i", "left_semi").select("j").distinct())
         if out.isEmpty():
             break
         gone = gone.unionByName(out)
-        undecided = _cut(undecided.join(out, "j", "left_anti").join(out.withColumnRenamed("j", "i"), "i", "left_anti"))
+        undecided = cut_lineage(undecided.join(out, "j", "left_anti").join(out.withColumnRenamed("j", "i"), "i", "left_anti"))
     leader = edges.join(gone.withColumnRenamed("j", "i"), "i", "left_anti").groupBy(F.col("j").alias("rep")).agg(F.min("i").alias("leader"))
     led = vectors.select("b", "key", "rep").join(leader, "rep", "left").select("b", "key", F.coalesce("leader", "rep").alias("leader"))
     return rows.join(led, ["b", "key"], "left").select(F.col("id").alias(row_id), F.coalesce("leader", "id").alias("leader"))

@@ -234,7 +234,7 @@ e AS (SELECT p.ward, {km_sql('p.lat', 'p.lon', 'o.lat', 'o.lon')} AS km FROM pla
 SELECT ward, count(*) AS n, round(quantile_cont(km, 0.5), 4) AS q50, round(quantile_cont(km, 0.9), 4) AS q90, round(quantile_cont(km, 0.95), 4) AS q95 FROM e GROUP BY ward""")
 def left_out_errors(spark: SparkSession, d: str) -> DataFrame:
     p = places(spark, d)
-    out = p.withColumn("olat", areas.left_out_median("lat", ["ward"])).withColumn("olon", areas.left_out_median("lon", ["ward"]))
+    out = areas.with_left_out_median(areas.with_left_out_median(p, "lat", ["ward"], "olat"), "lon", ["ward"], "olon")
     out = out.withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))).where("km IS NOT NULL")
     return _round(areas.quantile_table(out, ["ward"], "km", (0.5, 0.9, 0.95)))
 

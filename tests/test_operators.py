@@ -193,3 +193,16 @@ def test_nearest_at_any_distance(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
     few = df.where("row_id >= 203")
     assert sorted((r.l_row_id, r.r_row_id) for r in areas.nearest(few, few, 4).collect()) == [(203, 204), (204, 203)]
+
+
+def test_left_out_medians_without_whole_groups(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice((0, 0, 0, 1, 2, None)), None if i % 40 == 7 else float(rng.choice((rng.randint(0, 9), rng.randint(0, 500))))) for i in range(400)] + [(900, 9, 1.0), (901, 8, 1.0), (902, 8, 5.0), (903, 7, 1.0), (904, 7, 1.0), (905, 7, 4.0)]
+    df = spark.createDataFrame(rows, "row_id long, g int, v double")
+    for buckets in (2, 256):
+        out = areas.with_left_out_median(df, "v", ["g"], "m", buckets)
+        assert "CollectList" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "collect_list" not in plan
+        got = {r.row_id: r.m for r in out.collect()}
+        for i, g, x in rows:
+            others = [v for j, h, v in rows if h == g and j != i and v is not None]
+            assert got[i] == (pytest.approx(np.median(others)) if others and x is not None else None)
