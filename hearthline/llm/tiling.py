@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
     """Greedy string tiling: (place in item, place in text, length) of matches of at least ``least`` tokens, the longest first, none overlapping another in either.
 
     Each pass looks for the longest matches of unmarked tokens: Karp-Rabin hashes of all unmarked runs of s tokens of the
-    item, rolled over those of the text, and every hit compared and extended. s falls to ``least``.
+    item, rolled over those of the text, and every hit compared and extended. A match that another one cuts
+    counts with what is left of it. s falls to ``least``. Of equal lengths the first in the item goes first, then the first in the text.
     """
     a, b = item.tolist(), text.tolist()
     used_a, used_b = [False] * len(a), [False] * len(b)
@@ -63,11 +65,23 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
         if longest > 2 * s:
             s = longest
             continue
-        for k in sorted(found, reverse=True):
-            for i, j in found[k]:
-                if not any(used_a[i : i + k]) and not any(used_b[j : j + k]):
-                    used_a[i : i + k] = used_b[j : j + k] = [True] * k
-                    out.append((i, j, k))
+        # what is left free of a match that another one cut waits for its turn by length
+        waiting = [(-k, i, j) for k, places in found.items() for i, j in places]
+        heapify(waiting)
+        while waiting:
+            k, i, j = heappop(waiting)
+            k = -k
+            free = [not (x or y) for x, y in zip(used_a[i : i + k], used_b[j : j + k])]
+            if all(free):
+                used_a[i : i + k] = used_b[j : j + k] = [True] * k
+                out.append((i, j, k))
+                continue
+            start = 0
+            for n, f in enumerate([*free, False]):
+                if not f:
+                    if n - start >= s:
+                        heappush(waiting, (start - n, i + start, j + start))
+                    start = n + 1
         if s == least:
             break
         s = max(least, s // 2)
@@ -161,15 +175,15 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seeds(least: int):
-    """The distinct runs of each text."""
+    """The distinct runs of each text, and at how many places each stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch, "text"):
                 words, bounds = _tokens(data, offsets)
                 seeds, row = shingle_hashes(words, bounds, least)
-                both = np.unique(np.rec.fromarrays([row, seeds], names="row,seed"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(both["row"])), pa.array(both["seed"].view(np.int64))], names=["id", "seed"])
+                both, places = np.unique(np.rec.fromarrays([row, seeds], names="row,seed"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(both["row"])), pa.array(both["seed"].view(np.int64)), pa.array(places, pa.int64())], names=["key", "seed", "places"])
 
     return run
 
@@ -205,16 +219,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: i
     kind, item_kind = (x.schema["id"].dataType.simpleString() for x in (slim, items))
     out = f"id {kind}, item {item_kind}, {OUT}"
     words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 2
-    tokenised = items.mapInArrow(_tokenise, f"id {item_kind}, tokens array<long>").where(F.size("tokens") >= least)
     if words <= most_words:
-        table = tokenised.toArrow()
+        table = items.mapInArrow(_tokenise, f"id {item_kind}, tokens array<long>").where(F.size("tokens") >= least).toArrow()
         bench = _Bench(table.column("id").to_pylist(), [np.array(t, np.int64).view(np.uint64) for t in table.column("tokens").to_pylist()], least, cover)
         found = slim.mapInArrow(_search(bench, table.schema.field("id").type), out)
     else:
-        item_seeds = tokenised.select(F.col("id").alias("item")).distinct().join(items.withColumnRenamed("id", "item"), "item").select(F.col("item").alias("id"), "text").mapInArrow(_seeds(least), f"id {item_kind}, seed long").withColumnRenamed("id", "item")
-        pairs = slim.mapInArrow(_seeds(least), f"id {kind}, seed long").join(item_seeds, "seed").groupBy("id", "item").agg(F.count("*").alias("hits"))
-        sized = tokenised.withColumnRenamed("id", "item").withColumnRenamed("tokens", "item_tokens")
-        wanted = pairs.join(sized, "item").where(F.col("hits") * least >= cover * F.size("item_tokens"))
-        text = slim.mapInArrow(_tokenise, f"id {kind}, tokens array<long>")
-        found = wanted.join(text, "id").select("id", "item", "tokens", "item_tokens").mapInArrow(_tile_pairs(least, cover), out)
+        # keys of id and text are never null; where two rows share one, a pair more is compared
+        key = F.xxhash64("id", "text").alias("key")
+        tokens = lambda df, k: df.select(F.struct(key, "id").alias("id"), "text").mapInArrow(_tokenise, f"id struct<key:bigint,id:{k}>, tokens array<long>").select("id.key", "id.id", "tokens")
+        seeds = lambda df: df.select(key, "text").mapInArrow(_seeds(least), "key long, seed long, places long")
+        item_seeds = seeds(items).withColumnRenamed("key", "item_key")
+        pairs = seeds(slim).drop("places").join(item_seeds, "seed").groupBy("key", "item_key").agg(F.sum("places").alias("hits"))
+        sized = tokens(items, item_kind).where(F.size("tokens") >= least).withColumnsRenamed({"key": "item_key", "id": "item", "tokens": "item_tokens"})
+        # tiles that cover the threshold hold so many runs of the item, each place of a run counted
+        wanted = pairs.join(sized, "item_key").where(F.col("hits") * least >= cover * F.size("item_tokens"))
+        found = wanted.join(tokens(slim, kind), "key").select("id", "item", "tokens", "item_tokens").mapInArrow(_tile_pairs(least, cover), out)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})

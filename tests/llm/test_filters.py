@@ -116,6 +116,28 @@ def test_decontamination_small_and_joined(spark, docs, nothing):
         assert tiling.overlaps(nothing, bench, most_words=most).count() == tiling.overlaps(docs, bench.limit(0), most_words=most).count() == 0
 
 
+def test_tiles_equal_their_definition_on_longer_items():
+    rng = random.Random(8)
+    for n in range(60):
+        a = rng.sample(range(1, 200), 60) if n % 2 else [rng.randint(1, 6) for _ in range(50)]
+        b = []
+        while len(b) < 100:
+            i = rng.randrange(len(a))
+            b += a[i : i + rng.randint(3, 40)] + [1000 + len(b)] * rng.randint(0, 1)
+        got = tiling.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert sum(k for _, _, k in got) == brute_tiles(a, b, 3)
+
+
+def test_decontamination_repetitive_items_and_null_ids(spark):
+    rng = random.Random(9)
+    phrase, other = words(rng, 4) * 10, words(rng, 30)
+    bench = spark.createDataFrame([(1, " ".join(phrase)), (None, " ".join(other)), (2, "kurz")], "item_id int, text string")
+    table = spark.createDataFrame([(5, " ".join(phrase)), (None, " ".join(other)), (6, " ".join(words(rng, 50))), (7, None), (8, " ".join(words(rng, 9) + other)), (8, " ".join(words(rng, 9) + other))], "doc_id long, text string")
+    for most in (10**6, 1):
+        found = sorted(((r.doc_id, r.item_id, r.covered) for r in tiling.overlaps(table, bench, most_words=most).collect()), key=str)
+        assert found == [(5, 1, 40), (8, None, 30), (8, None, 30), (None, None, 30)]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
