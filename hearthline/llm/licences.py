@@ -62,20 +62,24 @@ def needles(templates: dict[str, str], tenths: int = TENTHS) -> list[str]:
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, tenths: int = TENTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, tenths: int = TENTHS, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
     """id, part, place, licence and dice: each line, and each block of two or more lines between blank ones, whose
     bigram set has a Dice coefficient of tenths / 10 or more with a template; the best one (of equals the last by name).
 
     Text is lower-cased and all but letters and digits is space. A template is only compared if the sizes allow the coefficient:
-    tenths * (a + b) <= 20 * min(a, b); a part with more words than that allows for the longest is passed over. Documents and parts without a word that some match must hold are passed over.
+    tenths * (a + b) <= 20 * min(a, b), a and b being numbers of distinct bigrams. Documents and parts without a word that some match must hold are passed over.
     Lines and blocks count from 1. Null and empty texts, and lines of fewer than two words, match nothing. Rows that
     repeat give rows that repeat; a null id is carried along.
+
+    With ``windows`` also notices inside longer lines or over several ones (part 'window', place counts words from 1): runs of as many words as a template has, across
+    lines, that begin with one of its bigrams and reach the coefficient. Of runs that overlap the one with most bigrams in common stays; runs whose
+    common bigrams all stand in lines and blocks already found are left out.
     """
     templates = TEMPLATES if templates is None else templates
-    known = [{"name": n, "grams": g, "n": len(g)} for n, t in sorted(templates.items()) if (g := _bigrams(_words(t)))]
+    known = [{"name": n, "grams": g, "n": len(g), "words": len(_words(t))} for n, t in sorted(templates.items()) if (g := _bigrams(_words(t)))]
     sizes = [t["n"] for t in known] or [0]
     least, most = -(-min(sizes) * tenths // (20 - tenths)), max(sizes) * (20 - tenths) // tenths
-    table = F.array(*(F.struct(F.lit(t["name"]).alias("name"), F.array(*map(F.lit, t["grams"])).alias("grams"), F.lit(t["n"]).alias("n")) for t in known))
+    table = F.array(*(F.struct(F.lit(t["name"]).alias("name"), F.array(*map(F.lit, t["grams"])).alias("grams"), F.lit(t["n"]).alias("n"), F.lit(t["words"]).alias("words"), F.lit(-(-tenths * t["n"] // (20 - tenths))).alias("need")) for t in known))
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # An array of one binds a value to a name, so that it is worked out once.
@@ -84,22 +88,51 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tenths: int =
     some = "|".join(n if len(n) > 4 else f"(?<![a-z0-9]){n}(?![a-z0-9])" for n in needles(templates, tenths)) or "(?!)"
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("part"), (i + 1).alias("place"), x.alias("s")))
     blocks = F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("block").alias("part"), (i + 1).alias("place"), x.alias("s")))
-    found = slim.where(F.lower("text").rlike(some)).select("id", F.explode(F.filter(F.concat(lines, F.filter(blocks, lambda x: F.trim(x["s"]).contains("\n"))), lambda x: F.lower(x["s"]).rlike(some))).alias("p"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("p.s"), "[^a-z0-9]+", " ")), " ")
-    words = F.split(F.trim(F.regexp_replace(F.lower("p.s"), "[^a-z0-9]+", " ")), " ")
-    follow = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    grams = once(words, lambda w: F.when((F.size(w) > F.greatest(F.lit(1), F.lit(least))) & (F.size(w) <= most + 1), follow(w)))
+    parts = F.filter(F.concat(lines, F.filter(blocks, lambda x: F.trim(x["s"]).contains("\n"))), lambda x: F.lower(x["s"]).rlike(some))
+    words = lambda s: F.split(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), " ")
+    follow = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    grams = lambda s: once(words(s), lambda w: F.when(F.size(w) > F.greatest(F.lit(1), F.lit(least)), F.array_distinct(follow(w))))
 
     def best(g: Column) -> Column:
         fits = F.filter(table, lambda t: tenths * (t["n"] + F.size(g)) <= 20 * F.least(t["n"], F.size(g)))
         return F.array_max(F.transform(fits, lambda t: F.struct((2.0 * F.size(F.array_intersect(t["grams"], g)) / (t["n"] + F.size(g))).alias("dice"), t["name"].alias("licence"))))
 
-    found = found.select("id", "p.part", "p.place", once(grams, lambda g: F.when(g.isNotNull(), best(g))).alias("best")).where(10 * F.col("best.dice") >= tenths)
-    return found.select(F.col("id").alias(id_col), "part", F.col("place").cast("long").alias("place"), F.col("best.licence").alias("licence"), F.col("best.dice").alias("dice"))
+    rated = F.col("id"), "p.part", "p.place", "p.s", once(grams(F.col("p.s")), lambda g: F.when(F.size(g) <= most, best(g))).alias("best")
+    if not windows:
+        found = slim.where(F.lower("text").rlike(some)).select("id", F.explode(parts).alias("p")).select(*rated).where(10 * F.col("best.dice") >= tenths)
+        return found.select(F.col("id").alias(id_col), "part", F.col("place").cast("long").alias("place"), F.col("best.licence").alias("licence"), F.col("best.dice").alias("dice"))
+
+    rate = lambda p: F.struct(p["part"].alias("part"), p["place"].alias("place"), p["s"].alias("s"), once(grams(p["s"]), lambda g: F.when(F.size(g) <= most, best(g))).alias("best"))
+    held = slim.where(F.lower("text").rlike(some)).withColumn("found", F.filter(F.transform(parts, rate), lambda p: 10 * p["best"]["dice"] >= tenths))
+    held = held.withColumn("grams", once(words(F.col("text")), follow))
+    # the bigrams, by place, that each part found takes up
+    count = lambda s: F.size(F.filter(words(s), lambda w: w != ""))
+    split = lambda p: F.when(p["part"] == "line", F.split("text", "\n")).otherwise(F.split("text", r"\n[ \t\r]*\n"))
+    held = held.withColumn("spans", F.transform("found", lambda p: once(count(F.array_join(F.slice(split(p), 1, p["place"] - 1), " ")), lambda n: F.struct((n + 1).alias("a"), (n + count(p["s"]) - 1).alias("b")))))
+    every = F.array(*map(F.lit, sorted({g for t in known for g in t["grams"]}) or [""]))
+    held = held.withColumn("near", F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains(every, g), i + 1)), lambda i: i.isNotNull()))
+
+    def window(t: Column, hits: Column, p: Column) -> Column:
+        own, inside = F.array_distinct(F.slice("grams", p, t["words"] - 1)), F.filter(hits, lambda q: (q >= p) & (q <= p + t["words"] - 2))
+        return once(F.struct(own.alias("g"), F.size(F.array_intersect(t["grams"], own)).alias("same"), inside.alias("hits")), lambda x: F.struct(x["same"].alias("same"), (2.0 * x["same"] / (t["n"] + F.size(x["g"]))).alias("dice"), t["name"].alias("licence"), (-p).alias("from"), x["hits"].alias("hits")))
+
+    def runs(t: Column, near: Column) -> Column:
+        hits = F.filter(near, lambda p: F.array_contains(t["grams"], F.element_at("grams", p)))
+        full = lambda h: F.filter(h, lambda p, k: F.coalesce(F.get(h, k + t["need"] - 1) <= p + t["words"] - 2, F.lit(False)))
+        return once(hits, lambda h: F.filter(F.transform(full(h), lambda p: window(t, h, p)), lambda x: 10 * x["dice"] >= tenths))
+
+    new = lambda x, spans: F.exists(x["hits"], lambda q: ~F.exists(spans, lambda s: (q >= s["a"]) & (q <= s["b"])))
+    held = held.withColumn("runs", once(F.col("near"), lambda near: F.flatten(F.transform(table, lambda t: runs(t, near)))))
+    held = held.withColumn("runs", once(F.col("spans"), lambda spans: F.reverse(F.array_sort(F.filter("runs", lambda x: new(x, spans))))))
+    meet = lambda x, y: (-x["from"] <= F.array_max(y["hits"])) & (-y["from"] <= F.array_max(x["hits"]))
+    held = held.withColumn("runs", F.aggregate("runs", F.slice("runs", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: meet(x, y)), kept).otherwise(F.concat(kept, F.array(x)))))
+    row = lambda part, place, x: F.struct(part.alias("part"), place.cast("long").alias("place"), x["licence"].alias("licence"), x["dice"].alias("dice"))
+    rows = F.concat(F.transform("found", lambda p: row(p["part"], p["place"], p["best"])), F.transform("runs", lambda x: row(F.lit("window"), -x["from"], x)))
+    return held.select(F.col("id").alias(id_col), F.explode(rows).alias("r")).select(id_col, "r.*")
 
 
 def oracle() -> str:
-    """DuckDB SQL for the rows of scan() with its defaults."""
+    """DuckDB SQL for the rows of scan() with its defaults, save for parts with more words than the longest template allows."""
     rows = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in sorted(TEMPLATES.items()))
     norm = r"string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"

@@ -32,7 +32,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(_table(spark, sf_dir, "documents"))
+    return licences.scan(_table(spark, sf_dir, "documents"), windows=True)
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,19 @@ def test_licences_equal_their_sql(spark, docs, nothing):
     assert licences.scan(known).where("part = 'block' AND licence = 'BSD grant'").count() > 0
     assert licences.scan(nothing).count() == 0 and licences.scan(docs.withColumn("part", docs.size)).count() == 0
 
+def test_licences_repeated_embedded_and_wrapped(spark):
+    t = licences.TEMPLATES
+    fill = " ".join(f"w{i}" for i in range(60))
+    w = t["Apache-2.0 header"].split()
+    wrapped = "/* Copyright 2020 J. Doe\n" + "".join(f" * {' '.join(w[i : i + 7])}\n" for i in range(0, len(w), 7)) + " */\n" + "".join(f"int x{i} = f(y{i}, z{i});\n" for i in range(30))
+    texts = [t["MIT grant"] + " " + t["MIT grant"], f"{fill} {t['GPL-3.0']} {fill}", wrapped, f"{fill} {t['MIT']} {fill}\n{t['BSD-3-Clause']}", t["GPL-3.0"] + "\n" + t["GPL-3.0"], fill + " licensed under the licence", "x"]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[1])], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.part, r.place, r.licence) for r in licences.scan(df, windows=True).where("part = 'window' OR doc_id = 0").collect()), key=str)
+    assert got == sorted([(0, "line", 1, "MIT grant"), (1, "window", 61, "GPL-3.0"), (2, "window", 5, "Apache-2.0 header"), (3, "window", 61, "MIT"), (None, "window", 61, "GPL-3.0")], key=str)
+    plain = lambda r: (r.doc_id, r.part, r.place, r.licence, r.dice)
+    assert {plain(r) for r in licences.scan(df).collect()} == {plain(r) for r in licences.scan(df, windows=True).where("part <> 'window'").collect()}
+
+
 
 def test_every_match_holds_a_needle():
     needles = licences.needles(licences.TEMPLATES)
