@@ -1,45 +1,48 @@
-"""Removal of repeated passages: recompression finds the places, 96-bit names of whole windows confirm them.
-
-Every word is a symbol, named by its hash. In each round, symbols are parted in left and right ones by a hashed bit, and every adjacent
-(left, right) pair is replaced by one symbol, named by the hash of the two names: a name depends on the content alone, so all
-documents on all executors name equal runs alike without a shared dictionary. Equal stretches of text thus
-get equal symbols everywhere but at their ends, where a neighbour outside may take part. How far the ends reach follows from the
-window's own symbols: each round, a first symbol that is a right one and a last symbol that is a left one may be lost.
-The longest symbol inside is the window's anchor. Windows can only be equal if their anchors are, so names that occur
-twice show where windows need comparing. A window without an inner symbol of MIN_WORDS words (as in a run of one word, of which no pair
-is left and right) is its own anchor.
+"""Removal of repeated passages by recompression: Spark rounds name words, runs and pairs for the whole corpus, and symbols that stand alone rule windows out.
+
+The corpus is cut into slices of some megabytes, whole documents each. A round looks at the slices' symbols, proposes what to replace
+(first every distinct word; then every maximal run of one symbol, and every adjacent pair of a left and a right symbol outside of runs, the two parted by a hashed bit of
+the name), and groups the proposals of all slices. A proposal made at two or more places gets a name, a number that stands for that word, run or pair and for no
+other; one made at a single place gets none. The names go back to the slices, which replace their symbols, and the next round follows. Equal stretches of text thus
+get equal symbols everywhere but at their ends, where a neighbour outside may take part; how far the ends reach follows from the window's own symbols (a round may
+cost the first and the last run, and a neighbour that would pair with a single one of these).
+
+A window with an inner symbol without a name occurs once and is out. The windows left after the last round are compared
+by digests of their words' names, which the first round made one to one with the words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.storage import discard, materialise, spread_key
-from hearthline.llm.words import M1, M2, M3, U, mix, slices, word_hashes, word_spans
+from hearthline.llm.words import M3, SEPARATOR, U, mix, slices, word_hashes, word_spans
 
-ROUNDS, MIN_WORDS = 4, 3
+#: Rounds after the naming of words.
+ROUNDS = 3
+#: Bytes of text in a slice; a longer document is a slice of its own.
+SLICE = 4 << 20
+MADE = pa.struct([("first", pa.int64()), ("second", pa.int64()), ("multi", pa.bool_())])
+MADE_DDL = "array<struct<first:bigint,second:bigint,multi:boolean>>"
 
 
-def window_names(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words, by doubling."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    name, done, part, size = None, 0, words, 1
-    with np.errstate(over="ignore"):
-        while True:
-            if width & size:
-                name = part if name is None else mix(mix(name[: len(part) - done] * M3) + part[done:])
-                done += size
-            if done == width:
-                return name[:n]
-            part = mix(mix(part[:-size] * M1) + part[size:])
-            size *= 2
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def inner_windows(bounds: np.ndarray, width: int) -> np.ndarray:
@@ -49,109 +52,179 @@ def inner_windows(bounds: np.ndarray, width: int) -> np.ndarray:
     return np.repeat(bounds[:-1] - first[:-1], many) + np.arange(first[-1])
 
 
-def anchors(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words and lengths in words of the distinct anchors of all windows."""
-    starts = inner_windows(bounds, width)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts
-    name, at, size = words, np.arange(len(words)), np.ones(len(words), np.int64)
-    edge = np.zeros(len(words) + 1, bool)  # whether a row starts at the symbol
-    edge[bounds[:-1]] = True
-    low, high = starts, starts + width - 1
+def distinct_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word the number of its distinct word, and for these a place where it stands: by hashes, compared byte for byte."""
+    _, first, local = np.unique(word_hashes(data, begins, ends), return_index=True, return_inverse=True)
+    like, size = first[local], ends - begins
+    if (size == size[like]).all():
+        at = np.flatnonzero(~SEPARATOR[data])
+        if (data[at] == data[at + np.repeat(begins[like] - begins, size)]).all():
+            return local, first
+    raw, place = data.tobytes(), {}
+    local = np.array([place.setdefault(raw[s:e], len(place)) for s, e in zip(begins.tolist(), ends.tolist())], np.int64)
+    return local, np.unique(local, return_index=True)[1]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Rising numbers, as their steps."""
+    return np.diff(x, prepend=0).astype(np.int32).tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, np.int32), dtype=np.int64)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per slice: its documents' ids, numbers of words and digests, its distinct words, and which of these stands at every place."""
+    part, k = TaskContext.get().partitionId(), 0
+    for batch in gathered(batches, SLICE):
+        for a, b, data, offsets in slices(batch, "text", SLICE):
+            begins, ends, bounds = word_spans(data, offsets)
+            local, first = distinct_words(data, begins, ends)
+            raw = data.tobytes()
+            digests = np.frombuffer(b"".join(hashlib.sha256(b" ".join(raw[s:e].split())).digest()[:16] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.int64)
+            row = [
+                pa.array([part << 32 | k], pa.int64()), pa.ListArray.from_arrays([0, b - a], batch.column(0).slice(a, b - a)), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (np.diff(bounds), digests[::2], digests[1::2])),
+                pa.array([[raw[s:e] for s, e in zip(begins[first].tolist(), ends[first].tolist())]], pa.list_(pa.binary())), pa.array([(np.bincount(local, minlength=len(first)) > 1).tolist()], pa.list_(pa.bool_())),
+                pa.array([local.astype(np.int32).tobytes()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(row, names=["slice", "ids", "n", "f1", "f2", "words", "multi", "local"])
+            k += 1
+
+
+def _left(name: np.ndarray, r: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for r in range(ROUNDS):
-            left = (mix(name ^ U(r + 1)) >> U(63)).astype(bool)
-            low = low + ~left[np.minimum(low, len(name) - 1)]
-            high = high - left[np.maximum(high, 0)]
-            joins = np.zeros(len(name) + 1, bool)  # whether the symbol is taken by the one before it
-            joins[1:-1] = left[:-1] & ~left[1:] & ~edge[1 : len(name)]
-            keep = np.flatnonzero(~joins[:-1])
-            to = np.append(np.cumsum(~joins[:-1]) - 1, len(keep))
-            pair = np.flatnonzero(joins[keep + 1])
-            second = keep[pair] + 1
-            low, high = to[np.minimum(low, len(name))], np.where(high < 0, -1, to[np.maximum(high, 0)])
-            made = mix(mix(name[second - 1] * M2) + name[second])
-            longer = size[second]
-            name, at, size, edge = name[keep], at[keep], size[keep], edge[np.append(keep, len(name))]
-            name[pair] = made
-            size[pair] += longer
-    best, most = low.copy(), np.zeros(len(low), np.int64)
-    live = np.flatnonzero(low <= high)
-    step = 0
-    while len(live):
-        here = low[live] + step
-        better = (size[here] > most[live]) | (size[here] == most[live]) & (name[here] < name[best[live]])
-        best[live[better]], most[live[better]] = here[better], size[here[better]]
-        step += 1
-        live = live[here < high[live]]
-    chosen = np.unique(best[most >= MIN_WORDS])
-    alone = starts[most < MIN_WORDS]
-    own = mix(window_names(words, width)[alone] ^ M1) if len(alone) else np.zeros(0, np.uint64)
-    return np.concatenate([name[chosen], own]), np.concatenate([at[chosen], alone]), np.concatenate([size[chosen], np.full(len(alone), width)])
-
-
-def _anchor_rows(width: int):
-    """Per document: a 128-bit name of its words, n_words, and its anchors' names, starts and sizes; ``again``: the name occurs before in the document."""
+        return (mix(name.astype(np.uint64) ^ (U(r + 1) * M3)) >> U(63)).astype(bool)
+
+
+class Symbols:
+    """The symbols of a slice: names (0 for none), the first symbol of every row and the end, and the windows not ruled out with their first and last inner symbols (0 and -1: none)."""
+
+    def __init__(self, name: np.ndarray, bounds: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.name, self.bounds, self.at, self.low, self.high = name, bounds, at, low, high
+
+    def propose(self, r: int) -> None:
+        """Find what round r replaces: ``first`` and ``second`` are the distinct pairs, or the symbols of runs and their lengths below 0; ``multi`` says which stand at two or more places."""
+        name, n = self.name, len(self.name)
+        edge = np.zeros(n + 1, bool)
+        edge[self.bounds] = True
+        meet = (name[1:] > 0) & (name[:-1] > 0) & ~edge[1:n]
+        runs, self.joins, self.left = np.zeros(n + 1, bool), np.zeros(n, bool), _left(name, r)
+        runs[1:n] = meet & (name[1:] == name[:-1])  # whether the symbol repeats the one before it
+        self.single = ~(runs[:-1] | runs[1:])
+        self.joins[1:] = runs[1:n] | meet & self.left[:-1] & ~self.left[1:] & self.single[1:] & self.single[:-1]
+        self.keep = np.flatnonzero(~self.joins)
+        count = np.diff(np.append(self.keep, n))
+        self.which = np.flatnonzero(count > 1)
+        at = self.keep[self.which]
+        first, second = name[at], np.where(self.single[at], name[np.minimum(at + 1, n - 1)], -count[self.which])
+        order = np.lexsort((second, first))
+        new = np.ones(len(order), bool)
+        new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.first, self.second = first[order][new], second[order][new]
+        self.multi = np.bincount(self.inverse, minlength=len(self.first)) > 1
+
+    def replace(self, at: np.ndarray, given: np.ndarray) -> None:
+        """Replace what propose() found by the names given to the proposals ``at``, and rule out windows with an inner symbol that has none."""
+        table = np.zeros(len(self.first) + 1, np.int64)
+        table[at] = given
+        to = np.cumsum(~self.joins) - 1
+        name = self.name[self.keep]
+        name[self.which] = table[self.inverse]
+        inner = self.low <= self.high
+        low, high = self.low[inner], self.high[inner]
+        # past the first run; and past the neighbour of a single first symbol if both pair, unless an equal symbol outside makes that one a run. So at the end
+        left, after = self.left, np.append(to, [len(name)] * 2)
+        low, high = (
+            np.where(left[low] & ~left[np.minimum(low + 1, len(left) - 1)], after[low + 2], to[low] + 1),
+            np.where(left[np.maximum(high - 1, 0)] & ~left[high], np.where(high > 1, to[np.maximum(high - 2, 0)], -1), to[high] - 1),
+        )
+        fine = low <= high
+        self.low, self.high = np.zeros(len(inner), np.int64), np.full(len(inner), -1)
+        place = np.flatnonzero(inner)[fine]
+        self.low[place], self.high[place] = low[fine], high[fine]
+        nameless = np.concatenate([[0], np.cumsum(name == 0)])
+        alive = nameless[self.high + 1] == nameless[self.low]
+        self.name, self.bounds, self.at, self.low, self.high = name, np.append(to, len(name))[self.bounds], self.at[alive], self.low[alive], self.high[alive]
+
+    def row(self, slice_: int, ids: pa.Array) -> pa.RecordBatch:
+        made = pa.StructArray.from_arrays([pa.array(self.first), pa.array(self.second.astype(np.int64)), pa.array(self.multi)], fields=list(MADE))
+        binary = [pa.array([x], pa.binary()) for x in (self.name.tobytes(), _pack(self.bounds), _pack(self.at), self.low.astype(np.int32).tobytes(), self.high.astype(np.int32).tobytes())]
+        return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), ids, *binary, pa.ListArray.from_arrays([0, len(made)], made)], names=["slice", "ids", "name", "bounds", "at", "low", "high", "made"])
+
+
+def _given(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    value = row["given"][0]
+    if not value.is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return value.values.field(0).to_numpy().astype(np.int64), value.values.field(1).to_numpy()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One slice at a time; columns of one value each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(c).slice(i, 1) for c, n in enumerate(batch.schema.names)}
+
+
+def _name_words(width: int):
+    """Words replaced by their names; windows with a nameless word, and all of copies, are out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in slices(batch, "text"):
-                begins, ends, bounds = word_spans(data, offsets)
-                words = word_hashes(data, begins, ends)
-                n = np.diff(bounds)
-                where = np.arange(len(words)) - np.repeat(bounds[:-1], n)
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([[U(0)], np.cumsum(mix(words ^ mix(where.astype(np.uint64) * M3 + U(s))))]) for s in (1, 2)]
-                    f1, f2 = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
-                name, at, size = anchors(words, bounds, width)
-                row = np.searchsorted(bounds, at, "right") - 1
-                order = np.lexsort((at, row))
-                name, at, size, row = name[order], at[order], size[order], row[order]
-                same = np.lexsort((at, name, row))
-                again = np.zeros(len(name), bool)
-                again[same[1:]] = (name[same[1:]] == name[same[:-1]]) & (row[same[1:]] == row[same[:-1]])
-                per = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
-                item = pa.StructArray.from_arrays([pa.array(name.view(np.int64)), pa.array((at - bounds[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)], names=["name", "at", "size", "again"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(per), item)], names=["id", "n", "f1", "f2", "anchors"])
+        for row in _rows(batches):
+            local = np.frombuffer(row["local"][0].as_py(), np.int32)
+            at, given = _given(row)
+            table = np.zeros(max(int(local.max(initial=-1)) + 1, int(at.max(initial=-1)) + 1), np.int64)
+            table[at] = given
+            name = table[local]
+            bounds = np.concatenate([[0], np.cumsum(row["n"].flatten().to_numpy())])
+            starts = inner_windows(bounds, width)
+            nameless = np.concatenate([[0], np.cumsum(name == 0)])
+            alive = nameless[starts + width] == nameless[starts]
+            if row["copies"][0].is_valid:
+                alive &= ~np.isin(np.searchsorted(bounds, starts, "right") - 1, row["copies"].flatten().to_numpy())
+            starts = starts[alive]
+            s = Symbols(name, bounds, starts, starts, starts + width - 1)
+            s.propose(0)
+            yield s.row(row["slice"][0].as_py(), row["ids"])
 
     return run
 
 
-def _flat(batch: pa.RecordBatch, column: str, a: int, b: int) -> tuple[pa.Array, np.ndarray]:
-    """The values of a list column in rows [a, b), and the row of each; null lists are empty."""
-    lists = batch.column(batch.schema.get_field_index(column)).slice(a, b - a)
-    count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    return lists.flatten(), np.repeat(np.arange(b - a), count)
+def _next_round(r: int):
+    """The symbols after round r, with what round r + 1 proposes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ints = [np.frombuffer(row[c][0].as_py(), np.int32).astype(np.int64) for c in ("low", "high")]
+            s = Symbols(np.frombuffer(row["name"][0].as_py(), np.int64), _unpack(row["bounds"][0].as_py()), _unpack(row["at"][0].as_py()), *ints)
+            s.propose(r)
+            s.replace(*_given(row))
+            if r + 1 < ROUNDS:
+                s.propose(r + 1)
+            else:
+                s.first, s.second, s.multi = s.first[:0], s.second[:0], s.multi[:0]
+            yield s.row(row["slice"][0].as_py(), row["ids"])
+
+    return run
 
 
 def _window_rows(width: int):
-    """The windows that hold one of the document's shared anchors: a name of 64 and one of 32 bits, id, first word, and whether the document has the window before."""
+    """The windows left: 96 bits of a digest of their words' names, id, first word, and whether the document has the window before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in slices(batch, "text"):
-                begins, ends, bounds = word_spans(data, offsets)
-                spans, row = _flat(batch, "spans", a, b)
-                at, size = (spans.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                inside = at + size <= np.diff(bounds)[row]
-                at, size, row = at[inside] + bounds[row[inside]], size[inside], row[inside]
-                # +1 at the first window that holds the anchor, -1 after the last
-                turn = np.zeros(len(begins) + 2, np.int64)
-                np.add.at(turn, np.maximum(at + size - width, bounds[row]), 1)
-                np.add.at(turn, np.maximum(np.minimum(at, bounds[row + 1] - width), bounds[row] - 1) + 1, -1)
-                wanted = np.flatnonzero(np.cumsum(turn[:-2]) > 0)
-                if not len(wanted):
-                    continue
-                h1 = window_names(word_hashes(data, begins, ends), width)[wanted]
-                h2 = (window_names(word_hashes(data, begins, ends, seed=7), width)[wanted] >> U(32)).astype(np.uint32)
-                row = np.searchsorted(bounds, wanted, "right") - 1
-                order = np.lexsort((wanted, h2, h1, row))
-                again = np.zeros(len(order), bool)
-                again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (h1, h2, row)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array((wanted - bounds[row]).astype(np.int32)), pa.array(again)],
-                    names=["h1", "h2", "id", "at", "again"],
-                )
+        for row in _rows(batches):
+            at, bounds, words = _unpack(row["at"][0].as_py()), _unpack(row["bounds"][0].as_py()), row["words"][0].as_py()
+            hashed = [b"".join([hashlib.blake2b(words[p : p + 8 * width], digest_size=12).digest() for p in (8 * at[a : a + 100_000]).tolist()]) for a in range(0, len(at), 100_000)]
+            digest = np.frombuffer(b"".join(hashed), np.dtype([("h1", "<i8"), ("h2", "<i4")]))
+            doc = np.searchsorted(bounds, at, "right") - 1
+            order = np.lexsort((at, digest["h2"], digest["h1"], doc))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (digest["h1"], digest["h2"], doc)])
+            columns = [pa.array(digest["h1"].copy()), pa.array(digest["h2"].copy()), row["ids"].flatten().take(pa.array(doc)), pa.array((at - bounds[doc]).astype(np.int32)), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "at", "again"])
 
     return run
 
@@ -163,8 +236,9 @@ def _keep(width: int):
         for batch in batches:
             for a, b, data, offsets in slices(batch, "text"):
                 begins, ends, bounds = word_spans(data, offsets)
-                at, row = _flat(batch, "starts", a, b)
-                at = at.to_numpy().astype(np.int64)
+                lists = batch.column(batch.schema.get_field_index("starts")).slice(a, b - a)
+                count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                at, row = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(b - a), count)
                 n = np.diff(bounds)
                 inside = at + width <= n[row]
                 first = at[inside] + bounds[row[inside]]
@@ -186,36 +260,62 @@ def _keep(width: int):
     return run
 
 
+def give_names(proposals: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """From proposals (slice, at, multi and the keys that say what is proposed) the names of those made at two or more places in the corpus, as a
+    table of names and as slice and given (at, name). A proposal that very many slices make is combined before the shuffle, and its rows of the join may be split."""
+    places = proposals.groupBy(spread_key(*keys), *keys).agg(F.count("*").alias("slices"), F.max("multi").alias("multi"))
+    names = materialise(places.where("slices > 1 OR multi").select(*keys, (F.monotonically_increasing_id() + 1).alias("name")))
+    back = proposals.join(names, keys).groupBy("slice").agg(F.collect_list(F.struct("at", "name")).alias("given"))
+    return names, back
+
+
+def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """From (id, text) two tables: windows (h1, h2, id, at, again: the document has it before) that no round ruled out, and copies (id): documents whose words are those of one with a smaller id, of which no window is listed."""
+    kind = docs.schema["id"].dataType.simpleString()
+    parsed = materialise(docs.mapInArrow(_parse, f"slice long, ids array<{kind}>, n array<long>, f1 array<long>, f2 array<long>, words array<binary>, multi array<boolean>, local binary"))
+    rows = parsed.select("slice", F.posexplode(F.arrays_zip("ids", "n", "f1", "f2")).alias("row", "d")).select("slice", "row", F.col("d.ids").alias("id"), "d.n", "d.f1", "d.f2").where("n > 0")
+    first = rows.groupBy(spread_key("f1", "f2"), "f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("f1", "f2", "first")
+    copied = materialise(rows.select("slice", "row", "id", "f1", "f2").join(first, ["f1", "f2"]).where("id <> first").select("slice", "row", "id"))
+    proposals = parsed.select("slice", F.posexplode(F.arrays_zip("words", "multi")).alias("at", "w")).select("slice", "at", F.col("w.words").alias("word"), "w.multi")
+    names, back = give_names(proposals, ["word"])
+    columns = f"slice long, ids array<{kind}>, name binary, bounds binary, at binary, low binary, high binary, made {MADE_DDL}"
+    beside = parsed.select("slice", "ids", "n", "local").join(back, "slice", "left").join(copied.groupBy("slice").agg(F.collect_list("row").alias("copies")), "slice", "left")
+    words = state = materialise(beside.mapInArrow(_name_words(width), columns), drop=parsed)
+    discard(names)
+    for r in range(ROUNDS):
+        proposals = state.select("slice", F.posexplode("made").alias("at", "m")).select("slice", "at", "m.*")
+        names, back = give_names(proposals, ["first", "second"])
+        after = state.drop("made").join(back, "slice", "left").mapInArrow(_next_round(r), columns)
+        state = materialise(after, drop=None if state is words else state)
+        discard(names)
+    left = words.select("slice", "ids", F.col("name").alias("words"), "bounds").join(state.where(F.length("at") > 0).select("slice", "at"), "slice")
+    windows = materialise(left.mapInArrow(_window_rows(width), f"h1 long, h2 int, id {kind}, at int, again boolean"))
+    discard(words)
+    discard(state)
+    return windows, copied
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
     """Per row of docs: id, n_words, n_removed and kept, the words left, joined by one space.
 
     Words are maximal runs of other than space and 0x09-0x0D. A window is ``width`` consecutive words of one document; every word of a
     window whose words also start earlier (in a smaller id, or earlier in the same document) is removed, as judged on the input.
 
-    Documents of equal words are found by their names first: all but the smallest id go as a whole if they hold a window, and only that one is compared with
+    Documents of equal words (by 128 bits of their SHA-256) are found first: all but the smallest id go as a whole if they hold a window, and only that one is compared with
     others. Null, empty or short texts keep their words. A row with a null id takes no part and keeps its words.
-    Rows that repeat an id are one document; where their texts differ, a removed place is removed in each.
+    Rows that repeat an id are one document; where their texts differ, a removed place is removed in each. An empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    table = materialise(slim.mapInArrow(_anchor_rows(width), f"id {kind}, n long, f1 long, f2 long, anchors array<struct<name long, at int, size int, again boolean>>"))
-    whole = table.where("id IS NOT NULL AND n > 0")
-    first = whole.groupBy(spread_key("f1", "f2"), "f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("f1", "f2", "first")
-    copies = materialise(whole.select("id", "f1", "f2").join(first, ["f1", "f2"]).where("id <> first").select("id").distinct())
-
-    found = whole.select("id", "f1", F.explode("anchors").alias("a")).select("id", "f1", "a.*")
-    shared = found.groupBy(spread_key("name"), "name").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.max("again").alias("again")).where("lo < hi OR again").select("name")
-    spans = found.select("id", "name", "at", "size").join(shared, "name", "left_semi").groupBy("id").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
-    spans = materialise(spans.join(copies, "id", "left_anti"))
-    discard(table)
-    windows = materialise(slim.join(spans, "id").select("id", "text", "spans").mapInArrow(_window_rows(width), f"h1 long, h2 int, id {kind}, at int, again boolean"))
-    discard(spans)
+    windows, copied = repeated_windows(slim.where("id IS NOT NULL"), width)
     new = windows.where("NOT again").select("h1", "h2", "id", "at")
     earliest = new.groupBy(spread_key("h1", "h2"), "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first")
     later = new.join(earliest, ["h1", "h2"]).where("id > first").select("id", "at").unionByName(windows.where("again").select("id", "at"))
     later = later.groupBy("id").agg(F.collect_set("at").alias("starts"))
-    later = materialise(later.unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("starts"))))
+    copies = copied.select("id", F.lit(None).cast("array<int>").alias("starts")).distinct()
+    later = materialise(later.join(copied.select("id"), "id", "left_anti").unionByName(copies))
     discard(windows)
+    discard(copied)
     marked = slim.join(later.withColumn("copy", F.col("starts").isNull()), "id", "left").select("id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
     out = marked.mapInArrow(_keep(width), f"id {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
