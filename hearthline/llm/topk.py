@@ -7,49 +7,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.llm.storage import materialise
+
+#: Steps in which a block's lists are read from end to end.
+STEPS = 24
+
 
 class Lists:
-    """A block of vectors with one list per component, sorted by its value."""
+    """A block of vectors with one list per component, sorted by its value; ``place`` says where in each list a vector stands."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, self.order, 0)
-        self.order_back, self.sorted_back = self.order[::-1].copy(), self.sorted[::-1].copy()
-
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best but ``own``, ties to the smaller id.
-
-        The lists are read from their best end for the query, first to the middle and then in steps of a sixteenth; a component of 0 needs no list. What is seen of a
-        vector, with the list's last value read for what is not, bounds its score from above; with the list's worst value, from below. Reading ends when the
-        upper bounds of all but a few fall below the k-th best lower bound; the scores of those few are then summed to the end.
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.vectors, order, 0)
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(len(ids))[:, None], 0)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, bars: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (a row) the places in the block and the scores of its k best vectors that reach its bar, ties to the smaller id; ``own`` is the query's own place, -1 if it is in another block.
+
+        Every list is read from its best end for the query, the upper end for a component above 0 and the lower one below, some places at a time. What is seen of a
+        vector counts; for what is not, the list's last value read bounds the score from above, the list's worst value from below. The bar rises to
+        the k-th best lower bound. A query is done when the upper bounds of all but a few vectors are below its bar: at once, if the
+        best values of the lists together stay below it. The few are read on to the end, so that no score is looked up.
         """
-        m, used = len(self.ids), np.flatnonzero(q)
-        other = self.ids != own
-        left = np.flatnonzero(other)
-        if m > 4 * k and len(used):
-            pick = slice(None) if len(used) == len(q) else used
-            back, weight = q[used] > 0, q[used].astype(np.float64)
-            worst = np.where(back, self.sorted[0, used], self.sorted[-1, used]) * weight
-            seen, score, column = np.zeros(m * len(used)), np.zeros(m), np.arange(len(used))
-            d, e = 0, m // 2
-            while e < m:
-                at = np.where(back, self.order_back[d:e, pick], self.order[d:e, pick])
-                value = np.where(back, self.sorted_back[d:e, pick], self.sorted[d:e, pick]) * weight
-                last = value[-1]
-                score += np.bincount(at.ravel(), value.ravel(), m)
-                seen[(at * len(used) + column).ravel()] = 1.0
-                known = seen.reshape(m, len(used)) @ np.column_stack([worst, last])
-                low = score + worst.sum() - known[:, 0]
-                low[~other] = -np.inf
-                bar = np.partition(low, m - k)[m - k]
-                left = np.flatnonzero(other & (score + last.sum() - known[:, 1] >= bar))
-                if len(left) <= 4 * k:
-                    break
-                d, e = e, e + max(1, m // 16)
-        exact = self.vectors[left] @ q.astype(np.float64)
-        best = np.lexsort((self.ids[left], -exact))[:k]
-        return self.ids[left[best]], exact[best].astype(np.int64)
+        m, step = len(self.ids), max(1, -(-len(self.ids) // STEPS))
+        rising, falling, bars = np.maximum(queries, 0.0).T, np.minimum(queries, 0.0).T, bars.copy()
+        worst, best = self.sorted[0], self.sorted[-1]
+        out: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        open_ = np.flatnonzero(best @ rising + worst @ falling >= bars)
+        e = 0
+        while len(open_):
+            e = min(e + step, m)
+            from_top, from_bottom = self.place >= m - e, self.place < e
+            up, down = rising[:, open_], falling[:, open_]
+            upper = np.where(from_top, self.vectors, self.sorted[m - e]) @ up + np.where(from_bottom, self.vectors, self.sorted[e - 1]) @ down
+            column = np.flatnonzero(own[open_] >= 0)
+            upper[own[open_][column], column] = -np.inf
+            if m - 1 > k:
+                lower = np.where(from_top, self.vectors, worst) @ up + np.where(from_bottom, self.vectors, best) @ down
+                lower[own[open_][column], column] = -np.inf
+                bars[open_] = np.maximum(bars[open_], np.partition(lower, m - k, axis=0)[m - k])
+            may = upper >= bars[open_]
+            done = (may.sum(0) <= 4 * k) | (e == m)
+            for c in np.flatnonzero(done).tolist():
+                j, rows = open_[c], np.flatnonzero(may[:, c] & (upper[:, c] > -np.inf))
+                score = self.read_on(rows, queries[j], e, step)
+                order = np.lexsort((self.ids[rows], -score))[:k]
+                order = order[score[order] >= bars[j]]
+                out[j] = rows[order], score[order]
+            open_ = open_[~done]
+        return out
+
+    def read_on(self, rows: np.ndarray, q: np.ndarray, e: int, step: int) -> np.ndarray:
+        """The scores of a few vectors: what the lists gave down to e, and what they give from there on until each vector was met in all of them."""
+        met = np.where(q > 0, len(self.ids) - 1 - self.place[rows], self.place[rows])
+        score, d = np.zeros(len(rows)), 0
+        while d <= met.max(initial=-1):
+            score += np.where((met >= d) & (met < e), self.vectors[rows], 0.0) @ q
+            d, e = e, e + step
+        return score
 
 
 def _matrix(table: pa.Table, width: int) -> np.ndarray:
@@ -63,18 +80,27 @@ def _matrix(table: pa.Table, width: int) -> np.ndarray:
     return out
 
 
-def _block_search(k: int):
+def _block_search(k: int, chunk: int = 512):
+    """Queries (key, id, v, n, bar) against the vectors (key, id, v, n) of one block."""
+
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         width = max([0, *(int(x or 0) for t in (queries, candidates) for x in t.column("n").to_pylist())])
-        found: list[list] = [[], [], []]
+        found: list[list] = [[], [], [], []]
         if queries.num_rows and candidates.num_rows:
             lists = Lists(candidates.column("id").to_numpy(), _matrix(candidates, width))
-            for own, q in zip(queries.column("id").to_numpy(), _matrix(queries, width)):
-                ids, scores = lists.top(own, q, k)
-                for column, values in zip(found, (np.full(len(ids), own), ids, scores)):
-                    column.append(values)
+            keys, ids, vectors = queries.column("key").to_numpy(), queries.column("id").to_numpy(), _matrix(queries, width).astype(np.float64)
+            bars = queries.column("bar").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            all_keys = candidates.column("key").to_numpy()
+            order = np.argsort(all_keys)
+            near = order[np.minimum(np.searchsorted(all_keys, keys, sorter=order), len(order) - 1)]
+            own = np.where(all_keys[near] == keys, near, -1)
+            for a in range(0, len(keys), chunk):
+                some = slice(a, a + chunk)
+                for key, id_, (rows, scores) in zip(keys[some], ids[some], lists.top(vectors[some], own[some], bars[some], k)):
+                    for column, values in zip(found, (np.full(len(rows), key), np.full(len(rows), id_), lists.ids[rows], scores.astype(np.int64))):
+                        column.append(values)
         joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
-        return pa.table([pa.array(x, pa.int64()) for x in joined], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(x, pa.int64()) for x in joined], names=["key", "query_id", "vec_id", "score"])
 
     return run
 
@@ -86,30 +112,40 @@ def quantised(embedding: Column, scale: int = 1024) -> Column:
     return F.when(embedding.isNotNull() & sound, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale)))))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 3000, block_queries: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest integer inner products, ties to the smaller id; all, if there are fewer than k.
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, block_queries: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score: each query row's k highest integer inner products with all rows but itself, ties to the smaller id; all, if there are fewer than k.
+
+    Rows are dealt into blocks of a bounded size by a hash of a number of their own, so equal rows are spread. Each query is first searched in one block; the score of its k-th best there is its bar in all
+    others, where most of the lists then need not be read, or none of them. Every other pair of a block of queries and a block of rows is one task's work and
+    yields at most k rows per query. What is shuffled grows as rows * queries * (1 / block_rows + 1 / block_queries) vectors: queries that are a share of the rows make this a
+    quadratic search, as any exact one without an index is.
 
-    Queries meet all rows but their own in blocks of a bounded size, dealt by hash; every pair of a query block and a row block is one task's work and
-    yields k rows per query. Vectors that are null or hold null or non-finite components take no part, nor do rows
-    with a null id; missing last components count as 0. Scores are exact below 2 ** 53.
+    Rows that repeat are rows of their own: a query that occurs twice gets its k results twice, each time with the other one among the candidates. Vectors that are null or hold null or non-finite
+    components take no part, nor do rows with a null id; missing last components count as 0. An empty table gives no rows. Scores are exact below 2 ** 53.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("n", F.size("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = materialise(rows.withColumn("n", F.size("v")).withColumn("key", F.monotonically_increasing_id()))
     size = rows.agg(F.count("*").alias("all"), F.count_if("q").alias("q")).first()
     many, asked = max(1, -(-size["all"] // block_rows)), max(1, -(-size["q"] // block_queries))
-    row_block = F.pmod(F.xxhash64("id", "v"), F.lit(many)).cast("int")
-    query_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked)).cast("int")
-    queries = rows.where("q").select("id", "v", "n", query_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("rb"))
-    candidates = rows.select("id", "v", "n", row_block.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("qb"))
-    found = queries.groupBy("qb", "rb").cogroup(candidates.groupBy("qb", "rb")).applyInArrow(_block_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    block = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(n)).cast("int")
+    candidates = rows.select(*(F.col(c).alias(c) for c in ("key", "id", "v", "n")), block(0, many).alias("rb"))
+    queries = rows.where("q").select("key", "id", "v", "n", block(2, many).alias("home"))
+    out = "key long, query_id long, vec_id long, score long"
+    search = _block_search(k)
+    first = materialise(queries.select("key", "id", "v", "n", F.lit(None).cast("long").alias("bar"), F.col("home").alias("rb")).groupBy("rb").cogroup(candidates.groupBy("rb")).applyInArrow(search, out))
+    bars = first.groupBy("key").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
+    asking = queries.join(bars, "key", "left").select("key", "id", "v", "n", "bar", block(1, asked).alias("qb"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(many - 1)), lambda b: b != F.col("home"))).alias("rb"))
+    asked_of = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    rest = asking.groupBy("qb", "rb").cogroup(asked_of.groupBy("qb", "rb")).applyInArrow(search, out)
+    order = Window.partitionBy("key").orderBy(F.desc("score"), F.asc("vec_id"))
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB: the rows of top_k() for ids divisible by 100, k = 10, from all inner products.
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-x AS (SELECT vec_id, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS j FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM x q JOIN x c ON q.j = c.j AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
+x AS (SELECT r, vec_id, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS j FROM v),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM x q JOIN x c ON q.j = c.j AND q.r <> c.r WHERE q.vec_id % 100 = 0 GROUP BY q.r, q.vec_id, c.r, c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """

@@ -60,5 +60,9 @@ def test_top_k_equals_brute_force(spark):
         assert sorted(got.pop(q)) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert not got
     assert topk.top_k(df.limit(0), asks).count() == 0
+    again = sorted(tuple(r) for r in topk.top_k(df.union(df.where("vec_id = 50")), asks, k=10, block_rows=60, block_queries=3).where("query_id = 50").collect())
+    own = sum(x * x for x in sound[50])
+    want = sorted([(-sum(a * b for a, b in zip(sound[50], v)), i) for i, v in sound.items() if i != 50] + [(-own, 50)])[:10]
+    assert again == sorted(2 * [(50, n + 1, i, -s) for n, (s, i) in enumerate(want)])
     few = topk.top_k(df.where("vec_id IN (0, 1, 2)"), asks, k=10).collect()
     assert [r.rank for r in sorted(few)] == [1, 2]
