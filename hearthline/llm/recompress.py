@@ -1,14 +1,14 @@
-"""Removal of repeated passages by recompression: Spark rounds name words, runs and pairs for the whole corpus, and symbols that stand alone rule windows out.
+"""Removal of repeated passages by recompression: Spark rounds name runs and pairs for the whole corpus, and symbols that stand alone rule windows out.
 
-The corpus is cut into slices of some megabytes, whole documents each. A round looks at the slices' symbols, proposes what to replace
-(first every distinct word; then every maximal run of one symbol, and every adjacent pair of a left and a right symbol outside of runs, the two parted by a hashed bit of
-the name), and groups the proposals of all slices. A proposal made at two or more places gets a name, a number that stands for that word, run or pair and for no
-other; one made at a single place gets none. The names go back to the slices, which replace their symbols, and the next round follows. Equal stretches of text thus
+The corpus is cut into slices of some megabytes, whole documents each. In every round, each slice proposes what to replace: every maximal run of one symbol, and every
+adjacent pair of a left and a right symbol outside of runs, the two parted by a hashed bit of the name. A proposal's name follows from the names of its
+parts, so all slices propose the same name for the same run or pair. The proposals of all slices are grouped; one made at two or more places
+gets its name, one made at a single place stays nameless. The slices then replace their symbols, and the next round follows. Equal stretches of text thus
 get equal symbols everywhere but at their ends, where a neighbour outside may take part; how far the ends reach follows from the window's own symbols (a round may
 cost the first and the last run, and a neighbour that would pair with a single one of these).
 
-A window with an inner symbol without a name occurs once and is out. The windows left after the last round are compared
-by digests of their words' names, which the first round made one to one with the words.
+A window with a nameless inner symbol occurs once and is out, and symbols inside no window left take no further part. The windows left after the last round
+are compared by digests of their words: two windows are the same if all of these are.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.storage import discard, materialise, spread_key
-from hearthline.llm.words import M3, SEPARATOR, U, mix, slices, word_hashes, word_spans
+from hearthline.llm.words import M1, M2, M3, SEPARATOR, U, mix, slices, word_hashes, word_spans
 
-#: Rounds after the naming of words.
+#: Rounds of naming.
 ROUNDS = 3
 #: Bytes of text in a slice; a longer document is a slice of its own.
 SLICE = 4 << 20
-MADE = pa.struct([("first", pa.int64()), ("second", pa.int64()), ("multi", pa.bool_())])
-MADE_DDL = "array<struct<first:bigint,second:bigint,multi:boolean>>"
+MADE = pa.struct([("name", pa.int64()), ("multi", pa.bool_())])
+MADE_DDL = "array<struct<name:bigint,multi:boolean>>"
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -74,65 +74,100 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(b, np.int32), dtype=np.int64)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per slice: its documents' ids, numbers of words and digests, its distinct words, and which of these stands at every place."""
-    part, k = TaskContext.get().partitionId(), 0
-    for batch in gathered(batches, SLICE):
-        for a, b, data, offsets in slices(batch, "text", SLICE):
-            begins, ends, bounds = word_spans(data, offsets)
-            local, first = distinct_words(data, begins, ends)
-            raw = data.tobytes()
-            digests = np.frombuffer(b"".join(hashlib.sha256(b" ".join(raw[s:e].split())).digest()[:16] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.int64)
-            row = [
-                pa.array([part << 32 | k], pa.int64()), pa.ListArray.from_arrays([0, b - a], batch.column(0).slice(a, b - a)), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (np.diff(bounds), digests[::2], digests[1::2])),
-                pa.array([[raw[s:e] for s, e in zip(begins[first].tolist(), ends[first].tolist())]], pa.list_(pa.binary())), pa.array([(np.bincount(local, minlength=len(first)) > 1).tolist()], pa.list_(pa.bool_())),
-                pa.array([local.astype(np.int32).tobytes()], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(row, names=["slice", "ids", "n", "f1", "f2", "words", "multi", "local"])
-            k += 1
+def _made(s: "Symbols") -> pa.ListArray:
+    made = pa.StructArray.from_arrays([pa.array(s.proposed.view(np.int64)), pa.array(s.multi)], fields=list(MADE))
+    return pa.ListArray.from_arrays([0, len(made)], made)
+
+
+def _parse(width: int):
+    """One row per slice: its documents' ids, numbers of words and digests, the names of its distinct words, which of these stands at every place, and what the first round proposes.
+
+    A word's name is 64 bits of its digest; a document's digest is 128 bits of SHA-256 over its words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in gathered(batches, SLICE):
+            for a, b, data, offsets in slices(batch, "text", SLICE):
+                begins, ends, bounds = word_spans(data, offsets)
+                local, first = distinct_words(data, begins, ends)
+                raw = data.tobytes()
+                digests = np.frombuffer(b"".join(hashlib.sha256(b" ".join(raw[s:e].split())).digest()[:16] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.int64)
+                table = np.frombuffer(b"".join([hashlib.blake2b(raw[s:e], digest_size=8).digest() for s, e in zip(begins[first].tolist(), ends[first].tolist())]), np.uint64) | U(1)
+                s = Symbols.of_slice(table, local, np.diff(bounds), width, [])
+                s.propose(0)
+                row = [
+                    pa.array([part << 32 | k], pa.int64()), pa.ListArray.from_arrays([0, b - a], batch.column(0).slice(a, b - a)), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (np.diff(bounds), digests[::2], digests[1::2])),
+                    pa.array([table.tobytes()], pa.binary()), pa.array([local.astype(np.int32).tobytes()], pa.binary()), _made(s),
+                ]
+                yield pa.RecordBatch.from_arrays(row, names=["slice", "ids", "n", "f1", "f2", "table", "local", "made"])
+                k += 1
+
+    return run
 
 
 def _left(name: np.ndarray, r: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix(name.astype(np.uint64) ^ (U(r + 1) * M3)) >> U(63)).astype(bool)
+        return (mix(name ^ (U(r + 1) * M3)) >> U(63)).astype(bool)
 
 
 class Symbols:
-    """The symbols of a slice: names (0 for none), the first symbol of every row and the end, and the windows not ruled out with their first and last inner symbols (0 and -1: none)."""
+    """The symbols of a slice that stand inside windows not ruled out: names (0: nameless), where stretches of neighbours begin, and these windows with their first words and their first and last inner symbols (0 and -1: none)."""
 
     def __init__(self, name: np.ndarray, bounds: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray):
         self.name, self.bounds, self.at, self.low, self.high = name, bounds, at, low, high
 
+    @staticmethod
+    def of_slice(table: np.ndarray, local: np.ndarray, n: np.ndarray, width: int, out: list[int] | np.ndarray) -> "Symbols":
+        """All windows of documents of n words each but those in ``out``."""
+        bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        starts = inner_windows(bounds, width)
+        if len(out):
+            starts = starts[~np.isin(np.searchsorted(bounds, starts, "right") - 1, out)]
+        s = Symbols(table[local], bounds, starts, starts, starts + width - 1)
+        s.narrow()
+        return s
+
+    def narrow(self) -> None:
+        """Leave symbols out that are inside no window."""
+        n, inner = len(self.name), self.low <= self.high
+        turn = np.bincount(self.low[inner], minlength=n + 1) - np.bincount(self.high[inner] + 1, minlength=n + 1)
+        held = np.cumsum(turn[:n]) > 0
+        edge = np.zeros(n + 1, bool)
+        edge[self.bounds] = True
+        edge[1:n] |= ~held[:-1]
+        to = np.append(np.cumsum(held) - 1, 0)
+        self.name, self.bounds = self.name[held], np.flatnonzero(edge[:n][held])
+        self.low, self.high = np.where(inner, to[self.low], 0), np.where(inner, to[self.high], -1)
+
     def propose(self, r: int) -> None:
-        """Find what round r replaces: ``first`` and ``second`` are the distinct pairs, or the symbols of runs and their lengths below 0; ``multi`` says which stand at two or more places."""
+        """Find what round r replaces: ``proposed`` are the distinct names of its runs and pairs, ``multi`` says which stand at two or more places."""
         name, n = self.name, len(self.name)
         edge = np.zeros(n + 1, bool)
         edge[self.bounds] = True
         meet = (name[1:] > 0) & (name[:-1] > 0) & ~edge[1:n]
         runs, self.joins, self.left = np.zeros(n + 1, bool), np.zeros(n, bool), _left(name, r)
         runs[1:n] = meet & (name[1:] == name[:-1])  # whether the symbol repeats the one before it
-        self.single = ~(runs[:-1] | runs[1:])
-        self.joins[1:] = runs[1:n] | meet & self.left[:-1] & ~self.left[1:] & self.single[1:] & self.single[:-1]
+        single = ~(runs[:-1] | runs[1:])
+        self.joins[1:] = runs[1:n] | meet & self.left[:-1] & ~self.left[1:] & single[1:] & single[:-1]
         self.keep = np.flatnonzero(~self.joins)
         count = np.diff(np.append(self.keep, n))
         self.which = np.flatnonzero(count > 1)
         at = self.keep[self.which]
-        first, second = name[at], np.where(self.single[at], name[np.minimum(at + 1, n - 1)], -count[self.which])
-        order = np.lexsort((second, first))
-        new = np.ones(len(order), bool)
-        new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-        self.inverse = np.empty(len(order), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
-        self.first, self.second = first[order][new], second[order][new]
-        self.multi = np.bincount(self.inverse, minlength=len(self.first)) > 1
-
-    def replace(self, at: np.ndarray, given: np.ndarray) -> None:
-        """Replace what propose() found by the names given to the proposals ``at``, and rule out windows with an inner symbol that has none."""
-        table = np.zeros(len(self.first) + 1, np.int64)
-        table[at] = given
+        with np.errstate(over="ignore"):
+            pair = mix(mix(name[at] * M2) + name[np.minimum(at + 1, n - 1)])
+            run = mix(mix(name[at] * M1) + count[self.which].astype(np.uint64))
+        self.made = np.where(single[at], pair, run) | U(1)
+        self.proposed, self.inverse, places = np.unique(self.made, return_inverse=True, return_counts=True)
+        self.multi = places > 1
+
+    def replace(self, given: np.ndarray) -> None:
+        """Replace what propose() found, by its name if that is among the ``given`` ones, and rule out windows with a nameless inner symbol."""
+        named = np.zeros(len(self.proposed), bool)
+        named[given] = True
         to = np.cumsum(~self.joins) - 1
         name = self.name[self.keep]
-        name[self.which] = table[self.inverse]
+        name[self.which] = np.where(named[self.inverse], self.made, U(0))
         inner = self.low <= self.high
         low, high = self.low[inner], self.high[inner]
         # past the first run; and past the neighbour of a single first symbol if both pair, unless an equal symbol outside makes that one a run. So at the end
@@ -148,65 +183,38 @@ class Symbols:
         nameless = np.concatenate([[0], np.cumsum(name == 0)])
         alive = nameless[self.high + 1] == nameless[self.low]
         self.name, self.bounds, self.at, self.low, self.high = name, np.append(to, len(name))[self.bounds], self.at[alive], self.low[alive], self.high[alive]
+        self.narrow()
 
-    def row(self, slice_: int, ids: pa.Array) -> pa.RecordBatch:
-        made = pa.StructArray.from_arrays([pa.array(self.first), pa.array(self.second.astype(np.int64)), pa.array(self.multi)], fields=list(MADE))
-        binary = [pa.array([x], pa.binary()) for x in (self.name.tobytes(), _pack(self.bounds), _pack(self.at), self.low.astype(np.int32).tobytes(), self.high.astype(np.int32).tobytes())]
-        return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), ids, *binary, pa.ListArray.from_arrays([0, len(made)], made)], names=["slice", "ids", "name", "bounds", "at", "low", "high", "made"])
-
-
-def _given(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    value = row["given"][0]
-    if not value.is_valid:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return value.values.field(0).to_numpy().astype(np.int64), value.values.field(1).to_numpy()
+    def row(self, slice_: int) -> pa.RecordBatch:
+        binary = [pa.array([x], pa.binary()) for x in (self.name.tobytes(), *map(_pack, (self.bounds, self.at, self.low, self.high)))]
+        return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), *binary, _made(self)], names=["slice", "name", "bounds", "at", "low", "high", "made"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """One slice at a time; columns of one value each."""
+    """One slice at a time; a null list is empty."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {n: batch.column(c).slice(i, 1) for c, n in enumerate(batch.schema.names)}
+            row = {n: batch.column(c).slice(i, 1) for c, n in enumerate(batch.schema.names)}
+            yield {n: (x.flatten() if n == "ids" else x.flatten().to_numpy(zero_copy_only=False)) if pa.types.is_list(x.type) else x[0].as_py() for n, x in row.items()}
 
 
-def _name_words(width: int):
-    """Words replaced by their names; windows with a nameless word, and all of copies, are out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            local = np.frombuffer(row["local"][0].as_py(), np.int32)
-            at, given = _given(row)
-            table = np.zeros(max(int(local.max(initial=-1)) + 1, int(at.max(initial=-1)) + 1), np.int64)
-            table[at] = given
-            name = table[local]
-            bounds = np.concatenate([[0], np.cumsum(row["n"].flatten().to_numpy())])
-            starts = inner_windows(bounds, width)
-            nameless = np.concatenate([[0], np.cumsum(name == 0)])
-            alive = nameless[starts + width] == nameless[starts]
-            if row["copies"][0].is_valid:
-                alive &= ~np.isin(np.searchsorted(bounds, starts, "right") - 1, row["copies"].flatten().to_numpy())
-            starts = starts[alive]
-            s = Symbols(name, bounds, starts, starts, starts + width - 1)
-            s.propose(0)
-            yield s.row(row["slice"][0].as_py(), row["ids"])
-
-    return run
-
-
-def _next_round(r: int):
+def _round(r: int, width: int):
     """The symbols after round r, with what round r + 1 proposes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ints = [np.frombuffer(row[c][0].as_py(), np.int32).astype(np.int64) for c in ("low", "high")]
-            s = Symbols(np.frombuffer(row["name"][0].as_py(), np.int64), _unpack(row["bounds"][0].as_py()), _unpack(row["at"][0].as_py()), *ints)
-            s.propose(r)
-            s.replace(*_given(row))
-            if r + 1 < ROUNDS:
-                s.propose(r + 1)
+            if r:
+                s = Symbols(np.frombuffer(row["name"], np.uint64), *(_unpack(row[c]) for c in ("bounds", "at", "low", "high")))
             else:
-                s.first, s.second, s.multi = s.first[:0], s.second[:0], s.multi[:0]
-            yield s.row(row["slice"][0].as_py(), row["ids"])
+                s = Symbols.of_slice(np.frombuffer(row["table"], np.uint64), np.frombuffer(row["local"], np.int32), row["n"], width, [])
+            s.propose(r)
+            if not r and len(row["copies"]):
+                bounds = np.concatenate([[0], np.cumsum(row["n"])])
+                keep = ~np.isin(np.searchsorted(bounds, s.at, "right") - 1, row["copies"])
+                s.at, s.low, s.high = s.at[keep], s.low[keep], s.high[keep]
+            s.replace(row["given"].astype(np.int64))
+            s.propose(r + 1)
+            yield s.row(row["slice"])
 
     return run
 
@@ -216,14 +224,15 @@ def _window_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            at, bounds, words = _unpack(row["at"][0].as_py()), _unpack(row["bounds"][0].as_py()), row["words"][0].as_py()
+            at, bounds = _unpack(row["at"]), np.concatenate([[0], np.cumsum(row["n"])])
+            words = np.frombuffer(row["table"], np.uint64)[np.frombuffer(row["local"], np.int32)].tobytes()
             hashed = [b"".join([hashlib.blake2b(words[p : p + 8 * width], digest_size=12).digest() for p in (8 * at[a : a + 100_000]).tolist()]) for a in range(0, len(at), 100_000)]
             digest = np.frombuffer(b"".join(hashed), np.dtype([("h1", "<i8"), ("h2", "<i4")]))
             doc = np.searchsorted(bounds, at, "right") - 1
             order = np.lexsort((at, digest["h2"], digest["h1"], doc))
             again = np.zeros(len(order), bool)
             again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (digest["h1"], digest["h2"], doc)])
-            columns = [pa.array(digest["h1"].copy()), pa.array(digest["h2"].copy()), row["ids"].flatten().take(pa.array(doc)), pa.array((at - bounds[doc]).astype(np.int32)), pa.array(again)]
+            columns = [pa.array(digest["h1"].copy()), pa.array(digest["h2"].copy()), row["ids"].take(pa.array(doc)), pa.array((at - bounds[doc]).astype(np.int32)), pa.array(again)]
             yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "at", "again"])
 
     return run
@@ -260,37 +269,36 @@ def _keep(width: int):
     return run
 
 
-def give_names(proposals: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """From proposals (slice, at, multi and the keys that say what is proposed) the names of those made at two or more places in the corpus, as a
-    table of names and as slice and given (at, name). A proposal that very many slices make is combined before the shuffle, and its rows of the join may be split."""
-    places = proposals.groupBy(spread_key(*keys), *keys).agg(F.count("*").alias("slices"), F.max("multi").alias("multi"))
-    names = materialise(places.where("slices > 1 OR multi").select(*keys, (F.monotonically_increasing_id() + 1).alias("name")))
-    back = proposals.join(names, keys).groupBy("slice").agg(F.collect_list(F.struct("at", "name")).alias("given"))
-    return names, back
+def named(proposals: DataFrame) -> DataFrame:
+    """From proposals (slice, at, name, multi) slice and given: the places ``at`` of those whose name is proposed at two or more places of the corpus.
+
+    A name that very many slices propose is combined before the shuffle, and its rows of the join may be split.
+    """
+    places = proposals.groupBy(spread_key("name"), "name").agg(F.count("*").alias("slices"), F.max("multi").alias("multi"))
+    names = materialise(places.where("slices > 1 OR multi").select("name"))
+    return materialise(proposals.select("slice", "at", "name").join(names, "name").groupBy("slice").agg(F.collect_list("at").alias("given")), drop=names)
 
 
 def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """From (id, text) two tables: windows (h1, h2, id, at, again: the document has it before) that no round ruled out, and copies (id): documents whose words are those of one with a smaller id, of which no window is listed."""
     kind = docs.schema["id"].dataType.simpleString()
-    parsed = materialise(docs.mapInArrow(_parse, f"slice long, ids array<{kind}>, n array<long>, f1 array<long>, f2 array<long>, words array<binary>, multi array<boolean>, local binary"))
+    parsed = materialise(docs.mapInArrow(_parse(width), f"slice long, ids array<{kind}>, n array<long>, f1 array<long>, f2 array<long>, table binary, local binary, made {MADE_DDL}"))
     rows = parsed.select("slice", F.posexplode(F.arrays_zip("ids", "n", "f1", "f2")).alias("row", "d")).select("slice", "row", F.col("d.ids").alias("id"), "d.n", "d.f1", "d.f2").where("n > 0")
     first = rows.groupBy(spread_key("f1", "f2"), "f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("f1", "f2", "first")
     copied = materialise(rows.select("slice", "row", "id", "f1", "f2").join(first, ["f1", "f2"]).where("id <> first").select("slice", "row", "id"))
-    proposals = parsed.select("slice", F.posexplode(F.arrays_zip("words", "multi")).alias("at", "w")).select("slice", "at", F.col("w.words").alias("word"), "w.multi")
-    names, back = give_names(proposals, ["word"])
-    columns = f"slice long, ids array<{kind}>, name binary, bounds binary, at binary, low binary, high binary, made {MADE_DDL}"
-    beside = parsed.select("slice", "ids", "n", "local").join(back, "slice", "left").join(copied.groupBy("slice").agg(F.collect_list("row").alias("copies")), "slice", "left")
-    words = state = materialise(beside.mapInArrow(_name_words(width), columns), drop=parsed)
-    discard(names)
+    columns = f"slice long, name binary, bounds binary, at binary, low binary, high binary, made {MADE_DDL}"
+    state = parsed
     for r in range(ROUNDS):
-        proposals = state.select("slice", F.posexplode("made").alias("at", "m")).select("slice", "at", "m.*")
-        names, back = give_names(proposals, ["first", "second"])
-        after = state.drop("made").join(back, "slice", "left").mapInArrow(_next_round(r), columns)
-        state = materialise(after, drop=None if state is words else state)
-        discard(names)
-    left = words.select("slice", "ids", F.col("name").alias("words"), "bounds").join(state.where(F.length("at") > 0).select("slice", "at"), "slice")
+        given = named(state.select("slice", F.posexplode("made").alias("at", "m")).select("slice", "at", "m.*"))
+        if r:
+            beside = state.drop("made").join(given, "slice", "left")
+        else:
+            beside = parsed.select("slice", "n", "table", "local").join(given, "slice", "left").join(copied.groupBy("slice").agg(F.collect_list("row").alias("copies")), "slice", "left")
+        state = materialise(beside.mapInArrow(_round(r, width), columns), drop=state if r else None)
+        discard(given)
+    left = parsed.select("slice", "ids", "n", "table", "local").join(state.where(F.length("at") > 0).select("slice", "at"), "slice")
     windows = materialise(left.mapInArrow(_window_rows(width), f"h1 long, h2 int, id {kind}, at int, again boolean"))
-    discard(words)
+    discard(parsed)
     discard(state)
     return windows, copied
 
