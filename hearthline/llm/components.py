@@ -34,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialise(small, drop=now)
         discard(materialised)
         before, state = state, _state(now)
-    return now.select(F.col("u").alias("v"), F.col("v").alias("m"))
+    out = now.select(F.col("u").alias("v"), F.col("v").alias("m"))
+    out._llm_path = now._llm_path  # for discard()
+    return out

@@ -76,8 +76,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tenths: int =
     common bigrams all stand in lines and blocks already found are left out.
     """
     templates = TEMPLATES if templates is None else templates
+    columns = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, part string, place long, licence string, dice double"
     known = [{"name": n, "grams": g, "n": len(g), "words": len(_words(t))} for n, t in sorted(templates.items()) if (g := _bigrams(_words(t)))]
-    sizes = [t["n"] for t in known] or [0]
+    if not known:
+        return docs.sparkSession.createDataFrame([], columns)
+    sizes = [t["n"] for t in known]
     least, most = -(-min(sizes) * tenths // (20 - tenths)), max(sizes) * (20 - tenths) // tenths
     table = F.array(*(F.struct(F.lit(t["name"]).alias("name"), F.array(*map(F.lit, t["grams"])).alias("grams"), F.lit(t["n"]).alias("n"), F.lit(t["words"]).alias("words"), F.lit(-(-tenths * t["n"] // (20 - tenths))).alias("need")) for t in known))
 
@@ -132,7 +135,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tenths: int =
 
 
 def oracle() -> str:
-    """DuckDB SQL for the rows of scan() with its defaults, save for parts with more words than the longest template allows."""
+    """DuckDB SQL for the rows of scan() with its defaults."""
     rows = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in sorted(TEMPLATES.items()))
     norm = r"string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
@@ -142,7 +145,7 @@ l AS (SELECT doc_id, 'line' AS part, unnest(string_split(text, chr(10))) AS s, g
       UNION ALL
       SELECT * FROM (SELECT doc_id, 'block' AS part, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS s,
                             generate_subscripts(regexp_split_to_array(text, '\n[ \t\r]*\n'), 1) AS place FROM documents) b WHERE contains(trim(s, ' '), chr(10))),
-d AS (SELECT doc_id, part, place, {norm.format('s')} AS w FROM l), e AS (SELECT doc_id, part, place, {grams} AS g FROM d WHERE len(w) > 1 AND len(w) <= (SELECT max(len(g)) * {20 - TENTHS} // {TENTHS} + 1 FROM t)),
+d AS (SELECT doc_id, part, place, {norm.format('s')} AS w FROM l), e AS (SELECT doc_id, part, place, {grams} AS g FROM d WHERE len(w) > 1),
 m AS (SELECT doc_id, part, place, name AS licence, 2.0::DOUBLE * len(list_intersect(e.g, t.g)) / (len(e.g) + len(t.g)) AS dice
       FROM e JOIN t ON {TENTHS} * (len(e.g) + len(t.g)) <= 20 * least(len(e.g), len(t.g)))
 SELECT doc_id, part, place::BIGINT AS place, licence, dice FROM m WHERE 10 * dice >= {TENTHS}

@@ -83,8 +83,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= per_cent * (F.size("sa") + F.size("sb") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _rest_of_pairs(members: DataFrame, sets: DataFrame, edges: DataFrame, per_cent: int) -> DataFrame:
-    """Candidate pairs from buckets that the links so far leave in two or more components.
+def _rest_of_pairs(members: DataFrame, sets: DataFrame, edges: DataFrame, per_cent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate pairs, and the tables that they are read from, from buckets that the links so far leave in two or more components.
 
     Members of such buckets get prefix filtering, exact for any two sets at the threshold: shingles are put in one order
     (those of one component only, then from rare to common), and sets that reach the threshold share one in
@@ -93,22 +93,22 @@ def _rest_of_pairs(members: DataFrame, sets: DataFrame, edges: DataFrame, per_ce
     label = components(edges)
     labelled = members.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("m", "rep").alias("comp"))
     mixed = labelled.groupBy(spread_key("key"), "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_members = materialise(labelled.join(mixed, "key").select("rep", "n", "comp").distinct())
-    tokens = materialise(sets.join(open_members, "rep").select("rep", "n", "comp", F.explode("set").alias("token")))
+    open_members = materialise(labelled.join(mixed, "key").select("rep", "n", "comp").distinct(), drop=label)
+    tokens = materialise(sets.join(open_members, "rep").select("rep", "n", "comp", F.explode("set").alias("token")), drop=open_members)
     shared = tokens.groupBy(spread_key("token"), "token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "df")
     ordered = (
         tokens.join(shared, "token").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
         .select("rep", "n", "comp", F.size("t").alias("shared"), F.posexplode("t"))
         .select("rep", "n", "comp", "col.token", (F.col("n") - F.col("shared") + F.col("pos")).alias("at"))
     )
-    prefix = materialise(ordered.where(F.col("at") <= F.col("n") - _ceil_div(F.col("n") * per_cent, 100)))
+    prefix = materialise(ordered.where(F.col("at") <= F.col("n") - _ceil_div(F.col("n") * per_cent, 100)), drop=tokens)
     longer = prefix.select(*(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "comp", "at")), "token")
     shorter = prefix.where(F.col("at") <= F.col("n") - _ceil_div(F.col("n") * 2 * per_cent, 100 + per_cent))
     pairs = longer.join(shorter, "token").where(
         "comp <> x_comp AND (n < x_n OR n = x_n AND rep < x_rep)"
         f" AND 100 * n >= {per_cent} * x_n AND {100 + per_cent} * (1 + least(x_n - x_at - 1, n - at - 1)) >= {per_cent} * (x_n + n)"
     )
-    return pairs.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
+    return pairs.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct(), [prefix]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 85, width: int = 5, rows: int = 6, bands: int = 32) -> DataFrame:
@@ -138,13 +138,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialise(slim.join(wanted, "id", "left_semi").mapInArrow(_set_maker("text", width), f"rep {kind}, set array<long>"))
 
     edges = materialise(_linked(stars, sets, per_cent))
-    more = materialise(_linked(_rest_of_pairs(members, sets, edges, per_cent), sets, per_cent))
+    rest, read = _rest_of_pairs(members, sets, edges, per_cent)
+    more = materialise(_linked(rest, sets, per_cent))
     label = components(edges.union(more))
     moved = reps.join(label.withColumnRenamed("v", "rep"), "rep", "left").where("copies > 1 OR m IS NOT NULL").select("f1", "f2", F.coalesce("m", "rep").alias("m"))
     out = table.join(moved, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("m", "id")).otherwise(F.col("id"))
     out = materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
-    for done in (table, reps, members, sets, edges, more):
+    for done in (table, reps, members, sets, edges, more, label, *read):
         discard(done)
     return out
 

@@ -56,7 +56,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(carry) if carry else F.lit(None).cast("long")).alias("carry"))
     slim = slim.withColumn("tie", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 16))
     # Ranks within a source without a task per source: ranges in order, each counted, then ranked inside.
-    ranged = materialise(slim.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size"), F.col("tie")).withColumn("part", F.spark_partition_id()))
+    slim = materialise(slim)  # words are counted once: dealing by range reads its rows twice
+    ranged = materialise(slim.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size"), F.col("tie")).withColumn("part", F.spark_partition_id()), drop=slim)
     parts = ranged.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ WRITING = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (a local session, as in tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where unset in a local session, as in tests, a new temporary one. A cluster must name one, as its executors share no other."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -36,7 +39,7 @@ def materialise(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     split a hot key. ``drop``: an earlier result of this function that is no longer needed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in WRITING}
     for k, v in WRITING.items():
         spark.conf.set(k, v)
@@ -52,6 +55,19 @@ def materialise(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def _own(spark: SparkSession) -> str:
+    """What the paths of this application's tables begin with."""
+    return f"{shared_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}-"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables of this application that are left, such as those that lazy results still read: to be called when these have been written."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{_own(spark)}*")
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(pattern) or ():
+        fs.delete(found.getPath(), True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later plan reads."""
     if path := getattr(df, "_llm_path", None):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,6 +206,17 @@ def _tile_pairs(least: int, cover: float):
     return run
 
 
+def _small(benchmark: DataFrame, cover: float, least: int, item_col: str, most_words: int) -> _Bench | None:
+    """The benchmark (item_col, text) with its index, if it holds no more than most_words words."""
+    items = benchmark.select(F.col(item_col).alias("id"), F.col("text").cast("string").alias("text"))
+    if items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 2 > most_words:
+        return None
+    table = items.mapInArrow(_tokenise, f"id {items.schema['id'].dataType.simpleString()}, tokens array<long>").where(F.size("tokens") >= least).toArrow()
+    bench = _Bench(table.column("id").to_pylist(), [np.array(t, np.int64).view(np.uint64) for t in table.column("tokens").to_pylist()], least, cover)
+    bench.kind = table.schema.field("id").type
+    return bench
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: int = 4, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """id, item, n_tokens, covered and coverage for each document and benchmark item whose greedy tiles of at least
     ``least`` tokens cover ``cover`` or more of the item's tokens.
@@ -218,11 +230,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: i
     items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind, item_kind = (x.schema["id"].dataType.simpleString() for x in (slim, items))
     out = f"id {kind}, item {item_kind}, {OUT}"
-    words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 2
-    if words <= most_words:
-        table = items.mapInArrow(_tokenise, f"id {item_kind}, tokens array<long>").where(F.size("tokens") >= least).toArrow()
-        bench = _Bench(table.column("id").to_pylist(), [np.array(t, np.int64).view(np.uint64) for t in table.column("tokens").to_pylist()], least, cover)
-        found = slim.mapInArrow(_search(bench, table.schema.field("id").type), out)
+    if bench := _small(benchmark, cover, least, item_col, most_words):
+        found = slim.mapInArrow(_search(bench, bench.kind), out)
     else:
         # keys of id and text are never null; where two rows share one, a pair more is compared
         key = F.xxhash64("id", "text").alias("key")
@@ -235,3 +244,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: i
         wanted = pairs.join(sized, "item_key").where(F.col("hits") * least >= cover * F.size("item_tokens"))
         found = wanted.join(tokens(slim, kind), "key").select("id", "item", "tokens", "item_tokens").mapInArrow(_tile_pairs(least, cover), out)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: int = 4, text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows of docs, whatever their ids, of which overlaps() finds no item covered. A benchmark that goes to every task filters in the pass that reads the rows; by a larger one, texts are found by digest."""
+    text, bench = F.col(text_col).cast("string"), _small(benchmark, cover, least, "text", most_words)
+    if bench is None:
+        key = F.sha2(text, 256)
+        found = overlaps(docs.select(key.alias("key"), text.alias("text")), benchmark, cover, least, id_col="key", most_words=most_words).select(F.col("key").alias("_of")).distinct()
+        return docs.join(found, key == F.col("_of"), "left_anti")
+    search = _search(bench, bench.kind)
+
+    @F.pandas_udf("boolean")
+    def covered(texts: pd.Series) -> pd.Series:
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string(), from_pandas=True)], names=["id", "text"])
+        out = np.zeros(len(texts), bool)
+        for batch in search(iter([rows])):
+            out[batch.column(0).to_numpy()] = True
+        return pd.Series(out)
+
+    return docs.where(~covered(text))

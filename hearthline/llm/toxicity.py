@@ -10,11 +10,12 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.storage import materialise
+from hearthline.llm.storage import discard, materialise
 
 #: Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнαεορτυικνχβ", "aeopcyxijsdhkmtbhaeoptuikvxb"))
@@ -72,8 +73,11 @@ class Lexicon:
             elif start not in found or weight > found[start][1]:
                 found[start] = (last + 1, weight)
         for a, b in spared:
-            for start in [s for s, (end, _) in found.items() if a <= s and end <= b]:
-                del found[start]
+            start = a
+            while 0 <= start < b:
+                if start in found and found[start][0] <= b:
+                    del found[start]
+                start = folded.find(" ", start + 1)
         return found
 
     @staticmethod
@@ -124,12 +128,12 @@ def _fit(rows: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
     return tuple(map(float, w))
 
 
-def learn(rows: DataFrame, most_rows: int = 20_000, most_terms: int = 300) -> Lexicon:
+def learn(rows: DataFrame, most_rows: int = 20_000) -> Lexicon:
     """A lexicon from labelled rows (id, text, toxic): a bounded sample of about most_rows of them, chosen by a hash of the id.
 
     A term enters if the documents that have it are toxic far more often than others: by a likelihood ratio that
     allows for the number of terms tried, and in at least four documents. Equal texts count once. Phrases of a hit and a word beside it that occur in
-    three or more clean documents, and in four times as many of them as of toxic ones, are exceptions. The score's curve is fitted to the same sample. Without labels of both kinds the lexicon is empty, and every score is the share of toxic labels (next to 0 without labels).
+    three or more clean documents, and in four times as many of them as of toxic ones, are exceptions. All terms and phrases that pass are kept; the sample bounds them. The score's curve is fitted to the same sample. Without labels of both kinds the lexicon is empty, and every score is the share of toxic labels (next to 0 without labels).
     """
     rows = rows.where("toxic IS NOT NULL").select("id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     n = rows.count()
@@ -147,7 +151,7 @@ def learn(rows: DataFrame, most_rows: int = 20_000, most_terms: int = 300) -> Le
     ratio = 2 * (entropy("toxic", toxic) + entropy("clean", clean))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     chosen = counted.withColumn("ratio", ratio).withColumn("weight", weight).where((F.col("weight") > 2.5) & (F.col("ratio") > 2 * math.log(tried + 1) + 4) & (F.col("toxic") >= 4) & (F.col("toxic") > F.col("clean")))
-    weights = {r["term"]: float(r["weight"]) for r in chosen.orderBy(F.desc("ratio"), "term").limit(most_terms).collect()}
+    weights = {r["term"]: float(r["weight"]) for r in chosen.collect()}
 
     def phrases(folded: str, held: list = []) -> set[str]:  # noqa: B006
         if not held:
@@ -161,8 +165,8 @@ def learn(rows: DataFrame, most_rows: int = 20_000, most_terms: int = 300) -> Le
                 out.add(folded[start : after + 1])
         return out
 
-    spared = _counted(sample, phrases).where("clean >= 3 AND clean >= 4 * toxic").orderBy(F.desc("clean"), "term").limit(most_terms).collect()
-    bare = Lexicon(weights, tuple(r["term"] for r in spared))
+    spared = _counted(sample, phrases).where("clean >= 3 AND clean >= 4 * toxic").collect()
+    bare = Lexicon(weights, tuple(sorted(r["term"] for r in spared)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = bare.automaton()
@@ -176,6 +180,8 @@ def learn(rows: DataFrame, most_rows: int = 20_000, most_terms: int = 300) -> Le
 
     # bounded by most_rows
     points = sample.mapInArrow(measure, "a double, b double, toxic int").toPandas().sort_values(["a", "b", "toxic"])
+    discard(sample)
+    discard(counted)
     return Lexicon(weights, bare.exceptions, _fit(points[["a", "b"]].to_numpy(), points["toxic"].to_numpy().astype(float)))
 
 
@@ -192,6 +198,17 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+def score_column(lexicon: Lexicon):
+    """A function from a column of texts to their scores, as score() gives them."""
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        automaton = lexicon.automaton()
+        return texts.map(lambda t: lexicon.score(automaton, t if isinstance(t, str) else None)).astype(float)
+
+    return scores
+
+
 def held_out(id_col: str):
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
@@ -204,6 +221,10 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, **bounds) -> Lexicon:
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 if score >= cut, else 0) per row of docs (doc_id, text)."""
+    """doc_id, held_out, score and predicted (1 if score >= cut, else 0) per row of docs (doc_id, text).
+
+    A null or empty text has the score of no hits; rows that repeat give rows that repeat; a null id is carried along and is not held out, as no label is its own. No documents give no
+    rows; without labels every score is next to 0. A text's length does not matter: one pass finds all terms.
+    """
     out = score(docs, learn_from_labels(docs, labels))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"))

@@ -126,8 +126,8 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return materialise(typed.mapInArrow(_bundler(frame_size, bundle_size, level), BUNDLE_SCHEMA))
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for a revisit) of every record.
+def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for a revisit, and where payloads are not asked for) of every record.
 
     Each frame is found by the seek table and each record by its offset in the frame. A response's length and digest are taken from the payload read; a revisit's from its fields.
     """
@@ -148,7 +148,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         "page_id": name(warc["WARC-Record-ID"]), "url": warc.get("WARC-Target-URI"), "record_type": warc["WARC-Type"], "refers_to": name(warc.get("WARC-Refers-To")),
                         "payload_bytes": len(payload) if response else int(http["Content-Length"]),
                         "payload_digest": hashlib.sha256(payload).hexdigest() if response else warc["WARC-Payload-Digest"].split(":")[1],
-                        "payload": payload if response else None,
+                        "payload": payload if response and payloads else None,
                     })
                 schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
                 yield pa.RecordBatch.from_pylist(out, schema)

@@ -1,9 +1,14 @@
 """Near duplicates and repeated windows against brute force."""
 
+import random
 import re
+from collections import Counter
 from itertools import combinations
 
-from hearthline.llm import components, minhash, recompress
+import numpy as np
+import pytest
+
+from hearthline.llm import components, minhash, recompress, storage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,3 +102,50 @@ def test_removed_windows_equal_brute_force(docs):
 
 def test_no_windows_in_nothing(nothing):
     assert recompress.remove_repeats(nothing).count() == 0
+
+
+def test_only_windows_that_stand_alone_are_ruled_out():
+    """The rounds on one slice against a count of all windows."""
+    left_alone = total = 0
+    for seed in range(120):
+        rng = random.Random(seed)
+        width, base = rng.choice((5, 8, 20)), [rng.randint(1, rng.choice((2, 4, 50))) for _ in range(60)]
+        docs = []
+        for _ in range(6):
+            w = []
+            while len(w) < rng.randint(0, 120):
+                i = rng.randrange(60)
+                w += base[i : i + rng.randint(1, 50)] + [rng.randint(1, 60)] * rng.choice((0, 1, 1, 7))
+            docs.append(w)
+        name, n = np.array([x for w in docs for x in w], np.uint64), np.array([len(w) for w in docs])
+        s = recompress.Symbols.of_slice(name, np.arange(len(name)), n, width, [])
+        starts = s.at
+        for r in range(recompress.ROUNDS + 1):
+            s.propose(r)
+            s.replace(np.flatnonzero(s.multi))
+        count = Counter(tuple(name[p : p + width]) for p in starts)
+        kept = set(s.at.tolist())
+        assert all(p in kept for p in starts.tolist() if count[tuple(name[p : p + width])] > 1)
+        total += len(starts)
+        left_alone += sum(count[tuple(name[p : p + width])] == 1 for p in kept)
+    assert left_alone < total / 2
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    from hearthline.llm.words import word_spans
+
+    data = np.frombuffer(b"one two one ab two", np.uint8)
+    begins, ends, _ = word_spans(data, np.array([0, len(data)]))
+    honest = recompress.distinct_words(data, begins, ends)
+    monkeypatch.setattr(recompress, "word_hashes", lambda d, b, e: np.ones(len(b), np.uint64))
+    clash = recompress.distinct_words(data, begins, ends)
+    for local, first in (honest, clash):
+        words = [data[begins[f] : ends[f]].tobytes() for f in first]
+        assert [words[i] for i in local] == [b"one", b"two", b"one", b"ab", b"two"]
+
+
+def test_tables_in_the_shared_folder_can_be_swept(spark):
+    kept = storage.materialise(spark.range(3))
+    storage.sweep(spark)
+    with pytest.raises(Exception):
+        kept.count()

@@ -65,6 +65,15 @@ def test_toxicity_of_odd_tables(docs, nothing, labelled):
     assert toxicity.classify(docs, labels).count() == docs.count()
 
 
+def test_a_lexicon_of_more_than_300_terms(spark):
+    """Every term that the labels teach is kept."""
+    rng = random.Random(1)
+    bad = ["".join(rng.choice("bcdfghjklm") + rng.choice("aeiou") for _ in range(6)) for _ in range(450)]
+    rows = [(i, " ".join(words(rng, 12) + rng.sample(bad, 25) * (i % 2)), i % 2) for i in range(1200)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    assert sum(f" {w} " in lexicon.weights for w in bad) > 400
+
+
 def brute_tiles(a, b, least):
     """Coverage of a by greedy string tiling, straight from its definition."""
     used_a, used_b, total = [False] * len(a), [False] * len(b), 0
@@ -192,6 +201,30 @@ def test_pii_finds_disguised_forms_and_leaves_the_rest(spark, docs, nothing):
     assert kept.columns == docs.columns and sorted(map(repr, kept.select("text").collect())) == sorted(repr(docs.select("text").first().__class__(text=r.redacted)) for r in odd)
 
 
+def test_added_spans_on_forms_that_no_training_case_had(spark):
+    """Recall and precision of the spans that the trees add, on disguises and look-alikes written otherwise than those they are fitted to."""
+    rng = random.Random(14)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(sign):
+        body = number(15)
+        full = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        return sign.join(full[i : i + 4] for i in range(0, 16, 4))
+
+    name = lambda: "".join(rng.choice(("ba", "ti", "ko", "re")) for _ in range(3))
+    ip = lambda s: s.join(str(rng.randint(1, 254)) for _ in range(4))
+    hidden = [lambda: f"{name()} {{at}} {name()} {{dot}} org", lambda: f"{name()}<at>{name()}.net", lambda: f"{name()} @ {name()}.de", lambda: ip("(dot)"), lambda: ip(" . "), lambda: card("_"), lambda: card(". "), lambda: f"{number(3)}.{rng.randint(200, 999)}.{number(4)}"]
+    plain = [lambda: f"meet at {number(1)}.{number(2)} sharp", lambda: f"version {number(1)}.{number(2)}.{number(1)}", lambda: f"look at example.{name()}", lambda: f"order {number(14)}", lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(3)} {number(2)} of {number(4)}"]
+    known = [lambda: f"u{number(2)}@mail.example.com", lambda: ip("."), lambda: card(""), lambda: f"+1 ({number(3)}) 555-{number(4)}", lambda: number(16)]
+    train = spark.createDataFrame([(i, " ".join([*words(rng, 8), rng.choice(known)(), *words(rng, 5)])) for i in range(600)], "doc_id long, text string")
+    model = pii.fit(train)
+    texts = [(" ".join([*words(rng, 6), rng.choice(kinds)(), *words(rng, 6)]), y) for y, kinds in ((1, hidden), (0, plain)) for _ in range(200)]
+    found = [bool(more) for _, more in model.choose([t for t, _ in texts])]
+    recall, false = sum(found[:200]) / 200, sum(found[200:]) / 200
+    print(f"added spans: recall {recall:.2f}, look-alikes taken {false:.2f}")
+    assert recall >= 0.4 and false <= 0.15
+
+
 def test_long_runs_take_linear_time():
     text = "a" * 300_000 + "@ " + "1" * 300_000 + " " + "a.b" * 50_000 + "@"
     assert pii.base_spans(text) == []
