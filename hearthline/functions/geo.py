@@ -42,3 +42,8 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 def in_polygon(x: Column, y: Column, rings: Column) -> Column:
     """Whether a point is in a polygon, an array of rings, the first the outer one and the others holes."""
     return F.exists(F.slice(rings, 1, 1), lambda r: in_ring(x, y, r)) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: in_ring(x, y, r))
+
+
+def in_polygons(x: Column, y: Column, polygons: Column) -> Column:
+    """Whether a point is in one of the polygons of an array, each an array of rings."""
+    return F.exists(polygons, lambda rings: in_polygon(x, y, rings))

@@ -29,7 +29,7 @@ def collapse(c: Column) -> Column:
 
 def _group(c: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null if there is no match."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def _number(c: Column) -> Column:
@@ -139,27 +139,47 @@ def sane_dimensions(area_: Column, front: Column, deep: Column, ratio: float = 3
     return F.when(~F.coalesce(front > F.sqrt(area_ * ratio), F.lit(False)), front), F.when(~F.coalesce(deep > area_ / 1.5, F.lit(False)), deep)
 
 
-#: Generic words in front of names.
-STREET_WORDS = r"^(?:(?:so|ngo|ngach|hem|duong|pho|kiet|to|khu)\s+)?(?:[0-9]+[a-z]?(?:[/.-][0-9a-z]+)*\s+)?"
-PROJECT_WORDS = r"\b(?:chung cu|can ho|toa nha|du an|khu do thi|kdt|the)\b"
+#: Generic words in front of and in names, over folded text.
+STREET_PREFIXES = ("duong", "pho", "ngo", "ngach", "hem", "to dan pho", "to", "khu do thi", "khu", "so nha", "so", "dg")
+WARD_PREFIXES = ("phuong", "xa", "thi tran", "tt")
+DISTRICT_PREFIXES = ("quan", "huyen", "thi xa", "tp", "thanh pho")
+PROJECT_WORDS = ("chung cu", "khu do thi moi", "khu do thi", "kdt", "du an", "toa nha", "toa", "cc", "can ho", "khu can ho", "block")
+
+
+def _or_null(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _without_prefix(key: Column, prefixes: tuple[str, ...]) -> Column:
+    return F.regexp_replace(key, f"^(?:{'|'.join(prefixes)})\\s+", "")
 
 
 def name_key(c: Column) -> Column:
-    """Folded letters and digits, one space between runs."""
-    return collapse(F.regexp_replace(fold(c), r"[^a-z0-9]+", " "))
+    """Folded letters and digits, one space between runs; null if there are none, so that missing names match nothing."""
+    return _or_null(collapse(F.regexp_replace(fold(c), r"[^a-z0-9]+", " ")))
 
 
 def street_key(c: Column, rounds: int = 4) -> Column:
-    """A street's name without house numbers and words such as 'ngõ' and 'phố' before it, nested up to ``rounds`` deep."""
+    """A street's name without the words and numbers before it ('ngõ 12 ngách 3 ...'), nested up to ``rounds`` deep; null if nothing is left."""
     key = name_key(c)
     for _ in range(rounds):
-        key = F.trim(F.regexp_replace(key, STREET_WORDS, ""))
-    return key
+        key = F.regexp_replace(_without_prefix(key, STREET_PREFIXES), r"^\d+\s*", "")
+    return _or_null(key)
+
+
+def ward_key(c: Column) -> Column:
+    """A ward's name without its kind."""
+    return _or_null(_without_prefix(name_key(c), WARD_PREFIXES))
+
+
+def district_key(c: Column) -> Column:
+    """A district's name without its kind."""
+    return _or_null(_without_prefix(name_key(c), DISTRICT_PREFIXES))
 
 
 def project_key(c: Column) -> Column:
-    """A project's name without generic words."""
-    return collapse(F.regexp_replace(name_key(c), PROJECT_WORDS, " "))
+    """A project's name without generic words; null if nothing is left."""
+    return _or_null(collapse(F.regexp_replace(name_key(c), f"\\b(?:{'|'.join(PROJECT_WORDS)})\\b", " ")))
 
 
 def facing(c: Column) -> Column:
@@ -203,3 +223,40 @@ def money(c: Column) -> Column:
 def business_key(price_: Column, area_: Column, ward: Column, description: Column) -> Column:
     """Listings that agree in it are taken for one: price to a million, area to a tenth, ward, the description's first 120 characters."""
     return F.concat_ws("|", F.bround(price_, -6).cast("string"), F.bround(area_, 1).cast("string"), F.coalesce(ward, F.lit("")), F.substring(F.coalesce(description, F.lit("")), 1, 120))
+
+
+def html_number(c: Column) -> Column:
+    """A number of a page with its unit: dots group thousands only beside a comma, else either sign is a decimal one."""
+    t = fold(c)
+    token = _group(t, r"([\d.,]+)")
+    token = F.when(token.contains(".") & token.contains(","), F.replace(token, F.lit("."), F.lit(""))).otherwise(token)
+    return _number(token) * F.when(t.contains("ty"), TY).when(t.contains("trieu"), TRIEU).otherwise(1.0)
+
+
+def geocode_query(*parts: Column) -> Column:
+    """The parts that are not blank, joined by commas."""
+    return F.concat_ws(", ", *(F.nullif(F.trim(p), F.lit("")) for p in parts))
+
+
+def feature_flags(c: Column, features: dict[str, str]) -> dict[str, Column]:
+    """A 0/1 column for each feature: whether the folded text holds its folded words as they are."""
+    t = fold(c)
+    return {f"has_{name}": t.contains(fold(F.lit(words))).cast("int") for name, words in features.items()}
+
+
+def type_by_slug(url: Column, slugs: list[tuple[str, str]], default: str) -> Column:
+    """The type of the first slug, in order, that the address holds."""
+    return F.coalesce(*(F.when(url.contains(slug), F.lit(name)) for slug, name in slugs), F.lit(default))
+
+
+def wrong_level(district: Column, ward: Column) -> Column:
+    """Whether a rural ward ('xã') is said to be in an urban district ('quận'), which no map has."""
+    return F.coalesce(fold(ward).rlike(r"^xa\b") & fold(district).rlike(r"^quan\b"), F.lit(False))
+
+
+def address_parts(address: Column) -> dict[str, Column]:
+    """street (all before the ward, else before the district), ward and district of 'street, Phường X, Quận Y, city'; null where there is none."""
+    t = collapse(address)
+    ward, district = (_group(t, rf"(?i)(?:^|,)\s*((?:{kinds})\s+[^,]+)") for kinds in ("phường|xã|thị trấn", "quận|huyện|thị xã"))
+    street = F.regexp_replace(F.regexp_replace(t, r"(?i)(?:^|,)\s*(?:phường|xã|thị trấn)\s.*$", ""), r"(?i)(?:^|,)\s*(?:quận|huyện|thị xã)\s.*$", "")
+    return {"street": _or_null(F.trim(street)), "ward": ward, "district": district}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.functions.geo import RADIUS_KM, cell, haversine_km, in_ring, plane_km
+from hearthline.functions.geo import RADIUS_KM, cell, haversine_km, in_polygons, plane_km
 from hearthline.operators.quality import cut_lineage
 
 
@@ -112,8 +112,8 @@ def _cube(lat: str, lon: str) -> list[Column]:
 CUBE_KM, FINEST = 16384.0, 22
 
 
-def nearest(df: DataFrame, base: DataFrame, k: int, km: float | None = None, row_id: str = "row_id") -> DataFrame:
-    """l_row_id, r_row_id, km, rank: the k nearest base rows of each row, at any distance or within km, itself left out; of equal distances the smaller id. Rows without a place have none.
+def nearest(df: DataFrame, base: DataFrame, k: int, km: float | None = None, row_id: str = "row_id", itself: bool = False) -> DataFrame:
+    """l_row_id, r_row_id, km, rank: the k nearest base rows of each row, at any distance or within km, itself (the row of the same id) left out unless asked for; of equal distances the smaller id. Rows without a place have none.
 
     Cells halve from level to level. A row's own cell at the finest level where it holds more than k base rows bounds the distance of the k-th by its
     diagonal, and the cells around one twice as wide hold everything within that: so one equi-join finds all, near in dense places and far in thin ones.
@@ -137,7 +137,9 @@ def nearest(df: DataFrame, base: DataFrame, k: int, km: float | None = None, row
     square = sum((F.pow(F.col(f"l_{c}") - F.col(f"r_{c}"), F.lit(2)) for c in "xyz"), F.lit(0.0))
     # the own cell has half the side: three quarters of this square; a little more for rounding
     wide = F.pow(F.lit(CUBE_KM) / F.pow(F.lit(2.0), F.col("level")), F.lit(2))
-    found = found.where((square <= 0.76 * wide) | (F.col("level") == 0)).where(f"l_{row_id} <> r_{row_id}")
+    found = found.where((square <= 0.76 * wide) | (F.col("level") == 0))
+    if not itself:
+        found = found.where(f"l_{row_id} <> r_{row_id}")
     found = found.select(f"l_{row_id}", f"r_{row_id}", haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")).alias("km"))
     if km is not None:
         found = found.where(F.col("km") <= km)
@@ -164,16 +166,17 @@ def weighted_score(parts: list[tuple[Column, float]]) -> Column:
 
 
 def contains(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Points (lat, lon) with every polygon (polygon, ring of x = lon and y = lat) that holds them: boxes of polygons, cut into cells of a twentieth of a degree, then the ring.
+    """Points (lat, lon) with every polygon (polygon, parts: an array of polygons, each an array of rings of x = lon and y = lat, the first the outer one and the others holes) that holds them: boxes of polygons, cut into cells of a twentieth of a degree, then the rings.
 
     Polygons are only as many as wards, but nothing relies on that: the join is on cells.
     """
     size = 0.05
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    outer = F.flatten(F.transform("parts", lambda rings: rings[0]))
+    xs, ys = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
     boxed = polygons.select("*", *(F.explode(F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))).alias(n) for v, n in ((xs, "gx"),)))
     boxed = boxed.withColumn("gy", F.explode(F.sequence(F.floor(F.array_min(ys) / size), F.floor(F.array_max(ys) / size))))
     at = points.withColumn("gx", F.floor(F.col("lon") / size)).withColumn("gy", F.floor(F.col("lat") / size))
-    return at.join(boxed, ["gx", "gy"]).where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).drop("gx", "gy", "ring")
+    return at.join(boxed, ["gx", "gy"]).where(in_polygons(F.col("lon"), F.col("lat"), F.col("parts"))).drop("gx", "gy", "parts")
 
 
 def quantile_classes(stats: DataFrame, value: str, classes: int = 7, least: int = 20) -> DataFrame:
@@ -183,11 +186,10 @@ def quantile_classes(stats: DataFrame, value: str, classes: int = 7, least: int
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """row_id, centre, km: the nearest of a table of centres (centre, lat, lon), of equals the first. The centres, one per ward, travel as one array of bounded size."""
-    table = centres.agg(F.sort_array(F.collect_list(F.struct("centre", "lat", "lon"))).alias("all"))
-    far = lambda c: F.struct(haversine_km(F.col("lat"), F.col("lon"), c["lat"], c["lon"]).alias("km"), c["centre"].alias("centre"))
-    best = points.join(F.broadcast(table)).withColumn("best", F.array_min(F.transform("all", far)))
-    return best.select(row_id, F.col("best.centre").alias("centre"), F.col("best.km").alias("km"))
+    """row_id, centre, km: the nearest of a table of centres (centre, lat, lon), of equals the first; found by cells, however many centres there are."""
+    base = centres.select(F.col("centre").alias("c_id"), "lat", "lon")
+    found = nearest(points.select(F.col(row_id).alias("c_id"), "lat", "lon"), base, k=1, row_id="c_id", itself=True)
+    return found.select(F.col("l_c_id").alias(row_id), F.col("r_c_id").alias("centre"), "km")
 
 
 def cascade(df: DataFrame, levels: list[tuple[str, list[str]]], least: int = 3) -> DataFrame:

@@ -24,9 +24,9 @@ def prefer_first(df: DataFrame, key: str, better: Column, row_id: str = "row_id"
 
 
 def iqr_outlier(value: Column, groups: list[str], k: float = 3.0, least: int = 15) -> Column:
-    """Beyond k interquartile ranges from the quartiles of its group, of at least ``least`` values. Null groups are a group; a null value is no outlier."""
+    """Beyond k interquartile ranges from the quartiles of its group, of at least ``least`` rows. Null groups are a group; a null value is no outlier."""
     w = Window.partitionBy(*groups)
-    q1, q3, n = F.percentile(value, F.lit(0.25)).over(w), F.percentile(value, F.lit(0.75)).over(w), F.count(value).over(w)
+    q1, q3, n = F.percentile(value, F.lit(0.25)).over(w), F.percentile(value, F.lit(0.75)).over(w), F.count("*").over(w)
     return F.coalesce((n >= least) & ((value < q1 - k * (q3 - q1)) | (value > q3 + k * (q3 - q1))), F.lit(False))
 
 

@@ -37,13 +37,20 @@ def encode(df: DataFrame, key: str, target: Column, weight: float = 10.0, fold:
 
 def conformal_offset(scores: DataFrame, score: str, alpha: float = 0.1, groups: list[str] | None = None) -> DataFrame:
     """groups, n and offset: the order statistic of the conformity scores at level min(ceil((n + 1)(1 - alpha)) / n, 1), taken at the next higher rank."""
-    groups = groups or []
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    n = F.count(score).over(w)
-    level = F.least(F.ceil((n + 1) * (1 - alpha)) / n, F.lit(1.0))
-    rank = F.row_number().over(w.orderBy(score)) - 1
-    known = scores.where(F.col(score).isNotNull())
-    return known.select(*groups, n.alias("n"), F.col(score).alias("offset"), rank.alias("r"), F.ceil(level * (n - 1)).alias("want")).where("r = want").select(*groups, "n", "offset")
+    known, level = scores.where(F.col(score).isNotNull()), F.least(F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"), F.lit(1.0))
+    want = F.ceil(level * (F.col("n") - 1))
+    if groups:
+        w = Window.partitionBy(*groups)
+        ranked = known.select(*groups, F.count(score).over(w).alias("n"), F.col(score).alias("offset"), (F.row_number().over(w.orderBy(score)) - 1).alias("r"))
+        return ranked.where(F.col("r") == want).select(*groups, "n", "offset")
+    # of all rows, only the few between two approximate quantiles around the rank are put in order
+    near = F.percentile_approx(score, F.array(F.lit(max(1 - alpha - 1e-3, 0.0)), F.lit(min(1 - alpha + 2e-3, 1.0))), 10_000)
+    ends = known.agg(F.count("*").alias("n"), near[0].alias("from"), near[1].alias("to"))
+    beside = known.select(F.col(score).alias("offset")).join(F.broadcast(ends))
+    below = beside.agg(F.count_if(F.col("offset") < F.col("from")).alias("below"))
+    inside = beside.where("offset >= from AND (offset <= to OR n < 5000)").groupBy("offset", "n").agg(F.count("*").alias("c")).join(F.broadcast(below))
+    reached = inside.withColumn("upto", F.col("below") + F.sum("c").over(Window.orderBy("offset")))
+    return reached.where((F.col("upto") > want) & (F.col("upto") - F.col("c") <= want)).select("n", "offset")
 
 
 def accuracy(df: DataFrame, groups: list[str] | None = None, truth: str = "price", predicted: str = "predicted") -> DataFrame:
@@ -69,47 +76,57 @@ def noise_floor(df: DataFrame, groups: list[str | Column], value: str) -> DataFr
 
 
 def grade(n_ward: Column, n_district: Column, width: Column) -> Column:
-    """A, B or C by how many listings stand behind a value and how wide its interval is."""
-    return F.when((n_ward >= 30) & (width <= 0.35), "A").when(((n_ward >= 10) | (n_district >= 100)) & (width <= 0.5), "B").otherwise("C")
+    """high, medium or low by how many listings of the ward and district stand behind a value and, for high, a half-width of its interval below 45 per cent."""
+    return F.when((n_ward >= 30) & (width < 45), "high").when((n_ward >= 10) | (n_district >= 60), "medium").otherwise("low")
+
+
+def encoding_table(train: DataFrame, key: str, target: Column, weight: float = 10.0) -> DataFrame:
+    """key and enc: what encode() gives the keys of train from all of its rows."""
+    cells = train.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+    overall = train.agg(F.avg(target).alias("mean"))
+    return cells.join(F.broadcast(overall)).select(F.col(key).alias("_key"), ((F.col("s") + F.col("mean") * weight) / (F.col("n") + weight)).alias("enc"), "mean")
 
 
 def cross_validated(df: DataFrame, numbers: list[str], categories: list[str], folds: int = 5, alpha: float = 0.1, row_id: str = "row_id", trees: int = 20, depth: int = 5) -> DataFrame:
     """row_id, price, fold, predicted, low and high: each fold priced by boosted trees fitted to the others on log(1 + price), with a
-    conformal interval from a quarter of these held back. Categories are encoded within the rows that a fold's model may see; missing numbers become the
-    overall median with a flag.
+    conformal interval from a quarter of these held back. All that a fold's model learns comes from the rows it is fitted to: the medians that stand for missing numbers (with a flag), and the
+    encodings of categories, which for these rows leave out the part that a row is in.
     """
     y = F.log1p("price")
-    base = df.where("price > 0").withColumn("fold", fold_of(F.col(row_id), folds)).withColumn("calibrate", fold_of(F.concat(F.lit("c"), F.col(row_id).cast("string")), 4) == 0)
-    medians = base.agg(*(F.median(c).alias(c) for c in numbers)).first()
-    for c in numbers:
-        base = base.withColumn(f"{c}_missing", F.col(c).isNull().cast("double")).withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))))
+    base = df.where("price > 0").withColumn("y", y).withColumn("fold", fold_of(F.col(row_id), folds)).withColumn("calibrate", fold_of(F.concat(F.lit("c"), F.col(row_id).cast("string")), 4) == 0)
+    base = base.withColumn("part", fold_of(F.concat(F.lit("p"), F.col(row_id).cast("string")), folds))
     inputs = [*numbers, *(f"{c}_missing" for c in numbers), *(f"enc_{c}" for c in categories)]
-    for c in categories:
-        base = encode(base, c, y, fold="fold")
-    ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(base.withColumn("y", y))
-    out = None
+    assembler, out = VectorAssembler(inputCols=inputs, outputCol="features"), None
     for k in range(folds):
-        seen = ready.where(F.col("fold") != k)
-        model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=42, predictionCol="p").fit(seen.where("NOT calibrate"))
-        scores = model.transform(seen.where("calibrate")).select(F.abs(F.col("y") - F.col("p")).alias("s"))
-        priced = model.transform(ready.where(F.col("fold") == k)).join(F.broadcast(conformal_offset(scores, "s", alpha)))
+        fitted, other = base.where(f"fold <> {k} AND NOT calibrate"), base.where(f"fold = {k} OR calibrate")
+        medians = fitted.agg(*(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in numbers)).first() if numbers else {}
+        overall = float(fitted.agg(F.avg("y")).first()[0] or 0.0)
+        for c in categories:
+            table = encoding_table(fitted, c, F.col("y")).select("_key", F.col("enc").alias(f"enc_{c}"))
+            other = other.join(table, F.col(c) == F.col("_key"), "left").drop("_key").fillna(overall, [f"enc_{c}"])
+            fitted = encode(fitted, c, F.col("y"), fold="part").fillna(overall, [f"enc_{c}"])
+        plain = lambda d: assembler.transform(d.select("*", *(F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numbers)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in numbers}))  # noqa: B023, E731
+        model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=42, predictionCol="p").fit(plain(fitted))
+        seen = model.transform(plain(other))
+        scores = seen.where(f"fold <> {k}").select(F.abs(F.col("y") - F.col("p")).alias("s"))
+        priced = seen.where(f"fold = {k}").join(F.broadcast(conformal_offset(scores, "s", alpha)))
         part = priced.select(row_id, "price", "fold", F.expm1("p").alias("predicted"), F.expm1(F.col("p") - F.col("offset")).alias("low"), F.expm1(F.col("p") + F.col("offset")).alias("high"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def quantile_forest(train: DataFrame, test: DataFrame, inputs: list[str], target: str, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95), trees: int = 10, row_id: str = "row_id") -> DataFrame:
-    """row_id with q05, q50, ...: quantiles of the training targets that share leaves with a row, over the trees of a random forest. Leaves are joined, so no row's neighbours pass through the driver."""
+    """row_id with q05, q50, ...: quantiles of the training targets in a row's leaves, averaged over the trees of a random forest. Leaves are joined, so no row's neighbours pass through the driver."""
     ready = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=6, seed=42, leafCol="leaf").fit(ready.transform(train))
     def split(df: DataFrame, *keep: str) -> DataFrame:
         return model.transform(ready.transform(df)).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
 
-    # targets of a leaf as a sorted array: bounded by the size of a leaf of the fitted sample
-    inside = split(train, target).groupBy("tree", "leaf").agg(F.collect_list(target).alias("ys"))
-    pooled = split(test, row_id).join(inside, ["tree", "leaf"]).groupBy(row_id).agg(F.flatten(F.collect_list("ys")).alias("ys"))
-    values = pooled.select(row_id, F.explode("ys").alias("y")).groupBy(row_id)
-    return values.agg(*(F.percentile("y", F.lit(q)).alias(f"q{round(100 * q):02d}") for q in quantiles))
+    # a leaf's quantiles come from one grouped sketch of bounded size, and a row's are their means over the trees
+    names = [f"q{round(100 * q):02d}" for q in quantiles]
+    inside = split(train, target).groupBy("tree", "leaf").agg(F.percentile_approx(target, F.array(*map(F.lit, quantiles)), 10_000).alias("qs"))
+    found = split(test, row_id).join(inside, ["tree", "leaf"]).groupBy(row_id)
+    return found.agg(*(F.avg(F.col("qs")[i]).alias(n) for i, n in enumerate(names)))
 
 
 def contributions(row: DataFrame, weights: dict[str, float], means: dict[str, float], row_id: str = "row_id") -> DataFrame:

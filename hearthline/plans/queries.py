@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import geo, text
 from hearthline.operators import areas, quality, search, valuation
+from hearthline.plans.registry import QUERIES, SQL, query, rounded as _round
 from hearthline.plans.views import LISTING, PLACES, km_sql, listing, places, table
 from hearthline.sources import files, html
 from hearthline.streaming import sightings
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _round(df: DataFrame, places_: int = 4) -> DataFrame:
-    return df.select(*(F.round(c, places_).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
 # Quality
 
 
@@ -179,15 +159,19 @@ def nearest_anywhere(spark: SparkSession, d: str) -> DataFrame:
     return _round(areas.nearest(p, p, k=5), 6)
 
 
-@query(f"""WITH {PLACES}, poi AS (SELECT ward AS kind, lat, lon FROM places WHERE row_id % 4 = 0), r AS (SELECT row_id, lat, lon FROM places),
+KINDS = range(10)
+
+
+@query(f"""WITH {PLACES}, poi AS (SELECT ward AS kind, lat, lon FROM places WHERE price >= 73e6), r AS (SELECT row_id, lat, lon FROM places),
 j AS (SELECT r.row_id, kind, {km_sql('r.lat', 'r.lon', 'poi.lat', 'poi.lon')} AS km FROM r JOIN poi ON {km_sql('r.lat', 'r.lon', 'poi.lat', 'poi.lon')} <= 8)
-SELECT r.row_id, round(min(km) FILTER (kind = 0), 6) AS near_0, count(*) FILTER (kind = 0) AS count_0, round(min(km) FILTER (kind = 1), 6) AS near_1, count(*) FILTER (kind = 1) AS count_1,
-round(1 + 99 * (coalesce(exp(-(min(km) FILTER (kind = 0)) / 2.0), 0) * 2 + coalesce(exp(-(min(km) FILTER (kind = 1)) / 3.0), 0)) / 3, 6) AS score FROM r LEFT JOIN j USING (row_id) GROUP BY r.row_id""")
+SELECT r.row_id, {', '.join(f'round(min(km) FILTER (kind = {i}), 6) AS near_{i}, count(*) FILTER (kind = {i}) AS count_{i}' for i in KINDS)},
+round(1 + 99 * ({' + '.join(f'coalesce(exp(-(min(km) FILTER (kind = {i})) / {2.0 + i % 2}), 0) * {1 + i % 3}' for i in KINDS)}) / {sum(1 + i % 3 for i in KINDS)}, 6) AS score FROM r LEFT JOIN j USING (row_id) GROUP BY r.row_id""")
 def poi_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Dear listings as points of interest of their ward's kind."""
     p = places(spark, d)
-    poi = p.where("row_id % 4 = 0").select(F.col("ward").cast("string").alias("kind"), "lat", "lon")
-    out = areas.poi_features(p, poi, ("0", "1"), 8.0)
-    return _round(out.withColumn("score", areas.weighted_score([(areas.closeness(F.col("near_0"), 2.0), 2.0), (areas.closeness(F.col("near_1"), 3.0), 1.0)])), 6)
+    poi = p.where("price >= 73e6").select(F.col("ward").cast("string").alias("kind"), "lat", "lon")
+    out = areas.poi_features(p, poi, tuple(map(str, KINDS)), 8.0)
+    return _round(out.withColumn("score", areas.weighted_score([(areas.closeness(F.col(f"near_{i}"), 2.0 + i % 2), float(1 + i % 3)) for i in KINDS])), 6)
 
 
 RECTANGLES = [(i, 20.6 + 0.1 * i, 105.35 + 0.08 * i, 20.85 + 0.1 * i, 105.6 + 0.08 * i) for i in range(5)]
@@ -197,7 +181,7 @@ RECT_SQL = f"rect AS (SELECT * FROM (VALUES {', '.join(str(r) for r in RECTANGLE
 def _rectangles(spark: SparkSession, d: str) -> DataFrame:
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     ring = lambda s, w, n, e: F.array(corner(w, s), corner(e, s), corner(e, n), corner(w, n), corner(w, s))
-    rows = F.array(*(F.struct(F.lit(i).cast("int").alias("polygon"), ring(*box).alias("ring")) for i, *box in RECTANGLES))
+    rows = F.array(*(F.struct(F.lit(i).cast("int").alias("polygon"), F.array(F.array(ring(*box))).alias("parts")) for i, *box in RECTANGLES))
     return table(spark, d, "region").limit(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -284,9 +268,9 @@ def budget(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("share", F.round("share", 6)).withColumn("median_price", F.round("median_price", 4))
 
 
-@query(f"WITH {LISTING} SELECT count(*) AS n, min(price) AS lowest, round(quantile_cont(price, 0.25), 4) AS q25, round(median(price), 4) AS median FROM listing WHERE price > 450000 HAVING count(*) >= 5")
+@query(f"WITH {LISTING} SELECT count(*) AS n, min(price) AS lowest, round(quantile_cont(price, 0.25), 4) AS q25, round(median(price), 4) AS median FROM listing WHERE rooms = 3 HAVING count(*) >= 5 AND min(price) > 1000")
 def price_hint(spark: SparkSession, d: str) -> DataFrame:
-    return _round(search.price_hint(listing(spark, d).where("price > 450000"), 400_000))
+    return _round(search.price_hint(listing(spark, d).where("rooms = 3"), 1_000))
 
 
 @query(f"WITH {LISTING} SELECT 'rooms' AS \"column\", round(avg((rooms IS NOT NULL)::INT), 6) AS share FROM listing HAVING share < 0.9")
@@ -342,9 +326,9 @@ def price_slope(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def boosted_valuation(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-validated prices and conformal intervals of line items, by boosted trees."""
+    """Cross-validated prices and conformal intervals of parts, by boosted trees."""
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), (F.col("p_partkey") % 1000).cast("double").alias("code"))
-    return valuation.cross_validated(rows, ["size", "code"], ["brand", "type"], folds=3, trees=10, depth=4)
+    return valuation.cross_validated(rows, ["size", "code"], ["brand", "type"])
 
 
 @query()
@@ -410,6 +394,11 @@ def daily_events(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+import hearthline.plans.market_queries  # noqa: E402, F401
+
+__all__ = ["QUERIES", "SQL", "flagship"]
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return ward_table(spark, d)
 

@@ -32,19 +32,25 @@ def clean_cell(c: Column, most: int = 32_767) -> Column:
 
 
 def polygon_rings(wkt: Column) -> Column:
-    """The rings, as arrays of structs (x, y), of a WKT POLYGON or MULTIPOLYGON."""
+    """The rings, as arrays of structs (x, y), of a WKT POLYGON: the outer one, then the holes."""
     rings = F.regexp_extract_all(wkt, F.lit(r"\(([-0-9. ,eE+]+)\)"), F.lit(1))
     point = lambda p: F.struct(F.element_at(F.split(F.trim(p), r"\s+"), 1).cast("double").alias("x"), F.element_at(F.split(F.trim(p), r"\s+"), 2).cast("double").alias("y"))
     return F.transform(rings, lambda r: F.transform(F.split(r, ","), point))
 
 
+def polygons(wkt: Column) -> Column:
+    """The polygons, as arrays of rings, of a WKT POLYGON or MULTIPOLYGON."""
+    parts = F.split(F.regexp_replace(wkt, r"\)\s*\)\s*,\s*\(\s*\(", ")|("), r"\|")
+    return F.transform(parts, polygon_rings)
+
+
 def read_polygon_dump(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """code, name and rings from a text dump of SQL inserts (code, name, WKT), one tuple a line; polygons whose first point is outside the box (south, north, west, east) go before their WKT is read."""
+    """code, name and polygons from a text dump of SQL inserts (code, name, WKT), one tuple a line; polygons whose first point is outside the box (south, north, west, east) go before their WKT is read."""
     line = r"\(\s*'?([^',]+)'?\s*,\s*'([^']*)'\s*,\s*'((?:MULTI)?POLYGON[^']*)'"
     rows = spark.read.text(path).where(F.col("value").rlike(line)).select(*(F.regexp_extract("value", line, i).alias(n) for i, n in ((1, "code"), (2, "name"), (3, "wkt"))))
     first = r"\(\s*(-?[0-9.]+)\s+(-?[0-9.]+)"
     x, y = (F.regexp_extract("wkt", first, i).cast("double") for i in (1, 2))
-    return rows.where(y.between(box[0], box[1]) & x.between(box[2], box[3])).dropDuplicates(["code"]).select("code", "name", polygon_rings(F.col("wkt")).alias("rings"))
+    return rows.where(y.between(box[0], box[1]) & x.between(box[2], box[3])).dropDuplicates(["code"]).select("code", "name", polygons(F.col("wkt")).alias("polygons"))
 
 
 def geojson(rings: Column, **properties: Column) -> Column:

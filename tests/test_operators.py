@@ -158,7 +158,7 @@ def test_pages(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "dump.sql").write_text("INSERT INTO w VALUES\n('01', 'Ba Đình', 'POLYGON((105.8 21.0, 105.9 21.0, 105.9 21.1, 105.8 21.0))'),\n('02', 'Far', 'POLYGON((1 1, 2 1, 2 2, 1 1))');\n")
     got = files.read_polygon_dump(spark, str(tmp_path), geo.BOX)
-    feature = got.select(files.geojson(F.col("rings"), name=F.col("name")).alias("g")).first().g
+    feature = got.select(files.geojson(F.col("polygons")[0], name=F.col("name")).alias("g")).first().g
     assert feature == '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[105.8,21.0],[105.9,21.0],[105.9,21.1],[105.8,21.0]]]},"properties":{"name":"Ba Đình"}}'
     (tmp_path / "a.csv").write_text('id,price\n1,"2,5 tỷ"\n2,\n')
     read = files.read_listings(spark, str(tmp_path / "a.csv"), "id long, price string", ["id"])
