@@ -41,7 +41,8 @@ def name_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", *(f(F.col("name")).alias(k) for k, f in keys.items()))
 
 
-@query(f"SELECT doc_id, {', '.join(f'''regexp_matches({_sql_fold('text')}, '{p}')::INT AS mentions_{n}''' for n, p in text.MENTIONS.items())} FROM documents")
+# Letters beyond ASCII are letters to \b here, but not in DuckDB: there they become a q.
+@query(f"SELECT doc_id, {', '.join(f'''regexp_matches(f, '{p}')::INT AS mentions_{n}''' for n, p in text.MENTIONS.items())} FROM (SELECT doc_id, regexp_replace({_sql_fold('text')}, '[\\x{{00C0}}-\\x{{1FFF}}]', 'q', 'g') AS f FROM documents)")
 def mention_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in text.mentions(F.col("text")).items()))
 
