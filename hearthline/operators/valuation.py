@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,30 +89,71 @@ def encoding_table(train: DataFrame, key: str, target: Column, weight: float = 1
     return cells.join(F.broadcast(overall)).select(F.col(key).alias("_key"), ((F.col("s") + F.col("mean") * weight) / (F.col("n") + weight)).alias("enc"), "mean")
 
 
-def cross_validated(df: DataFrame, numbers: list[str], categories: list[str], folds: int = 5, alpha: float = 0.1, row_id: str = "row_id", trees: int = 20, depth: int = 5) -> DataFrame:
-    """row_id, price, fold, predicted, low and high: each fold priced by boosted trees fitted to the others on log(1 + price), with a
-    conformal interval from a quarter of these held back. All that a fold's model learns comes from the rows it is fitted to: the medians that stand for missing numbers (with a flag), and the
-    encodings of categories, which for these rows leave out the part that a row is in.
+@dataclass(frozen=True)
+class Appraiser:
+    """What rows need to be priced: medians for missing numbers, encodings of categories, the trees, and the half-width (in logarithms) of a conformal interval.
+
+    ``train`` holds the rows the trees were fitted to, with their features; the encodings of these leave out the part that a row is in.
+    """
+
+    numbers: list[str]
+    categories: list[str]
+    medians: dict[str, float]
+    overall: float
+    tables: dict[str, DataFrame]
+    model: GBTRegressionModel
+    offset: DataFrame
+    train: DataFrame
+
+    @property
+    def inputs(self) -> list[str]:
+        return [*self.numbers, *(f"{c}_missing" for c in self.numbers), *(f"enc_{c}" for c in self.categories)]
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """df with the inputs, medians in place of missing numbers, and with them as a vector."""
+        for c, table in self.tables.items():
+            df = df.join(table, F.col(c) == F.col("_key"), "left").drop("_key").fillna(self.overall, [f"enc_{c}"])
+        return _features(df, self.numbers, self.medians, self.inputs)
+
+    def price(self, df: DataFrame) -> DataFrame:
+        """df with its features, predicted, low and high."""
+        seen = self.model.transform(self.features(df)).join(F.broadcast(self.offset.select("offset")))
+        return seen.withColumns({"predicted": F.expm1("p"), "low": F.expm1(F.col("p") - F.col("offset")), "high": F.expm1(F.col("p") + F.col("offset"))}).drop("p", "offset")
+
+
+def _features(df: DataFrame, numbers: list[str], medians: dict[str, float], inputs: list[str]) -> DataFrame:
+    flagged = df.select("*", *(F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numbers))
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(flagged.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in numbers}))
+
+
+def fit(df: DataFrame, numbers: list[str], categories: list[str], alpha: float = 0.1, row_id: str = "row_id", trees: int = 20, depth: int = 5, folds: int = 5) -> Appraiser:
+    """An Appraiser of the rows with a price: boosted trees on log(1 + price), fitted to three quarters of them; the interval comes from the others.
+
+    All that is learnt comes from the rows the trees are fitted to: medians, and encodings, which for these rows leave out the part that a row is in.
     """
-    y = F.log1p("price")
-    base = df.where("price > 0").withColumn("y", y).withColumn("fold", fold_of(F.col(row_id), folds)).withColumn("calibrate", fold_of(F.concat(F.lit("c"), F.col(row_id).cast("string")), 4) == 0)
-    base = base.withColumn("part", fold_of(F.concat(F.lit("p"), F.col(row_id).cast("string")), folds))
+    text = F.col(row_id).cast("string")
+    base = df.where("price > 0").withColumn("y", F.log1p("price")).withColumn("calibrate", fold_of(F.concat(F.lit("c"), text), 4) == 0).withColumn("part", fold_of(F.concat(F.lit("p"), text), folds))
+    fitted, held = base.where("NOT calibrate"), base.where("calibrate")
+    known = fitted.agg(F.avg("y").alias("_overall"), *(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in numbers)).first()
+    medians, overall = {c: float(known[c] or 0.0) for c in numbers}, float(known["_overall"] or 0.0)
     inputs = [*numbers, *(f"{c}_missing" for c in numbers), *(f"enc_{c}" for c in categories)]
-    assembler, out = VectorAssembler(inputCols=inputs, outputCol="features"), None
+    train, tables = fitted, {}
+    for c in categories:
+        tables[c] = encoding_table(fitted, c, F.col("y")).select("_key", F.col("enc").alias(f"enc_{c}"))
+        train = encode(train, c, F.col("y"), fold="part").fillna(overall, [f"enc_{c}"])
+    train = _features(train, numbers, medians, inputs)
+    model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=42, predictionCol="p").fit(train)
+    out = Appraiser(numbers, categories, medians, overall, tables, model, train.limit(0), train)
+    scores = model.transform(out.features(held)).select(F.abs(F.col("y") - F.col("p")).alias("s"))
+    return replace(out, offset=conformal_offset(scores, "s", alpha))
+
+
+def cross_validated(df: DataFrame, numbers: list[str], categories: list[str], folds: int = 5, alpha: float = 0.1, row_id: str = "row_id", trees: int = 20, depth: int = 5) -> DataFrame:
+    """row_id, price, fold, predicted, low and high: each fold priced by what fit() learns from the others."""
+    base, out = df.where("price > 0").withColumn("fold", fold_of(F.col(row_id), folds)), None
     for k in range(folds):
-        fitted, other = base.where(f"fold <> {k} AND NOT calibrate"), base.where(f"fold = {k} OR calibrate")
-        medians = fitted.agg(*(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in numbers)).first() if numbers else {}
-        overall = float(fitted.agg(F.avg("y")).first()[0] or 0.0)
-        for c in categories:
-            table = encoding_table(fitted, c, F.col("y")).select("_key", F.col("enc").alias(f"enc_{c}"))
-            other = other.join(table, F.col(c) == F.col("_key"), "left").drop("_key").fillna(overall, [f"enc_{c}"])
-            fitted = encode(fitted, c, F.col("y"), fold="part").fillna(overall, [f"enc_{c}"])
-        plain = lambda d: assembler.transform(d.select("*", *(F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numbers)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in numbers}))  # noqa: B023, E731
-        model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=42, predictionCol="p").fit(plain(fitted))
-        seen = model.transform(plain(other))
-        scores = seen.where(f"fold <> {k}").select(F.abs(F.col("y") - F.col("p")).alias("s"))
-        priced = seen.where(f"fold = {k}").join(F.broadcast(conformal_offset(scores, "s", alpha)))
-        part = priced.select(row_id, "price", "fold", F.expm1("p").alias("predicted"), F.expm1(F.col("p") - F.col("offset")).alias("low"), F.expm1(F.col("p") + F.col("offset")).alias("high"))
+        appraiser = fit(base.where(f"fold <> {k}"), numbers, categories, alpha, row_id, trees, depth, folds)
+        part = appraiser.price(base.where(f"fold = {k}")).select(row_id, "price", "fold", "predicted", "low", "high")
         out = part if out is None else out.unionByName(part)
     return out
 
