@@ -7,12 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.functions.geo import haversine_km, in_box
 from hearthline.functions.text import fold
 from hearthline.operators.areas import contains
 from hearthline.operators.quality import keep_first, similar_leaders
 
 #: Positional error in kilometres that smoothing starts from, and where none is known.
 LEAST_SIGMA, USUAL_SIGMA = 0.30, 0.70
+#: The place that a site fills in where none was pinned (and how near to it counts), and the levels a place is looked up by after the row's own and the listing's id, the surest first.
+FILLED_IN, FILLED_IN_KM = (21.02895, 105.85245), 0.03
+LEVELS = [
+    ("project", ["project"]), ("street", ["district", "ward", "street"]), ("ward", ["district", "ward"]), ("new ward street", ["district", "new_ward", "street"]),
+    ("new ward", ["district", "new_ward"]), ("district street", ["district", "street"]), ("district", ["district"]),
+]
 
 
 def fill_unit_price(df: DataFrame, price: str = "price", area: str = "area", unit: str = "ppm2") -> DataFrame:
@@ -136,6 +143,38 @@ def complete_places(requests: DataFrame, known: DataFrame, levels: list[tuple[st
     return out.drop("_pin", *(f"_{c}{i}" for i in n for c in ("lat", "lon")))
 
 
+def assign_places(df: DataFrame, reference: DataFrame, levels: list[tuple[str, list[str]]] = LEVELS, listing_id: str | None = None, errors: dict[str, float] | None = None) -> DataFrame:
+    """Rows with lat, lon, level, support and error_km: their own place ('own') unless outside the area or filled in by the site, else that of the reference row with their listing id ('id'),
+    else the median place of the reference rows that share the first level's keys, and so on; null if no level has any. A null key matches nothing; of several rows of an id the smallest place counts.
+    ``support`` is how many reference rows stand behind a place (null for own ones), ``error_km`` what ``errors`` says of the level (null if nothing).
+    """
+    known = reference.where("lat IS NOT NULL AND lon IS NOT NULL")
+    own = in_box(F.col("lat"), F.col("lon")) & (haversine_km(F.col("lat"), F.col("lon"), F.lit(FILLED_IN[0]), F.lit(FILLED_IN[1])) >= FILLED_IN_KM)
+    steps, out = [], df.withColumn("_own", own)
+    if listing_id:
+        one = known.where(F.col(listing_id).isNotNull()).groupBy(listing_id).agg(F.min(F.struct("lat", "lon")).alias("_p"))
+        steps.append(("id", [listing_id], one.select(listing_id, F.col("_p.lat").alias("la"), F.col("_p.lon").alias("lo"), F.lit(1).cast("long").alias("n"))))
+    steps += [(name, keys, known.dropna(subset=keys).groupBy(*keys).agg(F.median("lat").alias("la"), F.median("lon").alias("lo"), F.count("*").alias("n"))) for name, keys in levels]
+    for i, (_, keys, found) in enumerate(steps):
+        out = out.join(found.withColumnsRenamed({c: f"_{c}{i}" for c in ("la", "lo", "n")}), keys, "left")
+    pick = lambda first, c: F.coalesce(F.when(F.col("_own"), first), *(F.when(~F.col("_own"), F.col(f"_{c}{i}")) for i in range(len(steps))))
+    names = F.coalesce(F.when(F.col("_own"), "own"), *(F.when(F.col(f"_n{i}").isNotNull(), F.lit(name)) for i, (name, _, _) in enumerate(steps)))
+    out = out.withColumns({"level": names, "support": pick(F.lit(None).cast("long"), "n"), "lat": pick(F.col("lat"), "la"), "lon": pick(F.col("lon"), "lo")})
+    said = reduce(lambda c, e: c.when(F.col("level") == e[0], F.lit(float(e[1]))), (errors or {}).items(), F.when(F.lit(False), F.lit(0.0)))
+    return out.withColumn("error_km", said).drop("_own", *(f"_{c}{i}" for i in range(len(steps)) for c in ("la", "lo", "n")))
+
+
+def audit_places(df: DataFrame, reference: DataFrame, listing_id: str, levels: list[tuple[str, list[str]]] = LEVELS) -> DataFrame:
+    """level, n, q50, q90 (kilometres) and the shares within 0.5, 1 and 2: how far places looked up without the row's own place and id are from those of its listing id."""
+    place = reference.where(F.col(listing_id).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    truth = place.groupBy(listing_id).agg(F.min(F.struct("lat", "lon")).alias("truth"))
+    blank = df.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}).join(truth, listing_id)
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("truth.lat"), F.col("truth.lon"))
+    found = assign_places(blank, reference, levels).withColumn("km", km).where("level IS NOT NULL")
+    shares = [F.avg((F.col("km") <= most).cast("double")).alias(name) for most, name in ((0.5, "within_500m"), (1.0, "within_1km"), (2.0, "within_2km"))]
+    return found.groupBy("level").agg(F.count("*").alias("n"), F.median("km").alias("q50"), F.percentile("km", F.lit(0.9)).alias("q90"), *shares)
+
+
 def position(df: DataFrame, price: str = "price", predicted: str = "predicted", low: str = "low", high: str = "high") -> DataFrame:
     """Adds deviation (per cent of the predicted price) and position: below, above or inside the interval (an unknown one too)."""
     where = F.when(F.col(price) < F.col(low), "below").when(F.col(price) > F.col(high), "above").otherwise("inside")

@@ -20,23 +20,23 @@ class Condition:
         return F.coalesce(self.test, F.lit(self.unknown))
 
 
-def relax(df: DataFrame, conditions: list[Condition]) -> tuple[DataFrame, list[str]]:
+def relax(df: DataFrame, conditions: list[Condition], at_once: int = 12) -> tuple[DataFrame, list[str]]:
     """Rows that meet the conditions, taken in order and each skipped that would leave none; and the names of those skipped.
 
-    One aggregate counts the rows by which conditions they meet (at most 2 ** len(conditions) groups, of which only those
-    that occur come back), the order is folded over these counts, and one filter follows.
+    One aggregate finds which of the next ``at_once`` conditions the rows left meet together (at most 2 ** at_once groups come back), and the order is folded over these groups.
     """
-    mask = F.lit(0).cast("long")
-    for i, c in enumerate(conditions):
-        mask = mask + F.when(c.holds(), F.lit(1 << i)).otherwise(F.lit(0))
-    left = [r["mask"] for r in df.select(mask.alias("mask")).distinct().collect()] if conditions else []
     skipped, kept = [], F.lit(True)
-    for i, c in enumerate(conditions):
-        still = [m for m in left if m >> i & 1]
-        if still:
-            left, kept = still, kept & c.holds()
-        else:
-            skipped.append(c.name)
+    for start in range(0, len(conditions), at_once):
+        some, mask = conditions[start : start + at_once], F.lit(0).cast("long")
+        for i, c in enumerate(some):
+            mask = mask + F.when(c.holds(), F.lit(1 << i)).otherwise(F.lit(0))
+        left = [r["mask"] for r in df.where(kept).select(mask.alias("mask")).distinct().collect()]
+        for i, c in enumerate(some):
+            still = [m for m in left if m >> i & 1]
+            if still:
+                left, kept = still, kept & c.holds()
+            else:
+                skipped.append(c.name)
     return df.where(kept), skipped
 
 
@@ -82,3 +82,51 @@ def budget(df: DataFrame, money: float, needs: Column) -> DataFrame:
     within = fits & (F.col("price") <= money)
     out = df.where("ward IS NOT NULL").groupBy("ward").agg(F.count("*").alias("n"), F.count_if(fits).alias("fitting"), F.count_if(within).alias("affordable"), F.median(F.when(fits, F.col("price"))).alias("median_price"), F.median(F.when(fits, F.col("area"))).alias("median_area"))
     return out.where("fitting > 0").withColumn("share", F.col("affordable") / F.col("fitting"))
+
+
+#: The order in which a request's conditions are tried: the place first, details last. Must-haves and must-nots follow.
+EQUAL, LEAST, MOST, AMONG = "equal", "least", "most", "among"
+ORDER = [
+    ("project", EQUAL, "project"), ("street", EQUAL, "street"), ("ward", EQUAL, "ward"), ("district", EQUAL, "district"), ("kind", EQUAL, "kind"), ("not_kinds", "none of", "kind"),
+    ("price_from", LEAST, "price"), ("price_to", MOST, "price"), ("ppm2_from", LEAST, "ppm2"), ("ppm2_to", MOST, "ppm2"), ("area_from", LEAST, "area"), ("area_to", MOST, "area"),
+    ("rooms", EQUAL, "rooms"), ("baths", EQUAL, "baths"), ("floor", "between", "floor"), ("frontage_from", LEAST, "frontage"), ("road_from", LEAST, "road"), ("centre_to", MOST, "centre_km"),
+    ("papers", AMONG, "papers"), ("facing", AMONG, ("door_facing", "balcony_facing")), ("door_facing", AMONG, "door_facing"), ("balcony_facing", AMONG, "balcony_facing"),
+    ("not_facing", "none of", ("door_facing", "balcony_facing")), ("furniture", AMONG, "furniture"),
+]
+
+
+def conditions(request: dict, columns: list[str]) -> tuple[list[Condition], list[str]]:
+    """The conditions of a request in ORDER, then its must-haves (``with``) and must-nots (``without``), names of 0/1 columns; and the names of those whose column is missing.
+
+    A facing is that of the door or of the balcony where both are known columns. A missing value fails a demand and passes an exclusion; flags that are no column are passed over.
+    """
+    out, missing = [], []
+    for name, how, where in ORDER:
+        if name not in request:
+            continue
+        v, there = request[name], [F.col(c) for c in ([where] if isinstance(where, str) else where) if c in columns]
+        if not there and how != "none of":
+            missing.append(name)
+            continue
+        if how == "between":
+            low, high = v
+            tests = [F.coalesce(c >= low if low else c.isNotNull(), F.lit(False)) & (c <= high if high else F.lit(True)) for c in there]
+        else:
+            tests = [{EQUAL: lambda c: c == v, LEAST: lambda c: c >= v, MOST: lambda c: c <= v}.get(how, lambda c: c.isin(list(v)))(c) for c in there]  # noqa: B023
+        any_ = F.lit(False)
+        for t in tests:
+            any_ = any_ | F.coalesce(t, F.lit(False))
+        out.append(Condition(name, ~any_ if how == "none of" else any_))
+    for key, wanted in (("with", True), ("without", False)):
+        for c in request.get(key, []):
+            if c in columns:
+                has = F.coalesce(F.col(c) > 0, F.lit(False))
+                out.append(Condition(c, has if wanted else ~has))
+    return out, missing
+
+
+def find(df: DataFrame, request: dict) -> tuple[DataFrame, list[str]]:
+    """Rows with a price that meet the request, relaxed in order, and the names of the conditions that were skipped: those whose column is missing, and those that would leave none."""
+    tried, missing = conditions(request, df.columns)
+    rows, skipped = relax(df.where("price IS NOT NULL"), tried)
+    return rows, [*missing, *skipped]

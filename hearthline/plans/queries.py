@@ -394,6 +394,7 @@ def daily_events(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+import hearthline.plans.appraisal_queries  # noqa: E402, F401
 import hearthline.plans.market_queries  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import geo, text
-from hearthline.operators import areas, market, quality, valuation
+from hearthline.operators import areas, market, quality, search, valuation
 from hearthline.sources import files, html
 
 
@@ -90,3 +90,36 @@ def test_small_readers_of_sources(spark):
     assert one(spark, text.first_alias(F.lit("Lô GÓC"), [("lo goc", "corner")])) == "corner" and one(spark, text.first_alias(F.lit(None).cast("string"), [("x", "y")])) == "unknown"
     assert one(spark, text.fill_from_text(F.lit(None).cast("double"), F.lit("xây 3 tầng"), text.storeys)) == 3.0
     assert one(spark, quality.outside_band(F.lit(None).cast("double"), 1.0, 2.0)) and one(spark, html.script_number(F.lit("a: 1, a: '2.5'"), "a")) == 2.5
+
+
+def test_places_are_assigned_by_level(spark):
+    schema = "row_id long, lat double, lon double, project string, street string, ward string, new_ward string, district string, listing string"
+    reference = spark.createDataFrame([
+        (1, 21.01, 105.81, "p", "s", "w", "n", "d", "a"), (2, 21.03, 105.83, "p", "s", "w", "n", "d", "a"), (3, 21.05, 105.85, None, "s", "v", "n", "d", None), (4, None, 105.0, "q", "s", "w", "n", "d", "b"), (5, 21.2, 105.9, None, None, None, None, "e", None),
+    ], schema)
+    rows = spark.createDataFrame([
+        (1, 21.0, 105.8, "p", "s", "w", "n", "d", "a"), (2, 16.0, 108.2, "p", None, None, None, None, "a"), (3, 21.02895, 105.85245, "p", None, None, None, None, None), (4, None, None, "q", "s", "w", "n", "d", "b"),
+        (5, None, None, None, "t", "w", "n", "d", None), (6, None, None, None, "s", "z", "n", "d", None), (7, None, None, None, "t", "z", "n", "d", None), (8, None, None, None, "s", "z", None, "d", None),
+        (9, None, None, None, "t", "z", None, "e", None), (10, None, None, None, "s", "w", "n", None, None),
+    ], schema)
+    out = {r["row_id"]: r for r in market.assign_places(rows, reference, listing_id="listing", errors={"own": 0, "street": 0.67}).collect()}
+    assert [out[i]["level"] for i in range(1, 11)] == ["own", "id", "project", "street", "ward", "new ward street", "new ward", "district street", "district", None]
+    assert [out[i]["support"] for i in range(1, 11)] == [None, 1, 2, 2, 2, 3, 3, 3, 1, None]
+    assert (out[2]["lat"], out[3]["lat"], out[6]["lon"], out[9]["lat"], out[10]["lat"]) == (21.01, pytest.approx(21.02), 105.83, 21.2, None)
+    assert (out[1]["error_km"], out[4]["error_km"], out[5]["error_km"]) == (0, 0.67, None)
+    audit = {r["level"]: r for r in market.audit_places(rows, reference, "listing").collect()}
+    assert {k: v["n"] for k, v in audit.items()} == {"project": 2}
+    assert market.assign_places(rows.limit(0), reference).count() == 0 and market.assign_places(rows, reference.limit(0)).where("level IS NOT NULL").count() == 1
+
+
+def test_search_with_all_conditions(spark):
+    rows = spark.createDataFrame([(1, 5.0, "N", None, 3, 1), (2, 9.0, None, "N", None, None), (3, 2.0, "S", "S", 8, 0), (4, None, "N", "N", 3, 1)], "row_id long, price double, door_facing string, balcony_facing string, floor int, pool int")
+    ids = lambda request: (sorted(r["row_id"] for r in search.find(rows, request)[0].collect()), search.find(rows, request)[1])
+    assert ids({}) == ([1, 2, 3], [])
+    assert ids({"facing": ["N"]}) == ([1, 2], []) and ids({"not_facing": ["N"]}) == ([3], [])
+    assert ids({"floor": (None, 5)}) == ([1], []) and ids({"floor": (5, None)}) == ([3], []) and ids({"floor": (50, None)}) == ([1, 2, 3], ["floor"])
+    assert ids({"with": ["pool"], "without": ["pool", "attic"]}) == ([1], ["pool"]) and ids({"without": ["pool"]}) == ([2, 3], [])
+    assert ids({"ward": "w", "price_to": 5, "price_from": 3, "project": "p"}) == ([1], ["project", "ward"])
+    many = [search.Condition(str(i), F.col("row_id") <= 3 - i % 3) for i in range(30)]
+    left, skipped = search.relax(rows, many)
+    assert [r["row_id"] for r in left.collect()] == [1] and skipped == []
