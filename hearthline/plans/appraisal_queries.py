@@ -40,8 +40,8 @@ def input_importance(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def interval_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """A fixed band, forest quantiles and conformal quantiles of all homes, fold by fold."""
-    return appraisal.compare_intervals(appraisal.interval_rows(_homes(spark, d), NUMBERS, ["ward"]))
+    """A fixed band, forest quantiles and conformal quantiles of all homes, each of three folds from the others."""
+    return appraisal.compare_intervals(appraisal.interval_rows(_homes(spark, d), NUMBERS, ["ward"], folds=3))
 
 
 @query(f"""WITH {PLACES}, n AS (SELECT a.row_id, b.price, {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km, b.row_id AS other FROM places a JOIN places b ON a.row_id <> b.row_id),
