@@ -13,8 +13,9 @@ BOX = (20.53, 21.39, 105.28, 106.03)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_KM) -> Column:
+    """Kilometres along the sphere; null where a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.when(a.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0)))))
 
 
 def plane_km(lat: Column, lon: Column) -> tuple[Column, Column]:

@@ -257,6 +257,6 @@ def wrong_level(district: Column, ward: Column) -> Column:
 def address_parts(address: Column) -> dict[str, Column]:
     """street (all before the ward, else before the district), ward and district of 'street, Phường X, Quận Y, city'; null where there is none."""
     t = collapse(address)
-    ward, district = (_group(t, rf"(?i)(?:^|,)\s*((?:{kinds})\s+[^,]+)") for kinds in ("phường|xã|thị trấn", "quận|huyện|thị xã"))
-    street = F.regexp_replace(F.regexp_replace(t, r"(?i)(?:^|,)\s*(?:phường|xã|thị trấn)\s.*$", ""), r"(?i)(?:^|,)\s*(?:quận|huyện|thị xã)\s.*$", "")
+    ward, district = (_group(t, rf"(?iu)(?:^|,)\s*((?:{kinds})\s+[^,]+)") for kinds in ("phường|xã|thị trấn", "quận|huyện|thị xã"))
+    street = F.regexp_replace(F.regexp_replace(t, r"(?iu)(?:^|,)\s*(?:phường|xã|thị trấn)\s.*$", ""), r"(?iu)(?:^|,)\s*(?:quận|huyện|thị xã)\s.*$", "")
     return {"street": _or_null(F.trim(street)), "ward": ward, "district": district}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -79,8 +80,14 @@ def _counted(texts: pd.Series) -> pd.DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the checkpoint folder if there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """The rows as they are now, in the folder of ``spark.checkpoint.dir``. A local session without one gets a folder of its own; a cluster has to name one that all executors share."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a shared folder")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def _large_leaders(df: DataFrame, block: list[str], text: str, row_id: str, cut: float) -> DataFrame:

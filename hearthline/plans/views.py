@@ -40,8 +40,8 @@ PLACES = """
 places AS (SELECT vec_id AS row_id, 20.53::DOUBLE + 0.86::DOUBLE * (embedding[1]::DOUBLE + 0.5::DOUBLE) AS lat, 105.28::DOUBLE + 0.75::DOUBLE * (embedding[2]::DOUBLE + 0.5::DOUBLE) AS lon,
   label AS ward, vec_id % 3 AS district, 1e6 * (1 + vec_id % 97) AS price FROM embeddings WHERE embedding IS NOT NULL)"""
 
-#: DuckDB: kilometres between two places.
-KM = "(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+#: DuckDB: kilometres between two places, null where a coordinate is (least() passes over nulls).
+KM = "(CASE WHEN {a} + {b} + {c} + {d} IS NOT NULL THEN 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))) END)"
 
 
 def km_sql(a: str, b: str, c: str, d: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.functions.text import html_number, name_key
+
 #: The entities that pages use.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
@@ -45,3 +47,35 @@ def listing_links(pages: DataFrame, html: str, pattern: str = r'href="([^"]*-pr(
     """id and url of the listings that list pages link to; of a repeated id the first url by name."""
     found = pages.select(F.explode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("m"))
     return found.select(F.regexp_extract("m", pattern, 2).alias("id"), F.regexp_extract("m", pattern, 1).alias("url")).groupBy("id").agg(F.min("url").alias("url"))
+
+
+#: Where a listing's page keeps its short facts, its details, its addresses and its description, and the end of a new ward's line.
+FACTS = r'(?s)class="re__pr-short-info-item[^"]*"[^>]*>\s*<span class="title"[^>]*>(.*?)</span>\s*<span class="value"[^>]*>(.*?)</span>'
+DETAILS = r'(?s)class="re__pr-specs-content-item-title"[^>]*>(.*?)</span>\s*<span class="re__pr-specs-content-item-value"[^>]*>(.*?)</span>'
+ADDRESS = r'(?s)class="re__address-line-1"[^>]*>(.*?)</span>'
+NEW_WARD = r'(?s)class="re__address-line-2\s*"[^>]*>(.*?)</span>'
+DESCRIPTION = r'(?s)class="[^"]*detail-content[^"]*"[^>]*>(.*?)</div>'
+NEW_CITY = r",?\s*(?:Hà Nội|TP Hà Nội)\s*mới\s*$"
+
+
+def _value(found: Column, key: str) -> Column:
+    """A map's value by the folded key."""
+    return F.try_element_at(F.filter(F.map_entries(found), lambda e: name_key(e["key"]) == key), F.lit(-1))["value"]
+
+
+def listing_page(html: Column, url: Column) -> dict[str, Column]:
+    """The 27 columns of a listing's page: numbers of its script first, price and area else from the facts shown; what a page lacks is null."""
+    facts, details = pairs(html, FACTS), pairs(html, DETAILS)
+    inside = lambda pattern: F.when(html.rlike(pattern), plain_text(F.regexp_extract(html, pattern, 1)))
+    number = lambda name: script_number(html, name)
+    whole = lambda name: number(name).cast("long")
+    return {
+        "listing_id": F.coalesce(_value(facts, "ma tin"), whole("productId").cast("string")), "url": url, "title": first_tag(html, "h1"),
+        "price": F.coalesce(number("price"), html_number(_value(facts, "khoang gia"))), "ppm2": number("pricePerM2"), "area": F.coalesce(number("area"), html_number(_value(facts, "dien tich"))),
+        "lat": number("latitude"), "lon": number("longitude"), "ward_id": whole("wardId"), "district_id": whole("districtId"), "street_id": whole("streetId"), "project_id": whole("projectId"),
+        "city_code": F.try_element_at(F.regexp_extract_all(html, F.lit(r"\bcityCode\s*:\s*'([^']*)'"), F.lit(1)), F.lit(-1)), "product_type": whole("productType"), "category_id": whole("categoryId"),
+        "address": inside(ADDRESS), "new_ward": F.trim(F.regexp_replace(F.regexp_replace(inside(NEW_WARD), r"^[() ]+|[() ]+$", ""), NEW_CITY, "")),
+        "posted": _value(facts, "ngay dang"), "expires": _value(facts, "ngay het han"), "tier": _value(facts, "loai tin"),
+        "bedrooms": html_number(_value(details, "so phong ngu")), "bathrooms": html_number(_value(details, "so phong tam ve sinh")), "facing": _value(details, "huong nha"),
+        "balcony": _value(details, "huong ban cong"), "papers": _value(details, "phap ly"), "furniture": _value(details, "noi that"), "description": inside(DESCRIPTION),
+    }
