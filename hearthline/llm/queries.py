@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import licences, minhash, mixing, pii, recompress, tiling, tokens, topk, toxicity, warc
+from hearthline.llm import alignment, licences, minhash, mixing, pii, recompress, tiling, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,14 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licences, op2_tokens, op3_warc, op4_pii, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk)}
+    return {f.__name__: f for f in (op1_licences, op2_tokens, op3_warc, op4_pii, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
