@@ -1,4 +1,4 @@
-"""Operators for preparing language-model training text: ten Spark jobs and their registered queries.
+"""Operators for preparing language-model training text: thirteen Spark jobs and their registered queries.
 
 Nothing else in the package imports this subpackage.
 """

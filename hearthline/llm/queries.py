@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import alignment, licences, minhash, mixing, pii, recompress, spelling, tiling, tokens, topk, toxicity, warc
+from hearthline.llm import alignment, licences, minhash, mixing, pii, quality, recompress, spelling, tiling, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), cut=0.3)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licences, op2_tokens, op3_warc, op4_pii, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk, op12_spelling, op13_alignment)}
+    return {f.__name__: f for f in (op1_licences, op2_tokens, op3_warc, op4_pii, op5_minhash, op6_toxicity, op7_decontamination, op8_mixing, op9_substring, op10_topk, op11_quality, op12_spelling, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
