@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.storage import free_name
 from hearthline.llm.words import LOWER, SEPARATOR, shingle_hashes, slices, word_hashes, word_spans
 
 #: Bytes after A-Z are lower-cased and ASCII punctuation made space.
@@ -224,7 +225,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: i
     Tokens are words in lower case (A-Z), parted at white space and ASCII punctuation. Tiles may stand in any order, so reordered
     passages count. A document and an item meet if they share a run of ``least`` tokens. A benchmark of up to most_words words is sent to
     every task; a larger one is joined to the documents by the hash of the run. Null or empty texts and items of fewer
-    than ``least`` tokens overlap with nothing; rows that repeat give rows that repeat; a null id is carried along.
+    than ``least`` tokens overlap with nothing; rows that repeat give rows that repeat; a null id is carried along. An empty table on either side gives no rows; a long text is
+    searched in whole, in one task.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -247,12 +249,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = 0.5, least: int = 4, text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
-    """The rows of docs, whatever their ids, of which overlaps() finds no item covered. A benchmark that goes to every task filters in the pass that reads the rows; by a larger one, texts are found by digest."""
+    """The rows of docs, whatever their ids, of which overlaps() finds no item covered. A benchmark that goes to every task filters in the pass that reads the rows; by a larger one, texts are found by digest.
+
+    Null and empty texts stay, as do rows that repeat, all or none of them; all columns of docs are returned, whatever their names; no documents give no rows, and an empty benchmark takes none away. Long
+    texts are read in whole, with memory in proportion to their words.
+    """
     text, bench = F.col(text_col).cast("string"), _small(benchmark, cover, least, "text", most_words)
     if bench is None:
-        key = F.sha2(text, 256)
-        found = overlaps(docs.select(key.alias("key"), text.alias("text")), benchmark, cover, least, id_col="key", most_words=most_words).select(F.col("key").alias("_of")).distinct()
-        return docs.join(found, key == F.col("_of"), "left_anti")
+        key, of = F.sha2(text, 256), free_name(docs, "of")
+        found = overlaps(docs.select(key.alias("key"), text.alias("text")), benchmark, cover, least, id_col="key", most_words=most_words).select(F.col("key").alias(of)).distinct()
+        return docs.join(found, key == F.col(of), "left_anti")
     search = _search(bench, bench.kind)
 
     @F.pandas_udf("boolean")

@@ -84,6 +84,10 @@ def test_every_stage_equals_brute_force(spark, folder):
     assert ids(c) == Counter(r.doc_id for r in b.collect() if not leaks(r.text)) and ids(c)[None] == ids(b)[None] - 1
     large = tiling.clean(b, spark.read.parquet(f"{folder}/benchmark.parquet"), most_words=0)
     assert ids(large) == ids(c) and large.columns == b.columns
+    named = b.selectExpr("*", *(f"1 AS {c}" for c in ("_of", "of", "_gone", "gone", "key", "text_", "seed", "hits")))
+    for most in (0, 1 << 20):
+        same = tiling.clean(named, spark.read.parquet(f"{folder}/benchmark.parquet"), most_words=most)
+        assert ids(same) == ids(c) and same.columns == named.columns
 
     d = take("personal data", c)
     assert ids(d) == ids(c)
