@@ -24,7 +24,7 @@ from hearthline.llm.storage import discard, materialise, spread_key
 from hearthline.llm.tokens import byte_letters
 
 #: A block ends at so many bytes of text or documents; the numbers of its documents have 16 bits.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_DOCS = 6 << 20, 1 << 15
 #: Groups of more links than this are expanded from distinct ids and their numbers.
 LARGE = 1 << 16
 
