@@ -46,7 +46,8 @@ def second_address(address: Column) -> dict[str, Column]:
     """
     t = or_null(collapse(address))
     district = or_null(F.trim(F.regexp_extract(t, OLD_DISTRICT, 1)))
-    before = F.regexp_replace(F.regexp_replace(t, OLD_DISTRICT + ".*$", ""), CITY_AT_END, "")
+    before = F.regexp_replace(F.regexp_replace(t, OLD_DISTRICT + ".*$", ""), r"[,\s]+$", "")
+    before = F.regexp_replace(before, CITY_AT_END, "")
     ward = or_null(F.trim(F.regexp_extract(before, WARD, 0)))
     pieces = F.filter(F.transform(F.split(F.regexp_replace(before, WARD + ".*$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     named = _last(pieces, lambda x: x.rlike(STREET))

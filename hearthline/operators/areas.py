@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.geo import RADIUS_KM, cell, haversine_km, in_polygons, plane_km
-from hearthline.operators.quality import cut_lineage
+from hearthline.operators.lineage import cut_lineage
+from hearthline.operators.quantiles import exact_quantiles
 
 
 def quantile_table(df: DataFrame, groups: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 1) -> DataFrame:
     """groups, n and q25, q50, ... (exact, interpolated) of groups with ``least`` or more values; null keys are no group."""
     known = reduce(lambda a, b: a & b, (F.col(g).isNotNull() for g in groups))
-    agg = df.where(known).groupBy(*groups).agg(F.count(value).alias("n"), *(F.percentile(value, F.lit(q)).alias(f"q{round(100 * q):02d}") for q in quantiles))
+    agg = exact_quantiles(df.where(known), groups, value, {f"q{round(100 * q):02d}": q for q in quantiles})
+    if least < 1:  # groups without a value have a row too
+        agg = df.where(known).select(*groups).distinct().join(agg, groups, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return agg.where(F.col("n") >= least)
 
 
@@ -24,7 +27,7 @@ def ward_table(df: DataFrame, least: int = 20) -> DataFrame:
     votes = df.groupBy("ward", "district").count()
     first = F.row_number().over(Window.partitionBy("ward").orderBy(F.desc("count"), F.asc_nulls_last("district")))
     majority = votes.withColumn("_r", first).where("_r = 1").select("ward", "district")
-    city = df.agg(F.percentile("price", F.lit(0.5)).alias("city"))
+    city = exact_quantiles(df, [], "price", {"city": 0.5}).select("city")
     out = stats.join(majority, "ward", "left").join(F.broadcast(city))
     out = out.withColumn("gap", 100 * (F.col("q50") / F.col("city") - 1)).withColumn("spread", 100 * (F.col("q75") - F.col("q25")) / F.col("q50"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("q50"), "ward"))).drop("city")
@@ -35,13 +38,6 @@ def mode_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.mode(value, True).alias(value), F.count_distinct(value).alias("n_values"), F.count("*").alias("n"))
 
 
-def stray(group: str, most_km: float = 5.0, least: int = 5) -> Column:
-    """Whether a row lies more than most_km from its group's median place, in a group of ``least`` or more."""
-    w = Window.partitionBy(group)
-    away = haversine_km(F.col("lat"), F.col("lon"), F.median("lat").over(w), F.median("lon").over(w))
-    return F.coalesce((F.count("lat").over(w) >= least) & (away > most_km), F.lit(False))
-
-
 def adaptive_grid(df: DataFrame, value: str = "price", sizes: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0), least: int = 5) -> DataFrame:
     """size, cx, cy, n and quartiles of cells: a row settles in the finest cell where ``least`` or more not yet settled rows are; the last size takes all."""
     x, y = plane_km(F.col("lat"), F.col("lon"))
@@ -181,7 +177,8 @@ def contains(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 def quantile_classes(stats: DataFrame, value: str, classes: int = 7, least: int = 20) -> DataFrame:
     """Adds class: the number of inner quantile edges below the value, -1 for groups of fewer than ``least``."""
-    edges = stats.where(F.col("n") >= least).agg(F.percentile(value, F.array(*(F.lit(i / classes) for i in range(1, classes)))).alias("edges"))
+    names = {f"e{i}": i / classes for i in range(1, classes)}
+    edges = exact_quantiles(stats.where(F.col("n") >= least), [], value, names).select(F.array(*names).alias("edges"))
     return stats.join(F.broadcast(edges)).withColumn("class", F.when(F.col("n") >= least, F.size(F.filter("edges", lambda e: e < F.col(value)))).otherwise(-1)).drop("edges")
 
 
@@ -211,19 +208,8 @@ def cascade(df: DataFrame, levels: list[tuple[str, list[str]]], least: int = 3)
     return out.drop(*(f"_{c}{i}" for i in n for c in ("lat", "lon", "n")))
 
 
-def left_out_median(value: str, group: list[str]) -> Column:
-    """The median of the others of the group, by ranks: two order statistics beside the middle suffice, whichever value goes. For small groups: each row holds its group's values; with_left_out_median() has no such bound."""
-    w = Window.partitionBy(*group)
-    values = F.sort_array(F.collect_list(value).over(w))
-    at = F.array_position(values, F.col(value))
-    m = F.size(values) - 1
-    take = lambda i: F.try_element_at(values, (i + F.when(i >= at, 1).otherwise(0)).cast("int"))
-    low, high = F.floor((m + 1) / 2), F.floor(m / 2) + 1
-    return F.when(m > 0, (take(low) + take(high)) / 2)
-
-
 def with_left_out_median(df: DataFrame, value: str, group: list[str], name: str, buckets: int = 256) -> DataFrame:
-    """Adds ``name``, left_out_median() for groups of any size, null groups being a group.
+    """Adds ``name``, the median of the others of the row's group, of any size; null groups are a group, and a row without others has none.
 
     Values with their counts fall into buckets between approximate quantiles of their group. Counts of buckets tell which ones hold the (up to three) middle ranks; only
     these are sorted, each by itself, and a row takes its two of the few values found. So no task holds or sorts more than about one bucket of a group.

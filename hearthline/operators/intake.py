@@ -9,8 +9,9 @@ from hearthline.functions.addresses import labelled, or_null, script_place, seco
 from hearthline.functions.geo import haversine_km, in_box
 from hearthline.functions.text import facing, label_by_prefix, type_by_slug
 from hearthline.operators.appraisal import neighbour_prices
+from hearthline.operators.lineage import cut_lineage
 from hearthline.operators.market import FILLED_IN, FILLED_IN_KM, within_limits
-from hearthline.operators.quality import cut_lineage, prefer_first
+from hearthline.operators.quality import prefer_first
 from hearthline.sources.files import require
 
 #: The second site's labels beside the first one's, labels that only end the one before, and the first site's heading and order of labels.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hearthline.functions.geo import haversine_km, in_box
 from hearthline.functions.text import fold
 from hearthline.operators.areas import contains
+from hearthline.operators.quantiles import column_quantiles, exact_quantiles
 from hearthline.operators.quality import keep_first, similar_leaders
 
 #: Positional error in kilometres that smoothing starts from, and where none is known.
@@ -80,10 +81,16 @@ def attach_by_id(df: DataFrame, table: DataFrame, key: str, order: str) -> DataF
 
 
 def merge_batches(batches: DataFrame, listing_id: str, business: Column, text: str, block: list[str], row_id: str = "row_id", cut: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """The rows left when, in turn, all but the first of a listing id (where there is one), of a business key, and of near-equal texts in a block are dropped; and a ledger: step, place, kept, removed, percent of all rows."""
-    first = lambda df, key: F.row_number().over(Window.partitionBy(key).orderBy(row_id)) == 1
-    by_id = batches.withColumn("_keep", F.col(listing_id).isNull() | first(batches, F.col(listing_id))).where("_keep")
-    by_key = by_id.withColumn("_keep", first(by_id, business)).where("_keep").drop("_keep")
+    """The rows left when, in turn, all but the first of a listing id (where there is one), of a business key (where there is one), and of near-equal texts in a block are dropped; and a ledger: step, place, kept, removed, percent of all rows."""
+
+    def first(df: DataFrame, key: Column) -> DataFrame:
+        """The first row of each key; rows without one stay, and are in no window."""
+        keyed = df.withColumn("_key", key)
+        once = keyed.where("_key IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(row_id))).where("_r = 1").drop("_r")
+        return once.unionByName(keyed.where("_key IS NULL")).drop("_key")
+
+    by_id = first(batches, F.col(listing_id))
+    by_key = first(by_id, business)
     leaders = similar_leaders(by_key, block, text, row_id, cut).where(F.col(row_id) == F.col("leader")).select(row_id)
     out = by_key.join(leaders, row_id, "left_semi")
     steps = [("all", batches), ("listing id", by_id), ("business key", by_key), ("near texts", out)]
@@ -107,7 +114,7 @@ def smoothing_width(df: DataFrame, error: str) -> DataFrame:
 
 def colour_range(df: DataFrame, value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """low and high: the quantiles that a colour scale runs between."""
-    return df.agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+    return exact_quantiles(df, [], value, {"low": low, "high": high}).select("low", "high")
 
 
 def finest_cell(points: DataFrame, grid: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -201,9 +208,7 @@ def affordable(df: DataFrame, money: float, needs: Column, k: int = 50, row_id:
 
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, q25, q50 and q75 of a result, which the next question starts from."""
-    q = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c)[0].alias("q25"), F.col(c)[1].alias("q50"), F.col(c)[2].alias("q75")) for c in columns))
-    return q.select(F.explode(rows).alias("x")).select("x.*")
+    return column_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
 
 
 def unambiguous(df: DataFrame, old: str, new: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.operators.lineage import cut_lineage
+from hearthline.operators.quantiles import exact_quantiles
+
 
 def keep_first(df: DataFrame, keys: list[str | Column], row_id: str = "row_id") -> DataFrame:
     """The row of the smallest row_id for each key; null keys are equal to one another."""
@@ -21,14 +23,8 @@ def keep_first(df: DataFrame, keys: list[str | Column], row_id: str = "row_id")
 def prefer_first(df: DataFrame, key: str, better: Column, row_id: str = "row_id") -> DataFrame:
     """One row per key, one for which ``better`` holds if there is one; rows with a null key stay as they are."""
     w = Window.partitionBy(key).orderBy(F.coalesce(better, F.lit(False)).desc(), row_id)
-    return df.withColumn("_rank", F.when(F.col(key).isNotNull(), F.row_number().over(w)).otherwise(1)).where("_rank = 1").drop("_rank")
-
-
-def iqr_outlier(value: Column, groups: list[str], k: float = 3.0, least: int = 15) -> Column:
-    """Beyond k interquartile ranges from the quartiles of its group, of at least ``least`` rows. Null groups are a group; a null value is no outlier."""
-    w = Window.partitionBy(*groups)
-    q1, q3, n = F.percentile(value, F.lit(0.25)).over(w), F.percentile(value, F.lit(0.75)).over(w), F.count("*").over(w)
-    return F.coalesce((n >= least) & ((value < q1 - k * (q3 - q1)) | (value > q3 + k * (q3 - q1))), F.lit(False))
+    keyed = df.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return keyed.unionByName(df.where(F.col(key).isNull()))
 
 
 def outside_band(value: Column, low: float, high: float) -> Column:
@@ -39,7 +35,7 @@ def outside_band(value: Column, low: float, high: float) -> Column:
 def plausible_band(df: DataFrame, value: Column, low: float, high: float, least: int = 50) -> DataFrame:
     """One row (lo, hi): the 1st and 99th percentile of values in [low, high], or low and high if fewer than ``least`` are."""
     inside = F.when(value.between(low, high), value)
-    agg = df.agg(F.count(inside).alias("n"), F.percentile(inside, F.lit(0.01)).alias("p01"), F.percentile(inside, F.lit(0.99)).alias("p99"))
+    agg = exact_quantiles(df.select(inside.alias("v")), [], "v", {"p01": 0.01, "p99": 0.99})
     return agg.select(F.when(F.col("n") >= least, F.col("p01")).otherwise(float(low)).alias("lo"), F.when(F.col("n") >= least, F.col("p99")).otherwise(float(high)).alias("hi"))
 
 
@@ -79,17 +75,6 @@ def _counted(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"long": texts.str.len() >= 20, "terms": [[{"term": t, "n": n} for t, n in sorted(Counter(ts).items())] for ts in _terms(texts)]})
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder of ``spark.checkpoint.dir``. A local session without one gets a folder of its own; a cluster has to name one that all executors share."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a shared folder")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def _large_leaders(df: DataFrame, block: list[str], text: str, row_id: str, cut: float) -> DataFrame:
     """The leaders of similar_leaders() by joins, for blocks of any size.
 

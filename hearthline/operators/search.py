@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.operators.quantiles import exact_quantiles
+
 
 @dataclass(frozen=True)
 class Condition:
@@ -66,7 +68,7 @@ def comparables(df: DataFrame, ward: str, district: str, area: float, rooms: int
 
 def price_hint(df: DataFrame, ceiling: float, least: int = 5) -> DataFrame:
     """n, lowest, q25 and median of the prices if there are ``least`` or more and all lie above the ceiling; else no row."""
-    out = df.agg(F.count("price").alias("n"), F.min("price").alias("lowest"), F.percentile("price", F.lit(0.25)).alias("q25"), F.median("price").alias("median"))
+    out = exact_quantiles(df, [], "price", {"lowest": 0.0, "q25": 0.25, "median": 0.5})
     return out.where((F.col("n") >= least) & (F.col("lowest") > ceiling))
 
 

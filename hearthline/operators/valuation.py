@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.operators.quantiles import exact_quantiles
+
 
 def fold_of(row_id: Column, folds: int = 5) -> Column:
     """A fold by a hash of the row's id, the same in every engine that has MD5."""
@@ -23,13 +25,12 @@ def encode(df: DataFrame, key: str, target: Column, weight: float = 10.0, fold:
     """
     part = [fold] if fold else []
     cells = df.groupBy(key, *part).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
-    everything = Window.partitionBy(F.lit(0))
+    totals = df.agg(F.sum(target).alias("all_s"), F.count(target).alias("all_n"))  # one row
+    mine = cells.join(F.broadcast(totals))
     if fold:
-        own = Window.partitionBy(fold)
-        mine = cells.withColumn("all_s", F.sum("s").over(everything) - F.sum("s").over(own)).withColumn("all_n", F.sum("n").over(everything) - F.sum("n").over(own))
+        own = df.groupBy(fold).agg(F.sum(target).alias("own_s"), F.count(target).alias("own_n"))  # one row per fold
+        mine = mine.join(F.broadcast(own), fold).withColumn("all_s", F.col("all_s") - F.col("own_s")).withColumn("all_n", F.col("all_n") - F.col("own_n"))
         mine = mine.withColumn("s", F.sum("s").over(Window.partitionBy(key)) - F.col("s")).withColumn("n", F.sum("n").over(Window.partitionBy(key)) - F.col("n"))
-    else:
-        mine = cells.withColumn("all_s", F.sum("s").over(everything)).withColumn("all_n", F.sum("n").over(everything))
     overall = F.col("all_s") / F.col("all_n")
     value = F.when(F.col(key).isNull(), overall).otherwise((F.col("s") + overall * weight) / (F.col("n") + weight))
     table = mine.select(F.col(key).alias("_key"), *(F.col(f).alias("_fold") for f in part), value.alias(f"enc_{key}"))
@@ -39,20 +40,8 @@ def encode(df: DataFrame, key: str, target: Column, weight: float = 10.0, fold:
 
 def conformal_offset(scores: DataFrame, score: str, alpha: float = 0.1, groups: list[str] | None = None) -> DataFrame:
     """groups, n and offset: the order statistic of the conformity scores at level min(ceil((n + 1)(1 - alpha)) / n, 1), taken at the next higher rank."""
-    known, level = scores.where(F.col(score).isNotNull()), F.least(F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"), F.lit(1.0))
-    want = F.ceil(level * (F.col("n") - 1))
-    if groups:
-        w = Window.partitionBy(*groups)
-        ranked = known.select(*groups, F.count(score).over(w).alias("n"), F.col(score).alias("offset"), (F.row_number().over(w.orderBy(score)) - 1).alias("r"))
-        return ranked.where(F.col("r") == want).select(*groups, "n", "offset")
-    # of all rows, only the few between two approximate quantiles around the rank are put in order
-    near = F.percentile_approx(score, F.array(F.lit(max(1 - alpha - 1e-3, 0.0)), F.lit(min(1 - alpha + 2e-3, 1.0))), 10_000)
-    ends = known.agg(F.count("*").alias("n"), near[0].alias("from"), near[1].alias("to"))
-    beside = known.select(F.col(score).alias("offset")).join(F.broadcast(ends))
-    below = beside.agg(F.count_if(F.col("offset") < F.col("from")).alias("below"))
-    inside = beside.where("offset >= from AND (offset <= to OR n < 5000)").groupBy("offset", "n").agg(F.count("*").alias("c")).join(F.broadcast(below))
-    reached = inside.withColumn("upto", F.col("below") + F.sum("c").over(Window.orderBy("offset")))
-    return reached.where((F.col("upto") > want) & (F.col("upto") - F.col("c") <= want)).select("n", "offset")
+    rank = lambda n: F.ceil(F.least(F.ceil((n + 1) * (1 - alpha)) / n, F.lit(1.0)) * (n - 1)) + 1
+    return exact_quantiles(scores, groups or [], score, {"offset": rank}).where("n > 0")
 
 
 def accuracy(df: DataFrame, groups: list[str] | None = None, truth: str = "price", predicted: str = "predicted") -> DataFrame:

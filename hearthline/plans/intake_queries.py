@@ -28,7 +28,7 @@ def _sql_re(pattern: str) -> str:
 def _sql_second(t: str, key: str, source: str) -> str:
     """Named rows of a source with its address parted: address, new_ward, district, project."""
     return rf"""a0 AS (SELECT *, nullif(trim(regexp_replace({t}, '\s+', ' ', 'g')), '') AS t FROM {source}),
-a1 AS (SELECT *, nullif(trim(regexp_extract(t, '{addresses.OLD_DISTRICT}', 1)), '') AS district, regexp_replace(regexp_replace(t, '{addresses.OLD_DISTRICT}.*$', ''), '{addresses.CITY_AT_END}', '') AS before FROM a0),
+a1 AS (SELECT *, nullif(trim(regexp_extract(t, '{addresses.OLD_DISTRICT}', 1)), '') AS district, regexp_replace(regexp_replace(regexp_replace(t, '{addresses.OLD_DISTRICT}.*$', ''), '[,\s]+$', ''), '{addresses.CITY_AT_END}', '') AS before FROM a0),
 a2 AS (SELECT *, nullif(trim(regexp_extract(before, '{addresses.WARD}')), '') AS new_ward, list_filter(list_transform(string_split(regexp_replace(before, '{addresses.WARD}.*$', ''), ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM a1),
 a3 AS (SELECT *, list_filter(parts, lambda x: regexp_matches(x, '{_sql_re(addresses.STREET)}'))[-1] AS named FROM a2),
 a4 AS (SELECT *, list_filter(parts, lambda x: (named IS NULL OR x <> named) AND NOT regexp_matches(x, '{_sql_re(addresses.NUMBERED)}'))[-1] AS project FROM a3),

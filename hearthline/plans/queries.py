@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import geo, text
-from hearthline.operators import areas, quality, search, valuation
+from hearthline.operators import areas, quality, quantiles, search, valuation
 from hearthline.plans.registry import QUERIES, SQL, query, rounded as _round
 from hearthline.plans.views import LISTING, PLACES, km_sql, listing, places, table
 from hearthline.sources import files, html
@@ -28,7 +28,7 @@ def collapse_prefer(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {LISTING}, q AS (SELECT *, quantile_cont(price / area, 0.25) OVER w AS q1, quantile_cont(price / area, 0.75) OVER w AS q3, count(*) OVER w AS n FROM listing WINDOW w AS (PARTITION BY ward, kind))
 SELECT row_id, n >= 15 AND (price / area < q1 - 1.5 * (q3 - q1) OR price / area > q3 + 1.5 * (q3 - q1)) AS outlier FROM q""")
 def iqr_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return listing(spark, d).select("row_id", quality.iqr_outlier(F.col("price") / F.col("area"), ["ward", "kind"], k=1.5).alias("outlier"))
+    return quantiles.with_iqr_outlier(listing(spark, d), F.col("price") / F.col("area"), ["ward", "kind"], k=1.5).select("row_id", "outlier")
 
 
 BROKEN = "CASE WHEN row_id % 50 = 0 THEN price * 1000 WHEN row_id % 50 = 1 THEN price / 1000 ELSE price END"
@@ -106,7 +106,7 @@ GROUPED = "SELECT *, median(lat) OVER (PARTITION BY ward) AS mlat, median(lon) O
 
 @query(f"WITH {PLACES}, g AS ({GROUPED}) SELECT row_id, n >= 5 AND {km_sql('lat', 'lon', 'mlat', 'mlon')} > 10 AS stray FROM g")
 def stray_pins(spark: SparkSession, d: str) -> DataFrame:
-    return places(spark, d).select("row_id", areas.stray("ward", 10.0).alias("stray"))
+    return quantiles.with_stray(places(spark, d), "ward", most_km=10.0).select("row_id", "stray")
 
 
 X, Y = "(lon * (111.32 * cos(radians(21.0))))", "(lat * 111.32)"

@@ -113,3 +113,9 @@ def test_lineage_is_cut_in_a_checkpoint(spark):
 def test_upper_case_kinds_are_read(spark):
     parts = text.address_parts(F.lit("Đường Láng, PHƯỜNG Láng Hạ, QUẬN Đống Đa"))
     assert tuple(spark.range(1).select(*parts.values()).first()) == ("Đường Láng", "PHƯỜNG Láng Hạ", "QUẬN Đống Đa")
+
+
+def test_a_comma_before_the_bracket(spark):
+    df = spark.createDataFrame([("Royal City, Đường Nguyễn Trãi, Hà Nội, (Quận Thanh Xuân, Hà Nội cũ)",), ("Royal City, Đường Nguyễn Trãi, Hà Nội (Quận Thanh Xuân, Hà Nội cũ)",)], "t string")
+    for r in df.select(*(c.alias(n) for n, c in addresses.second_address(F.col("t")).items())).collect():
+        assert (r.project, r.district, r.address) == ("Royal City", "Quận Thanh Xuân", "Đường Nguyễn Trãi, Quận Thanh Xuân, Hà Nội")

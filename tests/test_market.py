@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import geo, text
-from hearthline.operators import areas, market, quality, search, valuation
+from hearthline.operators import areas, market, quality, quantiles, search, valuation
 from hearthline.sources import files, html
 
 
@@ -47,7 +47,7 @@ def test_grades(spark):
 
 def test_outliers_count_rows_and_not_values(spark):
     rows = spark.createDataFrame([(i, float(i)) for i in range(10)] + [(10, 999.0)] + [(i, None) for i in range(11, 16)], "row_id int, v double")
-    assert [r.row_id for r in rows.select("row_id", quality.iqr_outlier(F.col("v"), [], least=15).alias("o")).where("o").collect()] == [10]
+    assert [r.row_id for r in quantiles.with_iqr_outlier(rows, F.col("v"), [], "o", least=15).where("o").collect()] == [10]
 
 
 def test_prices_learnt_without_leaks(spark):
