@@ -397,6 +397,7 @@ def daily_events(spark: SparkSession, d: str) -> DataFrame:
 import hearthline.plans.appraisal_queries  # noqa: E402, F401
 import hearthline.plans.intake_queries  # noqa: E402, F401
 import hearthline.plans.market_queries  # noqa: E402, F401
+import hearthline.plans.surface_queries  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
