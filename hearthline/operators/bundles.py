@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.operators.quantiles import beside_group, exact_quantiles
+
 VERSION = 1
 
 
@@ -90,25 +94,47 @@ def _weights(m: dict, k: int, alpha: float) -> np.ndarray:
     return w / w.sum() if w.sum() else w
 
 
-def score_weights(df: DataFrame, columns: list[str], target: str, alpha: float = 1.0) -> dict[str, float]:
-    """Weights of scores for a target, by ridge regression; only sums of products reach the driver."""
-    row = df.dropna(subset=[*columns, target]).agg(*_moments(F.lit(1.0), columns, target)).first().asDict()
-    return dict(zip(columns, map(float, _weights(row, len(columns), alpha)))) if row["w"] else dict.fromkeys(columns, 0.0)
+def score_weights(df: DataFrame, columns: list[str], target: str, alpha: float = 1.0, within: str | None = None) -> dict[str, float]:
+    """Weights of scores for a target, by ridge regression; only sums of products reach the driver. Without a positive weight all are equal, without rows 0.
+
+    ``within``: a column (a ward) whose exact median target is taken off each row's first, so that the scores do not stand for the place; rows without it are a group.
+    """
+    rows = df.dropna(subset=[*columns, target])
+    if within:
+        rows = beside_group(rows, exact_quantiles(rows, [within], target, {"_typical": 0.5}).drop("n"), [within]).withColumn(target, F.col(target) - F.col("_typical"))
+    row = rows.agg(*_moments(F.lit(1.0), columns, target)).first().asDict()
+    if not row["w"]:
+        return dict.fromkeys(columns, 0.0)
+    found = _weights(row, len(columns), alpha)
+    return dict(zip(columns, map(float, found))) if found.sum() > 0 else dict.fromkeys(columns, 1 / len(columns))
 
 
 def bootstrap_weights(df: DataFrame, columns: list[str], target: str, row_id: str = "row_id", times: int = 100, alpha: float = 1.0) -> dict[str, dict[str, float]]:
     """Per column the mean weight, its 2.5 and 97.5 percentiles, the share of resamples where it is 0, and measurable: whether the lower one is above 0.
 
-    A row is in each resample as often as a Poisson draw of mean 1 says, seeded by its id, so that one pass makes all of them; ``times`` rows of sums reach the driver.
+    A row is in each resample as often as a Poisson draw of mean 1 says, seeded by its id; every task multiplies its draws by its rows' products, so no row is repeated, and ``times`` rows of sums a task
+    are added up.
     """
-    rows = df.dropna(subset=[*columns, target]).withColumn("take", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    u = F.pmod(F.xxhash64(row_id, "take"), F.lit(1_000_000)) / 1_000_000
-    edges, total, p = [], 0.0, float(np.exp(-1.0))
-    for i in range(8):
-        total += p / max(1.0, float(np.prod(range(1, i + 1))))
-        edges.append(total)
-    weight = sum((F.when(u >= e, 1.0).otherwise(0.0) for e in edges), F.lit(0.0))
-    sums = rows.withColumn("weight", weight).groupBy("take").agg(*_moments(F.col("weight"), columns, target)).collect()
+    names = [*columns, target]
+    products = [(i, j) for i, j in combinations_with_replacement(range(len(names)), 2)]
+    labels = ["w", *(f"s{i}" for i in range(len(names))), *(f"p{i}_{j}" for i, j in products)]
+    edges = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(12)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((times, len(labels)))
+        for batch in batches:
+            seeds = batch.column(0).to_numpy().view(np.uint64)
+            v = np.column_stack([np.asarray(c, float) for c in batch.columns[1:]])
+            z = np.column_stack([np.ones(len(v)), v, *(v[:, i] * v[:, j] for i, j in products)])
+            with np.errstate(over="ignore"):
+                h = (seeds[:, None] + np.arange(1, times + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            u = ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(float) / (1 << 53)
+            total += np.searchsorted(edges, u, "right").T.astype(float) @ z
+        yield pa.RecordBatch.from_arrays([pa.array(range(times), pa.int32()), *map(pa.array, total.T)], names=["take", *labels])
+
+    slim = df.dropna(subset=names).select(F.xxhash64(row_id).alias("h"), *(F.col(c).cast("double").alias(c) for c in names))
+    sums = slim.mapInArrow(run, ", ".join(["take int", *(f"{x} double" for x in labels)])).groupBy("take").agg(*(F.sum(x).alias(x) for x in labels)).where("w > 0").collect()
     found = np.array([_weights(r.asDict(), len(columns), alpha) for r in sums if r["w"]]).reshape(-1, len(columns))
     if not len(found):
         return {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import VectorAssembler
@@ -10,7 +11,9 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.operators.lineage import cut_lineage
 from hearthline.operators.quantiles import exact_quantiles
+from hearthline.operators.textmodel import COMPONENTS, fit_text
 
 
 def fold_of(row_id: Column, folds: int = 5) -> Column:
@@ -137,16 +140,36 @@ def fit(df: DataFrame, numbers: list[str], categories: list[str], alpha: float =
     return replace(out, offset=conformal_offset(scores, "s", alpha))
 
 
-def cross_validated(df: DataFrame, numbers: list[str], categories: list[str], folds: int = 5, alpha: float = 0.1, row_id: str = "row_id", trees: int = 20, depth: int = 5) -> DataFrame:
-    """row_id, price, fold, predicted, low and high: each fold priced by what fit() learns from the others."""
+def cross_validated(
+    df: DataFrame, numbers: list[str], categories: list[str], folds: int = 5, alpha: float = 0.1, row_id: str = "row_id", trees: int = 20, depth: int = 5,
+    text: str | None = None, components: int = COMPONENTS, by_fold: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+) -> DataFrame:
+    """row_id, price, fold, predicted, low and high: each fold priced by what fit() learns from the others.
+
+    ``text``: a column whose TF-IDF components, fitted to the other folds' texts, join the numbers. ``by_fold``: a function of the other folds' rows and the fold's own that gives
+    both back with more columns, for features made of other rows' prices; those named in ``numbers`` or ``categories`` are used.
+    """
     base, out = df.where("price > 0").withColumn("fold", fold_of(F.col(row_id), folds)), None
     for k in range(folds):
-        appraiser = fit(base.where(f"fold <> {k}"), numbers, categories, alpha, row_id, trees, depth, folds)
-        part = appraiser.price(base.where(f"fold = {k}")).select(row_id, "price", "fold", "predicted", "low", "high")
+        train, test, more = base.where(f"fold <> {k}"), base.where(f"fold = {k}"), []
+        if by_fold:
+            train, test = by_fold(train, test)
+        if text:
+            model = fit_text(train, text, components)
+            more = [f"txt_{i}" for i in range(model.loadings.shape[1])]
+            train, test = model.transform(train, text), model.transform(test, text)
+        train = cut_lineage(train)  # read by every step of the fit
+        appraiser = fit(train, [*numbers, *more], categories, alpha, row_id, trees, depth, folds)
+        part = appraiser.price(test).select(row_id, "price", "fold", "predicted", "low", "high")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def fold_accuracy(df: DataFrame, fold: str = "fold") -> DataFrame:
+    """One row of what the folds' accuracies average to: folds, mape, mape_sd (over the folds), mae and r2."""
+    return accuracy(df, [fold]).agg(F.count("*").alias("folds"), F.avg("mape").alias("mape"), F.stddev_pop("mape").alias("mape_sd"), F.avg("mae").alias("mae"), F.avg("r2").alias("r2"))
+
+
 def quantile_forest(train: DataFrame, test: DataFrame, inputs: list[str], target: str, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95), trees: int = 10, row_id: str = "row_id") -> DataFrame:
     """row_id with q05, q50, ...: quantiles of the training targets in a row's leaves, averaged over the trees of a random forest. Leaves are joined, so no row's neighbours pass through the driver."""
     ready = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
