@@ -225,6 +225,11 @@ def business_key(price_: Column, area_: Column, ward: Column, description: Colum
     return F.concat_ws("|", F.bround(price_, -6).cast("string"), F.bround(area_, 1).cast("string"), F.coalesce(ward, F.lit("")), F.substring(F.coalesce(description, F.lit("")), 1, 120))
 
 
+def written_date(c: Column, *patterns: str) -> Column:
+    """The day that a text gives in the first of the patterns ('31/12/2024' by default) that it has; null for others and for days that are none."""
+    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(p)).cast("date") for p in patterns or ("dd/MM/yyyy",)))
+
+
 def html_number(c: Column) -> Column:
     """A number of a page with its unit: dots group thousands only beside a comma, else either sign is a decimal one."""
     t = fold(c)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.geo import haversine_km, in_box
-from hearthline.functions.text import fold
+from hearthline.functions.text import fold, ward_key
 from hearthline.operators.areas import contains
 from hearthline.operators.quantiles import column_quantiles, exact_quantiles
 from hearthline.operators.quality import keep_first, similar_leaders
@@ -216,6 +216,18 @@ def unambiguous(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.where(F.col(old).isNotNull() & F.col(new).isNotNull()).groupBy(old).agg(F.min(new).alias(new), F.count_distinct(new).alias("_n")).where("_n = 1").drop("_n")
 
 
+def renamed_wards(df: DataFrame, old: str, new: str, least: int = 3) -> DataFrame:
+    """key, new and variants: the old ward names, without their kind and folded, and their stems without a number at the end, that lead to one new ward; the longest first.
+
+    A stem counts beside the names themselves: 'X' leads to a ward only if 'X 1', 'X 2' and 'X' all lead there; variants is how many names do. Names of fewer than ``least`` letters and null ones are none.
+    """
+    named = df.where(F.col(new).isNotNull()).select(ward_key(F.col(old)).alias("name"), F.col(new).alias("new"))
+    stem = F.regexp_replace("name", r"\s*\d+$", "")
+    keys = named.select("name", "new", F.explode(F.array_distinct(F.array("name", stem))).alias("key")).where(F.length("key") >= least)
+    found = keys.groupBy("key").agg(F.min("new").alias("new"), F.max("new").alias("_other"), F.count_distinct("name").alias("variants"))
+    return found.where(F.col("new").eqNullSafe(F.col("_other"))).select("key", "new", "variants").orderBy(F.desc(F.length("key")), "key")
+
+
 def named_polygons(polygons: DataFrame, points: DataFrame, name: str, least: int = 3) -> DataFrame:
     """polygon, name, n and agreement: the most frequent name of the points inside, of equals the first, and its share; polygons with fewer than ``least`` named points get none."""
     votes = contains(points.where(F.col(name).isNotNull()), polygons).groupBy("polygon", name).agg(F.count("*").alias("v"))
@@ -242,3 +254,25 @@ def names_in_texts(texts: DataFrame, names: DataFrame, row_id: str, text: str, n
     found = texts.select(row_id, plain(text).alias("w")).select(row_id, F.explode(F.array_distinct(F.flatten(F.array(*map(runs, range(1, most_words + 1)))))).alias("run"))
     table = names.select(F.col(name).alias("name"), F.array_join(plain(name), " ").alias("run")).where("run <> ''").distinct()
     return found.join(table, "run").select(row_id, "name").distinct()
+
+
+def name_spans(texts: DataFrame, names: DataFrame, row_id: str, text: str, name: str, most_words: int = 4) -> DataFrame:
+    """row_id, name, start and words: every place (in words, from 1) where a name of up to most_words words stands in a text as whole words, folded, unless it lies inside a longer name's place. An equi-join on runs of words; of
+    two names that fold alike the first counts; a text's places are compared with one another in its own row."""
+    def plain(c: str) -> Column:
+        return F.filter(F.split(fold(c), r"[^a-z0-9]+"), lambda w: w != "")
+
+    def runs(n: int) -> Column:
+        last = F.size("w") - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(i.alias("start"), F.lit(n).alias("words"), F.array_join(F.slice("w", i, n), " ").alias("run")))).otherwise(F.array())
+
+    found = texts.select(row_id, plain(text).alias("w")).select(row_id, F.inline(F.flatten(F.array(*map(runs, range(1, most_words + 1))))))
+    table = names.select(F.col(name).alias("name"), F.array_join(plain(name), " ").alias("run")).where("run <> ''").groupBy("run").agg(F.min("name").alias("name"))
+    hits = found.join(table, "run")
+    # a longer place that holds this one begins at most most_words - 1 words before it: an equi-join on where it may begin
+    longer = hits.select(F.col(row_id).alias("_id"), F.col("start").alias("_start"), F.col("words").alias("_words"))
+    ends = F.col("start") + F.col("words")
+    begins = hits.select(row_id, "name", "start", "words", F.explode(F.sequence(F.greatest(F.col("start") - most_words + 1, F.lit(1)), F.col("start"))).alias("_at"))
+    on = (F.col(row_id) == F.col("_id")) & (F.col("_at") == F.col("_start"))
+    inside = begins.join(longer, on).where((F.col("_words") > F.col("words")) & (F.col("_start") + F.col("_words") >= ends)).select(row_id, "start", "words").distinct()
+    return hits.select(row_id, "name", "start", "words").join(inside, [row_id, "start", "words"], "left_anti")

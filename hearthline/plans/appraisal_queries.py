@@ -63,8 +63,14 @@ def request_comparables(spark: SparkSession, d: str) -> DataFrame:
     return appraisal.comparables_of(rows.where("row_id % 50 = 0"), rows, 10).select("request", "row_id", "rank")
 
 
-_KEYS = {"project": "CASE WHEN row_id % 6 = 0 THEN row_id % 11 END", "street": "CASE WHEN row_id % 4 <> 0 THEN row_id % 17 END", "new_ward": "ward % 4", "listing": "CASE WHEN row_id % 9 <> 0 THEN row_id END"}
-_KEYED = ", ".join(f"{e} AS {c}" for c, e in _KEYS.items())
+#: The keys of the second source, and those of the rows looked up in it: by the row's last digit these lack what finer levels need, so that every level is reached; a street of -1 is known nowhere.
+_KEYS = {"ward": "ward", "district": "district", "project": "row_id % 11", "street": "row_id % 17", "new_ward": "ward % 4", "listing": "row_id"}
+_ASKED = {
+    "ward": "CASE WHEN row_id % 10 NOT IN (4, 5, 6, 7) THEN ward END", "district": "CASE WHEN row_id % 10 <> 8 THEN district END", "project": "CASE WHEN row_id % 10 < 2 THEN row_id % 11 END",
+    "street": "CASE WHEN row_id % 10 IN (2, 4, 6) THEN row_id % 17 ELSE -1 END", "new_ward": "CASE WHEN row_id % 10 IN (4, 5) THEN ward % 4 END", "listing": "CASE WHEN row_id % 10 = 0 THEN row_id END",
+}
+_AUDITED = _ASKED | {"listing": "row_id"}
+_keyed_sql = lambda keys: ", ".join(f"{e} AS {c}" for c, e in keys.items())
 _SQL_LEVELS = [("id", ["listing"]), *market.LEVELS]
 
 
@@ -75,31 +81,29 @@ def _cascade_sql(audit: bool = False) -> str:
     used = list(enumerate(_SQL_LEVELS))[1 if audit else 0 :]
     pick = lambda c: "coalesce(" + ", ".join(f"t{i}.{c}" for i, _ in used) + ")"
     level = " ".join(f"WHEN t{i}.n IS NOT NULL THEN '{name}'" for i, (name, _) in used)
-    own = "FALSE" if audit else f"row_id % 5 = 0 AND lat BETWEEN 20.53 AND 21.39 AND lon BETWEEN 105.28 AND 106.03 AND {km_sql('lat', 'lon', '21.02895', '105.85245')} >= 0.03"
-    return f"""WITH {PLACES}, k AS (SELECT row_id, lat, lon, ward, district, {_KEYED} FROM places), ref AS (SELECT * FROM k WHERE row_id % 4 = 1), o AS (SELECT *, {own} AS own FROM k), {', '.join(tables)}
+    own = "FALSE" if audit else f"row_id % 10 = 9 AND lat BETWEEN 20.53 AND 21.39 AND lon BETWEEN 105.28 AND 106.03 AND {km_sql('lat', 'lon', '21.02895', '105.85245')} >= 0.03"
+    return f"""WITH {PLACES}, k AS (SELECT row_id, lat, lon, {_keyed_sql(_AUDITED if audit else _ASKED)} FROM places), ref AS (SELECT row_id, lat, lon, {_keyed_sql(_KEYS)} FROM places), o AS (SELECT *, {own} AS own FROM k), {', '.join(tables)}
 SELECT row_id, CASE WHEN own THEN 'own' {level} END AS level, CASE WHEN NOT own THEN {pick('n')} END AS support, CASE WHEN own THEN o.lat ELSE {pick('la')} END AS lat, CASE WHEN own THEN o.lon ELSE {pick('lo')} END AS lon
 {', t0.la AS tla, t0.lo AS tlo' if audit else ''} FROM o {joins}"""
 
 
-def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    return places(spark, d).select("row_id", "lat", "lon", "ward", "district", *(F.expr(e).alias(c) for c, e in _KEYS.items()))
+def _keyed(spark: SparkSession, d: str, keys: dict[str, str]) -> DataFrame:
+    return places(spark, d).select("row_id", "lat", "lon", *(F.expr(e).alias(c) for c, e in keys.items()))
 
 
 @query(f"SELECT * REPLACE (round(lat, 6) AS lat, round(lon, 6) AS lon) FROM ({_cascade_sql()})")
 def assigned_places(spark: SparkSession, d: str) -> DataFrame:
-    """All nine levels: a quarter of the places, by remainder, is a second source that others are looked up in, and a fifth has its own pin."""
-    rows = _keyed(spark, d)
-    pinned = rows.withColumns({c: F.when(F.col("row_id") % 5 == 0, F.col(c)) for c in ("lat", "lon")})
-    out = market.assign_places(pinned, rows.where("row_id % 4 = 1"), listing_id="listing")
+    """All nine levels and none: the places are a second source that they are looked up in by the keys they have left; a tenth has its own pin."""
+    asked = _keyed(spark, d, _ASKED).withColumns({c: F.when(F.col("row_id") % 10 == 9, F.col(c)) for c in ("lat", "lon")})
+    out = market.assign_places(asked, _keyed(spark, d, _KEYS), listing_id="listing")
     return rounded(out.select("row_id", "level", "support", "lat", "lon"), 6)
 
 
 @query(f"""WITH x AS ({_cascade_sql(audit=True)}), e AS (SELECT level, {km_sql('lat', 'lon', 'tla', 'tlo')} AS km FROM x WHERE level IS NOT NULL)
 SELECT level, count(*) AS n, round(median(km), 4) AS q50, round(quantile_cont(km, 0.9), 4) AS q90, round(avg((km <= 0.5)::INT), 4) AS within_500m, round(avg((km <= 1)::INT), 4) AS within_1km, round(avg((km <= 2)::INT), 4) AS within_2km FROM e GROUP BY level""")
 def place_audit(spark: SparkSession, d: str) -> DataFrame:
-    """How far looked-up places are from those of the listings' ids, by level."""
-    rows = _keyed(spark, d)
-    return rounded(market.audit_places(rows, rows.where("row_id % 4 = 1"), "listing"))
+    """How far looked-up places are from those of the listings' ids, by each of the seven levels of names."""
+    return rounded(market.audit_places(_keyed(spark, d, _AUDITED), _keyed(spark, d, _KEYS), "listing"))
 
 
 _MORE = {

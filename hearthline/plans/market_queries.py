@@ -9,6 +9,7 @@ from hearthline.functions import geo, text
 from hearthline.operators import areas, market, valuation
 from hearthline.plans.registry import query, rounded
 from hearthline.plans.views import LISTING, PLACES, listing, places, table
+from hearthline.sources import html
 
 Y, X = "(lat * 111.32)", "(lon * (111.32 * cos(radians(21.0))))"
 
@@ -116,7 +117,7 @@ DATES = _spelled("o_orderkey", ["date_text", None, "'31/02/1995'", "'gestern'",
 @query(f"""WITH r AS (SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS date_text FROM orders), s AS (SELECT o_orderkey, TRY_STRPTIME({DATES}, '%d/%m/%Y')::DATE AS day FROM r)
 SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS day, datediff('day', day, DATE '2000-01-01')::INT AS days FROM s""")
 def written_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").withColumn("date_text", F.date_format("o_orderdate", "dd/MM/yyyy")).withColumn("day", F.try_to_timestamp(F.expr(DATES), F.lit("dd/MM/yyyy")).cast("date"))
+    rows = table(spark, d, "orders").withColumn("date_text", F.date_format("o_orderdate", "dd/MM/yyyy")).withColumn("day", text.written_date(F.expr(DATES)))
     return rows.select("o_orderkey", F.col("day").cast("string").alias("day"), F.datediff(F.lit("2000-01-01").cast("date"), "day").alias("days"))
 
 
@@ -287,9 +288,9 @@ def result_quartiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.quartiles(listing(spark, d).where("rooms = 2"), ["price", "area"]))
 
 
-@query(f"WITH {LISTING} SELECT floor(price / 500)::BIGINT AS band, min(kind) AS kind FROM listing WHERE kind IS NOT NULL GROUP BY band HAVING count(DISTINCT kind) = 1")
+@query(f"WITH {LISTING} SELECT floor(price / 20)::BIGINT AS band, min(kind) AS kind FROM listing WHERE kind IS NOT NULL GROUP BY band HAVING count(DISTINCT kind) = 1")
 def unambiguous_names(spark: SparkSession, d: str) -> DataFrame:
-    return market.unambiguous(listing(spark, d).withColumn("band", F.floor(F.col("price") / 500)), "band", "kind")
+    return market.unambiguous(listing(spark, d).withColumn("band", F.floor(F.col("price") / 20)), "band", "kind")
 
 
 @query(f"""WITH {LISTING}, n AS (SELECT ward, count(*) AS n, lower(ward) AS k FROM listing GROUP BY ward), m AS (SELECT ward, n, CASE WHEN k = 'nation_1' THEN 0 WHEN starts_with(k, 'nation_1') OR starts_with('nation_1', k) THEN 1 WHEN contains(k, 'nation_1') OR contains('nation_1', k) THEN 2 END AS match FROM n)
@@ -307,15 +308,44 @@ def names_in_texts(spark: SparkSession, d: str) -> DataFrame:
     return market.names_in_texts(texts, names.union(names.limit(1).select(F.lit("de la"))), "row_id", "text", "lang")
 
 
-@query(r"SELECT page_id, round(TRY_CAST(list_last(regexp_extract_all(html, '\bwidth\s*[:=]\s*[''\"]?(-?[0-9]+(?:\.[0-9]+)?)', 1)) AS DOUBLE), 4) AS width, len(list_distinct(regexp_extract_all(html, '<(h[1-6]|p|div)\b', 1)))::INT AS kinds FROM pages")
+@query(r"SELECT page_id, round(TRY_CAST(list_last(regexp_extract_all(html, '\bwidth\s*:\s*[''\"]?(-?[0-9]+(?:\.[0-9]+)?)', 1)) AS DOUBLE), 4) AS width, len(list_distinct(regexp_extract_all(html, '<(h[1-6]|p|div|script|a)\b', 1)))::INT AS kinds FROM pages")
 def page_numbers_in_tags(spark: SparkSession, d: str) -> DataFrame:
-    """The last number after a word, and which block tags a page has."""
+    """The last number of a script's field, and which tags a page has."""
     h = F.col("html")
-    last = F.try_element_at(F.regexp_extract_all(h, F.lit(r"\bwidth\s*[:=]\s*['\"]?(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), F.lit(-1)).try_cast("double")
-    return table(spark, d, "pages").select("page_id", F.round(last, 4).alias("width"), F.size(F.array_distinct(F.regexp_extract_all(h, F.lit(r"<(h[1-6]|p|div)\b"), F.lit(1)))).alias("kinds"))
+    return table(spark, d, "pages").select("page_id", F.round(html.script_number(h, "width"), 4).alias("width"), F.size(html.tags(h, "h[1-6]", "p", "div", "script", "a")).alias("kinds"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice * 1e4 >= 1e9 THEN printf('%.2f tỷ', o_totalprice * 1e4 / 1e9) ELSE format('{:,} triệu', round_even(o_totalprice * 1e4 / 1e6, 0)::BIGINT) END AS money, md5(concat_ws('|', round_even(o_totalprice * 1e4, -6)::BIGINT, o_custkey % 3, coalesce(o_comment, ''))) AS key FROM (SELECT *, o_orderstatus AS o_comment FROM orders)")
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice * 1e4 >= 1e9 THEN printf('%.2f tỷ', o_totalprice * 1e4 / 1e9) ELSE format('{:,} triệu', round_even(o_totalprice * 1e4 / 1e6, 0)::BIGINT) END AS money,
+md5(concat_ws('|', round_even(round(o_totalprice * 1e4, 0), -6)::BIGINT, o_custkey % 180, coalesce(CASE WHEN o_custkey % 3 > 0 THEN (o_custkey % 3)::VARCHAR END, ''), substr(o_orderpriority || ' ' || repeat(o_orderstatus, 130), 1, 120))) AS key FROM orders""")
 def written_money(spark: SparkSession, d: str) -> DataFrame:
-    price = F.col("o_totalprice") * 1e4
-    return table(spark, d, "orders").select("o_orderkey", text.money(price).alias("money"), F.md5(F.concat_ws("|", F.bround(price, -6).cast("long").cast("string"), (F.col("o_custkey") % 3).cast("string"), F.coalesce("o_orderstatus", F.lit("")))).alias("key"))
+    """Prices as they are written, and the key by which listings are taken for one."""
+    price, ward = F.col("o_totalprice") * 1e4, F.when(F.col("o_custkey") % 3 > 0, (F.col("o_custkey") % 3).cast("string"))
+    key = text.business_key(F.round(price, 0).cast("long"), F.col("o_custkey") % 180, ward, F.concat("o_orderpriority", F.lit(" "), F.repeat("o_orderstatus", F.lit(130))))
+    return table(spark, d, "orders").select("o_orderkey", text.money(price).alias("money"), F.md5(key).alias("key"))
+
+
+WARDS = "concat('Phường ', split_part(coalesce(source, 'x'), '.', 1), CASE WHEN doc_id % 5 > 0 THEN concat(' ', CAST(doc_id % 5 AS {text})) ELSE '' END)"
+
+
+@query(rf"""WITH n AS (SELECT nullif(regexp_replace(nullif(trim(regexp_replace({_sql_fold(WARDS.format(text='VARCHAR'))}, '[^a-z0-9]+', ' ', 'g')), ''), '^(?:{'|'.join(text.WARD_PREFIXES)})\s+', ''), '') AS name, CASE WHEN doc_id % 7 > 0 THEN concat('N', length(source) % 5 + CASE WHEN doc_id % 5 = 4 THEN length(source) % 2 ELSE 0 END) END AS new FROM documents),
+k AS (SELECT DISTINCT name, new, unnest(list_distinct([name, regexp_replace(name, '\s*\d+$', '')])) AS key FROM n WHERE new IS NOT NULL AND name IS NOT NULL)
+SELECT key, min(new) AS new, count(DISTINCT name) AS variants FROM k WHERE length(key) >= 3 GROUP BY key HAVING count(DISTINCT new) = 1""")
+def renamed_wards(spark: SparkSession, d: str) -> DataFrame:
+    """Old names of wards, spelt from sources with and without numbers, and the new ward that each one and each stem leads to."""
+    docs = table(spark, d, "documents").withColumn("old", F.expr(WARDS.format(text="STRING")))
+    new = F.concat(F.lit("N"), (F.length("source") % 5 + F.when(F.col("doc_id") % 5 == 4, F.length("source") % 2).otherwise(0)).cast("string"))
+    return market.renamed_wards(docs.withColumn("new", F.when(F.col("doc_id") % 7 > 0, new)), "old", "new")
+
+
+SAID = ["de", "la", "de la", "et de", "les", "que les", "and", "of and the", "the", "of", "und der"]
+
+
+@query(f"""WITH t AS (SELECT concat(conv_id, ':', turn) AS row_id, regexp_extract_all({_sql_fold('text')}, '[a-z0-9]+') AS w FROM conversations), n AS (SELECT unnest({SAID}) AS name),
+r AS (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS start FROM t), h AS (
+  SELECT row_id, name, start, len(string_split(name, ' ')) AS words FROM r JOIN n ON array_to_string(w[start:start + len(string_split(name, ' ')) - 1], ' ') = name
+) SELECT row_id, name, start::INT AS start, words::INT AS words FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.row_id = a.row_id AND b.words > a.words AND b.start <= a.start AND b.start + b.words >= a.start + a.words)""")
+def longest_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that overlap, in conversation turns: where a longer one stands, those inside it do not count."""
+    texts = table(spark, d, "conversations").withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, SAID))).alias("name"))
+    return market.name_spans(texts, names, "row_id", "text", "name")

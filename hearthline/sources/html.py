@@ -43,6 +43,11 @@ def script_number(html: Column, name: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(html, F.lit(rf"\b{name}\s*:\s*['\"]?(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), F.lit(-1)).try_cast("double")
 
 
+def tags(html: Column, *names: str) -> Column:
+    """Which of the elements (names, or patterns of names) a page has, distinct, in the order in which they first occur."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(rf"<({'|'.join(names)})\b"), F.lit(1)))
+
+
 def listing_links(pages: DataFrame, html: str, pattern: str = r'href="([^"]*-pr(\d+))"') -> DataFrame:
     """id and url of the listings that list pages link to; of a repeated id the first url by name."""
     found = pages.select(F.explode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("m"))
