@@ -115,14 +115,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tenths: int =
     every = F.array(*map(F.lit, sorted({g for t in known for g in t["grams"]}) or [""]))
     held = held.withColumn("near", F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains(every, g), i + 1)), lambda i: i.isNotNull()))
 
-    def window(t: Column, hits: Column, p: Column) -> Column:
-        own, inside = F.array_distinct(F.slice("grams", p, t["words"] - 1)), F.filter(hits, lambda q: (q >= p) & (q <= p + t["words"] - 2))
+    def window(t: Column, hits: Column, p: Column, k: Column) -> Column:
+        # the hits from p on, in order: no more of them than words are inside
+        own, inside = F.array_distinct(F.slice("grams", p, t["words"] - 1)), F.filter(F.slice(hits, k + 1, t["words"] - 1), lambda q: q <= p + t["words"] - 2)
         return once(F.struct(own.alias("g"), F.size(F.array_intersect(t["grams"], own)).alias("same"), inside.alias("hits")), lambda x: F.struct(x["same"].alias("same"), (2.0 * x["same"] / (t["n"] + F.size(x["g"]))).alias("dice"), t["name"].alias("licence"), (-p).alias("from"), x["hits"].alias("hits")))
 
     def runs(t: Column, near: Column) -> Column:
         hits = F.filter(near, lambda p: F.array_contains(t["grams"], F.element_at("grams", p)))
-        full = lambda h: F.filter(h, lambda p, k: F.coalesce(F.get(h, k + t["need"] - 1) <= p + t["words"] - 2, F.lit(False)))
-        return once(hits, lambda h: F.filter(F.transform(full(h), lambda p: window(t, h, p)), lambda x: 10 * x["dice"] >= tenths))
+        full = lambda h, p, k: F.coalesce(F.get(h, k + t["need"] - 1) <= p + t["words"] - 2, F.lit(False))
+        return once(hits, lambda h: F.filter(F.transform(h, lambda p, k: F.when(full(h, p, k), window(t, h, p, k))), lambda x: 10 * x["dice"] >= tenths))
 
     new = lambda x, spans: F.exists(x["hits"], lambda q: ~F.exists(spans, lambda s: (q >= s["a"]) & (q <= s["b"])))
     held = held.withColumn("runs", once(F.col("near"), lambda near: F.flatten(F.transform(table, lambda t: runs(t, near)))))
