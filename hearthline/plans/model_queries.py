@@ -40,16 +40,16 @@ def text_components(spark: SparkSession, d: str) -> DataFrame:
 
 #: DuckDB: an out-of-fold table of listings: the mean price of the ward in the other folds, less or more three tenths.
 OUT_OF_FOLD = f"""{LISTING},
-l AS (SELECT *, {FOLD_OF.format(id="row_id", n=5)} AS fold FROM listing WHERE price > 0), s AS (SELECT ward, fold, sum(price) AS s, count(*) AS n FROM l GROUP BY ALL),
-o AS (SELECT ward, fold, (sum(s) OVER (PARTITION BY ward) - s) / (sum(n) OVER (PARTITION BY ward) - n) AS predicted FROM s), p AS (SELECT l.*, predicted, 0.5::DOUBLE * predicted AS low, 1.6::DOUBLE * predicted AS high FROM l JOIN o USING (ward, fold))"""
+l AS (SELECT *, {FOLD_OF.format(id="row_id", n=5)} AS fold FROM listing WHERE price > 0), s AS (SELECT ward, fold, sum(round(price * 100)::BIGINT)::BIGINT AS s, count(*) AS n FROM l GROUP BY ALL),
+o AS (SELECT ward, fold, (sum(s) OVER (PARTITION BY ward) - s)::DOUBLE / (100 * (sum(n) OVER (PARTITION BY ward) - n))::DOUBLE AS predicted FROM s), p AS (SELECT l.*, predicted, 0.5::DOUBLE * predicted AS low, 1.6::DOUBLE * predicted AS high FROM l JOIN o USING (ward, fold))"""
 
 LEVELS = {"all": [], "branch": ["segment"], "district": ["segment", "district"], "ward": ["segment", "district", "ward"]}
 
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
     rows = listing(spark, d).where("price > 0").withColumn("fold", valuation.fold_of(F.col("row_id")))
-    cells = rows.groupBy("ward", "fold").agg(F.sum("price").alias("s"), F.count("*").alias("n"))
-    others = cells.groupBy("ward").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n")).join(cells, "ward").select("ward", "fold", ((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))).alias("predicted"))
+    cells = rows.groupBy("ward", "fold").agg(F.sum(F.round(F.col("price") * 100).cast("long")).alias("s"), F.count("*").alias("n"))  # cents, so that sums are exact
+    others = cells.groupBy("ward").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n")).join(cells, "ward").select("ward", "fold", ((F.col("all_s") - F.col("s")) / (100 * (F.col("all_n") - F.col("n")))).alias("predicted"))
     return rows.join(others, ["ward", "fold"]).withColumns({"low": 0.5 * F.col("predicted"), "high": 1.6 * F.col("predicted")})
 
 
@@ -80,10 +80,10 @@ def branch_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.drop("r2", "covered"))
 
 
-@query(f"""WITH {OUT_OF_FOLD} SELECT row_id, fold, round(predicted, 6) AS predicted, round(100 * (price / predicted - 1), 4) AS deviation, CASE WHEN price < low THEN 'below' WHEN price > high THEN 'above' ELSE 'inside' END AS position FROM p""")
+@query(f"""WITH {OUT_OF_FOLD} SELECT row_id, fold, floor(predicted)::BIGINT AS predicted, round(100 * (price / predicted - 1), 4) AS deviation, CASE WHEN price < low THEN 'below' WHEN price > high THEN 'above' ELSE 'inside' END AS position FROM p""")
 def out_of_fold_table(spark: SparkSession, d: str) -> DataFrame:
-    """Every listing with its out-of-fold prediction, deviation and position."""
-    return position(_priced(spark, d)).select("row_id", "fold", F.round("predicted", 6).alias("predicted"), F.round("deviation", 4).alias("deviation"), "position")
+    """Every listing with its out-of-fold prediction (whole units), deviation and position."""
+    return position(_priced(spark, d)).select("row_id", "fold", F.floor("predicted").alias("predicted"), F.round("deviation", 4).alias("deviation"), "position")
 
 
 _TWO = """SELECT {keys} n, {b} AS b, sqrt(greatest(yy - ({b}) * xy - ({a}) * wy, 0) / {freedom} * ww / (xx * ww - xw * xw)) AS e FROM m"""
