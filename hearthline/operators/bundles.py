@@ -55,22 +55,50 @@ def load_bundle(spark: SparkSession, path: str, config: dict) -> tuple[PipelineM
         return f"a part is missing: {type(e).__name__}"
 
 
-def what_if(row: DataFrame, alternatives: dict[str, list], price: Callable[[DataFrame], DataFrame], support: DataFrame | None = None) -> DataFrame:
-    """feature, value, predicted, change (per cent) for each row of ``row`` with one feature replaced at a time, priced in one batch by ``price`` (adds predicted); the widest changes first.
+#: How far a what-if price can be trusted, by the listings that have the value: 30 or more, 10 or more, fewer.
+TRUST = {"enough": 30, "some": 10, "few": 0}
 
-    ``support``: rows (feature, value, n) with how many listings have the value; those without any count 0.
+
+def support_of(rows: DataFrame, alternatives: dict[str, list], listings: DataFrame, row_id: str, least: int = 30) -> DataFrame:
+    """row_id, feature, value, n: how many listings of the row's area have the value. The area is its ward if that has ``least`` listings or the row has no district, else its district; a row with neither is held against all.
+
+    Listings that have none of the values are dropped before anything is counted, and counts are of (area, feature, value), so what is shuffled does not grow with the listings of an area.
+    """
+    cases = [F.struct(F.lit(c).alias("feature"), F.lit(v).cast(listings.schema[c].dataType).cast("string").alias("value")) for c, vs in alternatives.items() for v in vs]
+    held = F.array_compact(F.array(*(F.when(F.col(c).isin(vs), F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))) for c, vs in alternatives.items())))
+    area = lambda level, c: F.struct(F.lit(level).alias("level"), F.col(c).cast("string").alias("area") if c else F.lit("").alias("area"))
+    spread = listings.select(held.alias("held"), F.array(area("ward", "ward"), area("district", "district"), area("all", None)).alias("areas")).where(F.size("held") > 0)
+    counts = spread.select(F.explode("areas").alias("a"), "held").where("a.area IS NOT NULL").select("a.*", F.explode("held").alias("h")).select("level", "area", "h.*").groupBy("level", "area", "feature", "value").agg(F.count("*").alias("n"))
+    wards = listings.where("ward IS NOT NULL").groupBy(F.col("ward").cast("string").alias("_ward")).agg(F.count("*").alias("_n"))
+    own = rows.select(row_id, F.col("ward").cast("string").alias("_ward"), F.col("district").cast("string").alias("_district")).join(wards, "_ward", "left")
+    by_ward = F.col("_ward").isNotNull() & ((F.coalesce("_n", F.lit(0)) >= least) | F.col("_district").isNull())
+    level = F.when(by_ward, "ward").when(F.col("_district").isNotNull(), "district").otherwise("all")
+    asked = own.select(row_id, level.alias("level"), F.when(by_ward, F.col("_ward")).otherwise(F.coalesce("_district", F.lit(""))).alias("area"), F.explode(F.array(*cases)).alias("c")).select(row_id, "level", "area", "c.*")
+    return asked.join(counts, ["level", "area", "feature", "value"], "left").select(row_id, "feature", "value", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def what_if(rows: DataFrame, alternatives: dict[str, list], price: Callable[[DataFrame], DataFrame], listings: DataFrame | None = None, row_id: str = "row_id", least: int = 30) -> DataFrame:
+    """row_id, feature, now, value, before, predicted, gap and change (per cent, one decimal) for each row with one feature replaced at a time by each value that it does not have, priced in one batch by ``price`` (adds predicted).
+
+    With ``listings`` also n, how many of them stand behind the value (``support_of``), and trust (TRUST). The best supported come first, among them the widest changes; nothing is hidden. ``now`` is null if the row lacks the feature.
     """
-    cases = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("value"))]
-    cases += [F.struct(F.lit(c).alias("feature"), F.lit(v).cast("string").alias("value")) for c, vs in alternatives.items() for v in vs]
-    wide = row.withColumn("base_id", F.xxhash64(*row.columns)).withColumn("case", F.explode(F.array(*cases)))
+    value = lambda c, v: F.lit(v).cast(rows.schema[c].dataType)
+    nothing = F.lit(None).cast("string")
+    cases = [F.struct(nothing.alias("feature"), nothing.alias("now"), nothing.alias("value"))]
+    cases += [F.when(~F.col(c).eqNullSafe(value(c, v)), F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("now"), value(c, v).cast("string").alias("value"))) for c, vs in alternatives.items() for v in vs]
+    wide = rows.withColumn("case", F.explode(F.array_compact(F.array(*cases))))
     for c in alternatives:
-        wide = wide.withColumn(c, F.when(F.col("case.feature") == c, F.col("case.value").cast(row.schema[c].dataType)).otherwise(F.col(c)))
-    priced = price(wide).select("base_id", "case.feature", "case.value", "predicted")
-    base = priced.where("feature IS NULL").select("base_id", F.col("predicted").alias("before"))
-    out = priced.where("feature IS NOT NULL").join(base, "base_id").withColumn("change", 100 * (F.col("predicted") / F.col("before") - 1))
-    if support is not None:
-        out = out.join(support, ["feature", "value"], "left").fillna(0, ["n"])
-    return out.drop("before").orderBy(F.desc(F.abs("change")), "feature", "value")
+        wide = wide.withColumn(c, F.when(F.col("case.feature") == c, F.col("case.value").cast(rows.schema[c].dataType)).otherwise(F.col(c)))
+    priced = price(wide).select(row_id, "case.*", "predicted")
+    base = priced.where("feature IS NULL").select(row_id, F.col("predicted").alias("before"))
+    out = priced.where("feature IS NOT NULL").join(base, row_id).withColumn("gap", F.col("predicted") - F.col("before")).withColumn("change", F.round(100 * (F.col("predicted") / F.col("before") - 1), 1))
+    order = [F.desc(F.abs("change")), F.asc("feature"), F.asc("value"), F.asc(row_id)]
+    if listings is None:
+        return out.orderBy(*order)
+    out = out.join(support_of(rows, alternatives, listings, row_id, least), [row_id, "feature", "value"])
+    enough, some, few = TRUST
+    trust = F.when(F.col("n") >= TRUST[enough], enough).when(F.col("n") >= TRUST[some], some).otherwise(few)
+    return out.withColumn("trust", trust).orderBy(F.array_position(F.array(*map(F.lit, TRUST)), F.col("trust")), *order)
 
 
 def compare(a: DataFrame, b: DataFrame, key: str = "feature", value: str = "share") -> DataFrame:

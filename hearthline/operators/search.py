@@ -57,6 +57,20 @@ def ranked(df: DataFrame, score: Column, seen: str = "seen", row_id: str = "row_
     return df.orderBy(score.asc_nulls_last(), F.col(seen).desc_nulls_last(), row_id)
 
 
+#: Orders of results: the best match, the cheapest, the furthest below and above the estimate.
+BEST, CHEAPEST, BELOW, ABOVE = "best", "cheapest", "below", "above"
+
+
+def arranged(df: DataFrame, how: str, request: dict, deviation: str = "deviation", seen: str = "seen", row_id: str = "row_id") -> DataFrame:
+    """Results in one of the orders, unknown values last, then the newest first, then row_id. Without the column of deviations (and for another word) it is the best match, by the prices and areas that the request names."""
+    key = match_score(F.col("price"), F.col("area"), *(request.get(k) for k in ("price_to", "price_from", "area_from", "area_to"))).asc_nulls_last()
+    if how == CHEAPEST:
+        key = F.col("price").asc_nulls_last()
+    elif how in (BELOW, ABOVE) and deviation in df.columns:
+        key = F.col(deviation).asc_nulls_last() if how == BELOW else F.col(deviation).desc_nulls_last()
+    return df.orderBy(key, F.col(seen).desc_nulls_last(), row_id)
+
+
 def comparables(df: DataFrame, ward: str, district: str, area: float, rooms: int, k: int = 10, row_id: str = "row_id") -> DataFrame:
     """The k listings most alike: of the ward if it has k, else of the district; by relative gap in area, then gap in rooms (9 if unknown). Price plays no part."""
     inside = df.where((F.col("ward") == ward) | (F.col("district") == district))

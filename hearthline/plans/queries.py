@@ -398,6 +398,7 @@ import hearthline.plans.appraisal_queries  # noqa: E402, F401
 import hearthline.plans.intake_queries  # noqa: E402, F401
 import hearthline.plans.market_queries  # noqa: E402, F401
 import hearthline.plans.model_queries  # noqa: E402, F401
+import hearthline.plans.place_queries  # noqa: E402, F401
 import hearthline.plans.surface_queries  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -26,6 +26,25 @@ def project_json(payload: Column, fields: dict[str, str]) -> list[Column]:
     return [parsed[n].alias(n) for n in fields]
 
 
+def epoch(c: Column, per_second: int = 1) -> Column:
+    """The time (without a zone, in UTC) of seconds, or of parts of them, since 1970; null for none."""
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(c.cast("decimal(18,0)") / per_second).cast("decimal(18,6)"))
+
+
+def export_table(ads: DataFrame, fields: dict[str, str], address: str, row_id: str = "list_id", payload: str = "payload", kind: str | None = None, posted: str = "list_time") -> DataFrame:
+    """Stored ads as a flat table: row_id, the fields of the JSON in their types, kind, first_seen and last_seen (from seconds), times, posted (from the JSON's milliseconds; null for 0) and url (``address`` with the id in place of {}).
+
+    ``kind``: only ads of this kind, which reaches the scan. A broken JSON leaves nulls; the JSON is parsed once for all fields.
+    """
+    wanted = fields if posted in fields else {**fields, posted: "bigint"}
+    rows = ads if kind is None else ads.where(F.col("kind") == kind)
+    rows = rows.withColumn("_p", F.from_json(payload, ", ".join(f"`{n}` {t}" for n, t in wanted.items())))
+    before, after = address.split("{}")
+    own = [F.col("_p")[n].alias(n) for n in fields]
+    at = F.nullif(F.col("_p")[posted].cast("bigint"), F.lit(0).cast("bigint"))
+    return rows.select(row_id, *own, "kind", epoch(F.col("first_seen")).alias("first_seen"), epoch(F.col("last_seen")).alias("last_seen"), "times", epoch(at, 1000).alias("posted"), F.concat(F.lit(before), F.col(row_id).cast("string"), F.lit(after)).alias("url"))
+
+
 def clean_cell(c: Column, most: int = 32_767) -> Column:
     """Without control characters, at most as long as a spreadsheet's cell."""
     return F.substring(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), 1, most)

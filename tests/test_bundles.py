@@ -24,11 +24,16 @@ def test_bundle_is_loaded_or_rejected(spark, tmp_path):
 
 
 def test_what_if_and_compare(spark):
-    row = spark.createDataFrame([(2, 50.0, "a")], "rooms int, area double, ward string")
-    price = lambda df: df.withColumn("predicted", 100 * F.col("area") * (1 + F.col("rooms")) + F.when(F.col("ward") == "b", 5000).otherwise(0))
-    support = spark.createDataFrame([("ward", "b", 12)], "feature string, value string, n long")
-    got = [(r.feature, r.value, round(r.change, 6), r.n) for r in bundles.what_if(row, {"rooms": [3], "area": [60.0], "ward": ["b", "c"]}, price, support).collect()]
-    assert got == [("rooms", "3", 33.333333, 0), ("ward", "b", 33.333333, 12), ("area", "60.0", 20.0, 0), ("ward", "c", 0.0, 0)]
+    row = spark.createDataFrame([(7, 2, 50.0, "a", "w", "d")], "row_id int, rooms int, area double, kind string, ward string, district string")
+    price = lambda df: df.withColumn("predicted", 100 * F.col("area") * (1 + F.col("rooms")) + F.when(F.col("kind") == "b", 5000).otherwise(0))
+    known = [(2, 50.0, "b", "w", "d")] * 12 + [(3, 50.0, "a", "x", "d")] * 40 + [(3, 60.0, "c", "w", "e")] * 5 + [(2, 1.0, "a", None, None)] * 3
+    known = spark.createDataFrame(known, "rooms int, area double, kind string, ward string, district string")
+    got = [(r.feature, r.now, r.value, r.change, r.n, r.trust) for r in bundles.what_if(row, {"rooms": [2, 3], "area": [60.0], "kind": ["b", "c"]}, price, known).collect()]
+    # the ward has 17 listings, so the district's 52 are asked
+    assert got == [("rooms", "2", "3", 33.3, 40, "enough"), ("kind", "a", "b", 33.3, 12, "some"), ("area", "50.0", "60.0", 20.0, 0, "few"), ("kind", "a", "c", 0.0, 0, "few")]
+    none = row.withColumn("ward", F.lit(None).cast("string")).withColumn("rooms", F.lit(None).cast("int"))
+    assert {(r.value, r.n) for r in bundles.support_of(none.withColumn("district", F.lit(None).cast("string")), {"rooms": [2, 3]}, known, "row_id").collect()} == {("2", 15), ("3", 45)}
+    assert [(r.now, r.value, r.change) for r in bundles.what_if(none, {"rooms": [2]}, price).collect()] == [(None, "2", None)]
     a, b = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "feature string, share double"), spark.createDataFrame([("x", 4.0)], "feature string, share double")
     assert {r.feature: r.gap for r in bundles.compare(a, b).collect()} == {"x": 3.0, "y": -2.0}
 
