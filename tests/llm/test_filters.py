@@ -1,8 +1,10 @@
 """Toxicity, decontamination and personal data: held-out accuracy, brute force, and defined results for odd rows."""
 
 import hashlib
+import math
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -58,6 +60,35 @@ def test_folding_and_exceptions():
     assert lexicon.score(machine, "idiot " + "x " * 500) < lexicon.score(machine, "idiot")
 
 
+def plain_score(lexicon, text):
+    """The score from its definition: at each word the heaviest term that the text goes on with, unless an exception phrase covers it."""
+    folded = toxicity.fold(text)
+    total = 0.0
+    for start in (i for i, c in enumerate(folded) if c == " "):
+        here = [(weight, -len(term)) for term, weight in lexicon.weights.items() if folded.startswith(term, start)]
+        if here:
+            weight, size = max(here)
+            covered = any(folded.startswith(p, a) and start - size <= a + len(p) and start < a + len(p) for p in lexicon.exceptions for a in range(max(0, start - len(p)), start + 1))
+            total += 0 if covered else weight
+    words = len(folded.split())
+    z = lexicon.curve[0] + lexicon.curve[1] * math.log1p(total) + lexicon.curve[2] * math.log1p(100 * total / max(words, 1))
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+
+
+def test_scores_equal_a_plain_scan(spark, docs, labelled):
+    lexicon = replace(toxicity.learn_from_labels(*labelled[:2]), exceptions=(" snivel harbour ",))
+    assert len(lexicon.weights) > 5
+    texts = [r.text for r in labelled[0].collect()] + [r.text for r in docs.select("text").collect()] + ["gruntle", "Sn1vel  harbour", "snivel harbour blorkum", "bl\u043erkeist " * 3000, "harbour snivel", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(rows, lexicon).collect()}
+    assert len(got) == len(texts) > 900
+    assert [got[i] for i in range(len(texts))] == pytest.approx([plain_score(lexicon, t) for t in texts], abs=1e-12)
+    hand = toxicity.Lexicon({" abc": 2.0, " abcd ": 3.0, " abcde": 3.0, " q ": 1.0}, (" abcd x ", " q q "), (-1.0, 1.0, 0.3))
+    odd = ["abcd x", "abcde x abcd", "q q q", "abc q q abcd x abcd", "x abcd x q"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert [r.score for r in toxicity.score(rows, hand).orderBy("doc_id").collect()] == pytest.approx([plain_score(hand, t) for t in odd], abs=1e-12)
+
+
 def test_toxicity_of_odd_tables(docs, nothing, labelled):
     _, labels, _ = labelled
     assert toxicity.classify(docs, labels.limit(0)).where("score > 1e-9").count() == 0

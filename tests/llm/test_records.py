@@ -7,6 +7,8 @@ import duckdb
 import pandas as pd
 import zstandard
 
+import pytest
+
 from hearthline.llm import licences, mixing, warc
 
 
@@ -131,6 +133,24 @@ def test_licences_repeated_embedded_and_wrapped(spark):
 
 
 
+def test_bodies_of_licence_files(spark):
+    """Whole licence files with titles, other holders, wrapped lines and bullets for numbers; one has a clause more than the other."""
+    def file(name, title, gap):
+        w = licences.TEMPLATES[f"{name} text"].replace(" 1. ", " * ").replace(" 2. ", " * ").replace("COPYRIGHT HOLDER ", "REGENTS ").split()
+        return f"{title}\n\nCopyright (c) 2019-2024 Zoë Müller and others <z@example.org>\n{gap}" + "\n".join(" ".join(w[i : i + 11]) for i in range(0, len(w), 11)) + "\n\nint main() { return 0; }\n"
+
+    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"]
+    texts = [file(n, n + " licence", "\n") for n in names] + [file(n, "Licence", "") for n in names] + [" ".join(licences.TEMPLATES["MIT text"].split()[90:])]
+    found = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), windows=True).where("licence LIKE '% text'").collect()
+    assert {(r.doc_id, r.licence) for r in found} == {(i, f"{names[i % 4]} text") for i in range(8)}
+    for r in found:
+        grams = lambda t: set(licences._bigrams(licences._words(t)))
+        if r.part == "window":
+            size = len(licences._words(licences.TEMPLATES[r.licence]))
+            a, b = grams(licences.TEMPLATES[r.licence]), grams(" ".join(licences._words(texts[r.doc_id])[r.place - 1 : r.place - 1 + size]))
+            assert r.dice == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
+
+
 def test_every_match_holds_a_needle():
     needles = licences.needles(licences.TEMPLATES)
     for text in licences.TEMPLATES.values():
