@@ -48,8 +48,10 @@ def json_kinds(df: DataFrame, payload: str) -> DataFrame:
     texts, forms, read = _maps(F.col(payload))
     each = df.select(F.when(read, texts).alias("texts"), F.when(read, forms).alias("forms")).select("forms", F.explode("texts").alias("column", "text")).where("text IS NOT NULL")
     each = each.withColumn("value", F.element_at("forms", F.col("column"))).withColumn("form", F.schema_of_variant("value"))
-    form, text = F.col("form"), _exact(F.col("text"), F.col("value"), F.col("form"))
-    kind = F.when(form == "BOOLEAN", "boolean").when(form.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), _number_kind(text)).when(form == "STRING", _word_kind(text)).otherwise("nested")
+    form, text = F.col("form"), F.col("text")
+    number, dotted = _number_kind(_exact(text, F.col("value"), form)), text.rlike("[.eE]")
+    number = F.when(dotted & (number == "whole"), "fraction").when(dotted & (number == "long"), "exact").otherwise(number)  # 37.0 is no whole number
+    kind = F.when(form == "BOOLEAN", "boolean").when(form.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number).when(form == "STRING", _word_kind(text)).otherwise("nested")
     return each.select("column", kind.alias("kind")).groupBy("column", "kind").agg(F.count("*").alias("n"))
 
 

@@ -33,6 +33,13 @@ def test_one_odd_cell_far_down_decides(spark):
     assert rc.column_types(rc.column_report(rc.json_kinds(many, "p"))) == {"v": "string"}
 
 
+def test_fractions_without_decimals_are_fractions(spark):
+    rows = spark.createDataFrame([('{"v": 37.0, "w": 1}',), ('{"v": 5, "w": 12345678901234567.0}',), ('{"v": -0.0}',)], "p string")
+    types = rc.column_types(rc.column_report(rc.json_kinds(rows, "p")))
+    assert types == {"v": "double", "w": "string"}
+    assert [r["v"] for r in rc.typed_json(rows, "p", types).collect()] == [37.0, 5.0, 0.0]
+
+
 def test_written_and_read_back(spark, rows, tmp_path):
     types = rc.write_reconciled(rows, "p", f"file://{tmp_path}/t")
     back = spark.read.parquet(f"file://{tmp_path}/t")
