@@ -34,10 +34,24 @@ def test_query_equals_sql(spark, db, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["similar_texts", "page_text", "forest_quantiles"])
+COLUMNS = {
+    "similar_texts": [("row_id", "string"), ("leader", "string")], "page_text": [("page_id", "bigint"), ("title", "string"), ("text", "string")],
+    "forest_quantiles": [("row_id", "bigint"), ("q05", "double"), ("q50", "double"), ("q95", "double")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_without_sql(spark, name):
     out = plans.QUERIES[name](spark, SF)
-    assert out.count() > 0 and out.columns == plans.QUERIES[name](spark, SF).columns
+    assert out.dtypes == COLUMNS[name]
+    found = out.toPandas()
+    assert len(found) > 0 and found[COLUMNS[name][0][0]].is_unique
+    if name == "similar_texts":
+        assert set(found[found.row_id == found.leader].leader) == set(found.leader)  # a leader leads itself
+    elif name == "page_text":
+        assert not found.text.str.contains("<script|</").any() and found.title.notna().any()
+    else:
+        assert ((found.q05 <= found.q50) & (found.q50 <= found.q95)).all()
 
 
 def test_entry_points(spark):
