@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hearthline.functions.geo import haversine_km, in_box
 from hearthline.functions.text import fold, ward_key
 from hearthline.operators.areas import contains
+from hearthline.operators.lineage import cut_lineage
 from hearthline.operators.quantiles import column_quantiles, exact_quantiles
 from hearthline.operators.quality import keep_first, similar_leaders
 
@@ -243,7 +244,17 @@ def find_names(names: DataFrame, name: str, asked: str, k: int = 10) -> DataFram
     return found.where("match IS NOT NULL").orderBy("match", F.desc("n"), name).limit(k)
 
 
-def names_in_texts(texts: DataFrame, names: DataFrame, row_id: str, text: str, name: str, most_words: int = 4) -> DataFrame:
+#: Up to so many names go to every task; more are joined by a sort of both sides. The runs of words of all texts are never sent to the driver, however few the planner takes them for.
+MOST_NAMES = 200_000
+
+
+def _named_runs(runs: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """runs joined by ``run`` with names (name and run, distinct): the names are the side that is sent to all tasks, and only if they are at most ``most``."""
+    names = cut_lineage(names)
+    return runs.join(F.broadcast(names) if names.count() <= most else names.hint("merge"), "run")
+
+
+def names_in_texts(texts: DataFrame, names: DataFrame, row_id: str, text: str, name: str, most_words: int = 4, most_names: int = MOST_NAMES) -> DataFrame:
     """row_id and the names (of up to most_words words) that stand in its text as whole words, folded: an equi-join on runs of words, not a search for each name."""
     def plain(c: str) -> Column:
         return F.filter(F.split(fold(c), r"[^a-z0-9]+"), lambda w: w != "")
@@ -251,12 +262,13 @@ def names_in_texts(texts: DataFrame, names: DataFrame, row_id: str, text: str, n
     def runs(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
 
-    found = texts.select(row_id, plain(text).alias("w")).select(row_id, F.explode(F.array_distinct(F.flatten(F.array(*map(runs, range(1, most_words + 1)))))).alias("run"))
+    # outer, as for others the optimizer infers a filter in which the words are split anew for every run
+    found = texts.select(row_id, plain(text).alias("w")).select(row_id, F.explode_outer(F.array_distinct(F.flatten(F.array(*map(runs, range(1, most_words + 1)))))).alias("run"))
     table = names.select(F.col(name).alias("name"), F.array_join(plain(name), " ").alias("run")).where("run <> ''").distinct()
-    return found.join(table, "run").select(row_id, "name").distinct()
+    return _named_runs(found, table, most_names).select(row_id, "name").distinct()
 
 
-def name_spans(texts: DataFrame, names: DataFrame, row_id: str, text: str, name: str, most_words: int = 4) -> DataFrame:
+def name_spans(texts: DataFrame, names: DataFrame, row_id: str, text: str, name: str, most_words: int = 4, most_names: int = MOST_NAMES) -> DataFrame:
     """row_id, name, start and words: every place (in words, from 1) where a name of up to most_words words stands in a text as whole words, folded, unless it lies inside a longer name's place. An equi-join on runs of words; of
     two names that fold alike the first counts; a text's places are compared with one another in its own row."""
     def plain(c: str) -> Column:
@@ -266,9 +278,9 @@ def name_spans(texts: DataFrame, names: DataFrame, row_id: str, text: str, name:
         last = F.size("w") - n + 1
         return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(i.alias("start"), F.lit(n).alias("words"), F.array_join(F.slice("w", i, n), " ").alias("run")))).otherwise(F.array())
 
-    found = texts.select(row_id, plain(text).alias("w")).select(row_id, F.inline(F.flatten(F.array(*map(runs, range(1, most_words + 1))))))
+    found = texts.select(row_id, plain(text).alias("w")).select(row_id, F.inline_outer(F.flatten(F.array(*map(runs, range(1, most_words + 1))))))
     table = names.select(F.col(name).alias("name"), F.array_join(plain(name), " ").alias("run")).where("run <> ''").groupBy("run").agg(F.min("name").alias("name"))
-    hits = found.join(table, "run")
+    hits = cut_lineage(_named_runs(found, table, most_names))
     # a longer place that holds this one begins at most most_words - 1 words before it: an equi-join on where it may begin
     longer = hits.select(F.col(row_id).alias("_id"), F.col("start").alias("_start"), F.col("words").alias("_words"))
     ends = F.col("start") + F.col("words")

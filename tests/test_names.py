@@ -48,3 +48,14 @@ def test_written_dates(spark):
 def test_queries_reach_what_they_are_to_prove(spark, name, column, levels):
     rows = entry.queries()[name](spark, "/root/testdata/sf0.001").select(column).distinct().collect()
     assert len(rows) >= levels and (name != "assigned_places" or re.search("None", str(rows)))
+
+
+@pytest.mark.parametrize("find", [market.names_in_texts, market.name_spans])
+def test_runs_of_words_are_split_once_and_not_sent_to_the_driver(spark, find):
+    texts = spark.createDataFrame([(i, f"{i} Phố Láng Hạ de la") for i in range(5)] + [(9, None), (10, "")], "row_id long, t string")
+    names = spark.createDataFrame([("Láng Hạ",), ("de la",), ("la",)], "n string")
+    few, many = (find(texts, names, "row_id", "t", "n", most_names=m) for m in (10, 0))
+    rows = sorted(map(tuple, few.collect()))
+    assert rows == sorted(map(tuple, many.collect())) and len(rows) == (10 if find is market.name_spans else 15)
+    plan = market.names_in_texts(texts, names, "row_id", "t", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "rightHint=(strategy=broadcast)" in plan
