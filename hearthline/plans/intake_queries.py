@@ -10,7 +10,7 @@ from hearthline.operators import intake, quality
 from hearthline.operators.market import FILLED_IN
 from hearthline.plans.market_queries import NUM, SIZES, _spelled, _sql_first_fit, _sql_fold
 from hearthline.plans.registry import query
-from hearthline.plans.views import LISTING, PLACES, km_sql, listing, places, table
+from hearthline.plans.views import LISTING, PLACES, km_sql, listing, places, spread, table
 from hearthline.sources import html
 
 # Addresses
@@ -115,8 +115,9 @@ NULL::BIGINT AS project_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'HN' END AS city_
 (o_orderkey % 6)::DOUBLE AS bedrooms, NULL::DOUBLE AS bathrooms, NULL::VARCHAR AS facing, NULL::VARCHAR AS balcony, NULL::VARCHAR AS papers, NULL::VARCHAR AS furniture, 'Nhà đẹp' AS description FROM orders""")
 def listing_pages(spark: SparkSession, d: str) -> DataFrame:
     """Orders as pages of listings, a third of them without a script, and what is read from these."""
-    pages = table(spark, d, "orders").select("o_orderkey", F.expr(PAGE).alias("html"), F.concat(F.lit("https://"), "o_orderkey").alias("url"))
-    return pages.select("o_orderkey", *(c.alias(n) for n, c in html.listing_page(F.col("html"), F.col("url")).items()))
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    pages = orders.select("o_orderkey", F.expr(PAGE).alias("html"), F.concat(F.lit("https://"), "o_orderkey").alias("url"))
+    return html.listing_pages(pages, "html", "url", "o_orderkey")
 
 
 STOREYS = _spelled("o_orderkey", [f"concat('Nhà ', {NUM}, ' tầng')", "'xây 5 T, ô tô'", "'nhà 4,5 tầng'", None, "'dt 50m2, 3t'", "'tầng 4'", "''"])

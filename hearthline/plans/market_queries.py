@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.functions import geo, text
 from hearthline.operators import areas, market, valuation
 from hearthline.plans.registry import query, rounded
-from hearthline.plans.views import LISTING, PLACES, listing, places, table
+from hearthline.plans.views import LISTING, PLACES, listing, places, spread, table
 from hearthline.sources import html
 
 Y, X = "(lat * 111.32)", "(lon * (111.32 * cos(radians(21.0))))"
@@ -303,7 +303,7 @@ def found_names(spark: SparkSession, d: str) -> DataFrame:
 SELECT concat(conv_id, ':', turn) AS row_id, lang AS name FROM w JOIN n ON list_contains(w, lang) UNION SELECT DISTINCT concat(conv_id, ':', turn), 'de la' FROM conversations WHERE regexp_matches({_sql_fold('text')}, '(^|[^a-z0-9])de[^a-z0-9]+la([^a-z0-9]|$)')""")
 def names_in_texts(spark: SparkSession, d: str) -> DataFrame:
     """Language codes, which are words of some languages, and a name of two words in conversation turns."""
-    texts = table(spark, d, "conversations").withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
+    texts = spread(table(spark, d, "conversations"), "conv_id").withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
     names = table(spark, d, "documents").select("lang").distinct()
     return market.names_in_texts(texts, names.union(names.limit(1).select(F.lit("de la"))), "row_id", "text", "lang")
 
@@ -346,6 +346,6 @@ r AS (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS start FROM t), h AS (
 ) SELECT row_id, name, start::INT AS start, words::INT AS words FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.row_id = a.row_id AND b.words > a.words AND b.start <= a.start AND b.start + b.words >= a.start + a.words)""")
 def longest_names(spark: SparkSession, d: str) -> DataFrame:
     """Names that overlap, in conversation turns: where a longer one stands, those inside it do not count."""
-    texts = table(spark, d, "conversations").withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
+    texts = spread(table(spark, d, "conversations"), "conv_id").withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
     names = spark.range(1).select(F.explode(F.array(*map(F.lit, SAID))).alias("name"))
     return market.name_spans(texts, names, "row_id", "text", "name")

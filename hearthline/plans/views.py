@@ -10,6 +10,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, a_core: int = 4) -> DataFrame:
+    """df by a hash of key over all cores, for work that costs much more a row than reading it: a small file is one task, whatever is made of its rows."""
+    return df.repartition(a_core * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def listing(spark: SparkSession, d: str) -> DataFrame:
     """Orders as listings: price, ward (nation), district (region), kind, date seen; area, rooms by the customer's key."""
     nation = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))

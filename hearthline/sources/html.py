@@ -40,7 +40,8 @@ def pairs(html: Column, pattern: str) -> Column:
 
 def script_number(html: Column, name: str) -> Column:
     """The last numeric value of a field of a JavaScript object, null if there is none."""
-    return F.try_element_at(F.regexp_extract_all(html, F.lit(rf"\b{name}\s*:\s*['\"]?(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), F.lit(-1)).try_cast("double")
+    found = F.try_element_at(F.regexp_extract_all(html, F.lit(rf"\b{name}\s*:\s*['\"]?(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), F.lit(-1)).try_cast("double")
+    return F.when(html.contains(name), found)  # most pages lack most fields, and plain text is found faster
 
 
 def tags(html: Column, *names: str) -> Column:
@@ -63,14 +64,29 @@ DESCRIPTION = r'(?s)class="[^"]*detail-content[^"]*"[^>]*>(.*?)</div>'
 NEW_CITY = r",?\s*(?:Hà Nội|TP Hà Nội)\s*mới\s*$"
 
 
+def shown(html: Column, pattern: str) -> Column:
+    """The pattern's two groups in the order of the page, as an array of structs (key: folded, k, v)."""
+    both = F.arrays_zip(*(F.regexp_extract_all(html, F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "k"), (2, "v"))))
+    plain = F.transform(both, lambda p: F.struct(plain_text(p["k"]).alias("k"), plain_text(p["v"]).alias("v")))
+    return F.transform(plain, lambda p: F.struct(name_key(p["k"]).alias("key"), p["k"].alias("k"), p["v"].alias("v")))
+
+
 def _value(found: Column, key: str) -> Column:
-    """A map's value by the folded key."""
-    return F.try_element_at(F.filter(F.map_entries(found), lambda e: name_key(e["key"]) == key), F.lit(-1))["value"]
+    """A value of shown() by the folded key: of keys that fold alike the one that begins last, of equal ones the last value."""
+    own = F.filter(found, lambda p: p["key"] == key)
+    last = F.try_element_at(F.array_distinct(F.transform(own, lambda p: p["k"])), F.lit(-1))
+    return F.try_element_at(F.filter(own, lambda p: p["k"] == last), F.lit(-1))["v"]
+
+
+def listing_pages(pages: DataFrame, html: str, url: str, *keep: str) -> DataFrame:
+    """keep and the columns of listing_page(). What a page shows is read once, in a step of its own, not once for every column that looks into it."""
+    read = pages.select(*keep, F.col(html).alias("_html"), F.col(url).alias("_url"), shown(F.col(html), FACTS).alias("_facts"), shown(F.col(html), DETAILS).alias("_details"))
+    return read.select(*keep, *(c.alias(n) for n, c in listing_page(F.col("_html"), F.col("_url"), F.col("_facts"), F.col("_details")).items()))
 
 
-def listing_page(html: Column, url: Column) -> dict[str, Column]:
-    """The 27 columns of a listing's page: numbers of its script first, price and area else from the facts shown; what a page lacks is null."""
-    facts, details = pairs(html, FACTS), pairs(html, DETAILS)
+def listing_page(html: Column, url: Column, facts: Column | None = None, details: Column | None = None) -> dict[str, Column]:
+    """The 27 columns of a listing's page: numbers of its script first, price and area else from the facts shown; what a page lacks is null. ``facts`` and ``details``: shown() of FACTS and DETAILS, where they are read already."""
+    facts, details = shown(html, FACTS) if facts is None else facts, shown(html, DETAILS) if details is None else details
     inside = lambda pattern: F.when(html.rlike(pattern), plain_text(F.regexp_extract(html, pattern, 1)))
     number = lambda name: script_number(html, name)
     whole = lambda name: number(name).cast("long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from hearthline.functions import text
 from hearthline.operators import market
+from hearthline.sources import html
 
 
 def test_longest_names_equal_brute_force(spark):
@@ -59,3 +60,14 @@ def test_runs_of_words_are_split_once_and_not_sent_to_the_driver(spark, find):
     assert rows == sorted(map(tuple, many.collect())) and len(rows) == (10 if find is market.name_spans else 15)
     plan = market.names_in_texts(texts, names, "row_id", "t", "n")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_pages_are_read_once_and_alike(spark):
+    item = '<div class="re__pr-short-info-item"><span class="title">{}</span> <span class="value">{}</span></div>'
+    shown = [[("Mã tin", "1"), ("Loại tin", "a"), ("LOẠI TIN", "b"), ("Loại tin", "c")], [("Loại tin", "")], [("LOẠI TIN", "x"), ("Loại tin", "y"), ("LOẠI TIN", "z")]]
+    pages = [(i, "".join(item.format(*p) for p in facts) + f"<script>{{productId: {i}, xprice: 4}}</script>") for i, facts in enumerate(shown)] + [(8, None), (9, "")]
+    df = spark.createDataFrame(pages, "i long, html string").withColumn("url", F.lit("u"))
+    got = html.listing_pages(df, "html", "url", "i")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.select("i", *(c.alias(n) for n, c in html.listing_page(F.col("html"), F.col("url")).items())).collect()))
+    assert {r.i: (r.listing_id, r.tier, r.price) for r in got.collect()} == {0: ("1", "b", None), 1: ("1", "", None), 2: ("2", "y", None), 8: (None, None, None), 9: (None, None, None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("re__pr-short-info-item") == 2
