@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,43 @@ def ledger(df: DataFrame, steps: list[str], reason: str = "reason") -> DataFrame
     return out.withColumn("percent", F.round(F.when(F.col("rows_in") > 0, 100.0 * F.col("removed") / F.col("rows_in")).otherwise(0.0), 2))
 
 
+#: Fixed value: a word of two or more letters.
+WORD = re.compile(r"\b\w\w+\b")
+
+
 def _terms(texts: pd.Series) -> pd.Series:
     """Words of two or more letters and pairs of such in a row."""
     return texts.str.findall(r"\b\w\w+\b").map(lambda w: w + [f"{a} {b}" for a, b in zip(w, w[1:])])
 
 
-def _counted(texts: pd.Series) -> pd.DataFrame:
-    texts = texts.fillna("").str.lower()
-    return pd.DataFrame({"long": texts.str.len() >= 20, "terms": [[{"term": t, "n": n} for t, n in sorted(Counter(ts).items())] for ts in _terms(texts)]})
+#: So many texts are counted at once: a Python worker holds the terms of these, whatever a batch brings.
+TEXTS = 256
+
+
+def tallies(texts: list[str | None]) -> Iterator[list[tuple[str, int]]]:
+    """Of each text its terms, sorted, with how often each occurs; a null text has none."""
+    for t in texts:
+        words = WORD.findall((t or "").lower())
+        yield sorted(Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])]).items())
+
+
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """counted_terms() of a batch whose last column is the text, a few texts at once."""
+    for at in range(0, batch.num_rows, TEXTS):
+        part = batch.slice(at, TEXTS)
+        texts = part.column(part.num_columns - 1).to_pylist()
+        found = list(tallies(texts))
+        pairs = pa.StructArray.from_arrays([pa.array([t for f in found for t, _ in f], pa.string()), pa.array([n for f in found for _, n in f], pa.int64())], names=["term", "n"])
+        ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        long = pa.array([len((t or "").lower()) >= 20 for t in texts], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], long, pa.ListArray.from_arrays(ends, pairs)], names=[*part.schema.names[:-1], "long", "terms"])
+
+
+def counted_terms(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """keep, long (whether a text has 20 or more characters) and terms (an array of structs term, n, sorted), a row per row."""
+    slim = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    own = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in keep)
+    return slim.mapInArrow(lambda batches: (out for batch in batches for out in _counted(batch)), f"{own}long boolean, terms array<struct<term:string,n:long>>")
 
 
 def _large_leaders(df: DataFrame, block: list[str], text: str, row_id: str, cut: float) -> DataFrame:
@@ -82,8 +113,7 @@ def _large_leaders(df: DataFrame, block: list[str], text: str, row_id: str, cut:
     first, that are needed until the rest of the vector is shorter than ``cut``; such pairs are scored in full. Then, in rounds, rows without an undecided
     earlier neighbour are kept and their neighbours go. The work grows with the pairs that are near, the rounds with the longest chain of such pairs.
     """
-    counted = F.pandas_udf(_counted, "long boolean, terms array<struct<term:string,n:long>>")
-    rows = df.select(F.col(row_id).alias("id"), F.struct(*block).alias("b"), counted(F.coalesce(F.col(text), F.lit(""))).alias("c")).select("id", "b", "c.*")
+    rows = counted_terms(df.select(F.col(row_id).alias("id"), F.struct(*block).alias("b"), F.col(text).alias("text")), "text", "id", "b")
     rows = cut_lineage(rows.withColumn("key", F.sha2(F.to_json("terms"), 256)))
     blocks = rows.groupBy("b").agg(F.count("*").alias("rows")).join(rows.where("long").select("b").distinct(), "b", "left_semi")
     vectors = rows.where(F.size("terms") > 0).groupBy("b", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("terms").alias("terms")).join(blocks, "b")

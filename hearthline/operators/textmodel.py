@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.operators.lineage import cut_lineage
-from hearthline.operators.quality import _counted
+from hearthline.operators.quality import counted_terms, tallies
 from hearthline.operators.quantiles import exact_quantiles
 
 #: The most terms of a vocabulary, the fewest documents of a term, and the components kept.
@@ -21,8 +21,7 @@ MOST_TERMS, LEAST_DOCUMENTS, COMPONENTS = 8000, 3, 60
 
 def term_counts(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """keep, term and n: how often each word of two or more letters, and each pair of such words in a row, stands in a row's text (lower case). Null and empty texts have none."""
-    counted = F.pandas_udf(_counted, "long boolean, terms array<struct<term:string,n:long>>")
-    return df.select(*keep, F.explode(counted(F.coalesce(F.col(text), F.lit("")))["terms"]).alias("x")).select(*keep, "x.*")
+    return counted_terms(df, text, *keep).select(*keep, F.inline_outer("terms")).where("term IS NOT NULL")
 
 
 def vocabulary(df: DataFrame, text: str, most: int = MOST_TERMS, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -36,6 +35,7 @@ def vocabulary(df: DataFrame, text: str, most: int = MOST_TERMS, least: int = LE
 def fold_vocabularies(df: DataFrame, text: str, fold: str, most: int = MOST_TERMS, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """fold, term, documents and idf: vocabulary() of the rows outside each fold, all folds from one count by term and fold (the totals less a fold's own)."""
     cells = term_counts(df, text, fold).groupBy("term", fold).agg(F.count("*").alias("documents"), F.sum("n").alias("n"))
+    cells = cut_lineage(cells)  # read for the totals and for the folds' own
     folds = df.groupBy(fold).agg(F.count("*").alias("own"))  # one row per fold
     folds = folds.join(F.broadcast(df.agg(F.count("*").alias("all")))).select(F.col(fold).alias("_fold"), (F.col("all") - F.col("own")).alias("rows"))
     totals = cells.groupBy("term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n")).join(F.broadcast(folds))
@@ -66,8 +66,8 @@ class TextModel:
         @F.pandas_udf("at array<int>, w array<double>")
         def vectors(texts: pd.Series) -> pd.DataFrame:
             at, w = [], []
-            for counted in _counted(texts)["terms"]:
-                own = sorted((terms[t["term"]], t["n"]) for t in counted if t["term"] in terms)
+            for counted in tallies(texts):
+                own = sorted((terms[t], n) for t, n in counted if t in terms)
                 a = np.array([i for i, _ in own], np.int32)
                 v = np.array([n for _, n in own], float) * idf[a]
                 at.append(a)

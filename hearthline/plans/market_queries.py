@@ -177,7 +177,7 @@ def attached_places(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def merged_batches(spark: SparkSession, d: str) -> DataFrame:
     """The ledger of merging conversation turns as two batches: by id, by a business key, by near texts."""
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    turns = spread(table(spark, d, "conversations"), "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
     both = turns.select("*", F.lit(0).alias("batch")).union(turns.where("id % 7 = 0").select("*", F.lit(1).alias("batch")))
     both = both.withColumn("row_id", F.col("id") * 2 + F.col("batch")).withColumn("id", F.when(F.col("id") % 3 != 0, F.col("id"))).withColumn("about", F.floor(F.length("text") / 10))
     return market.merge_batches(both, "id", F.concat_ws("|", "role", "text"), "text", ["role", "about"])[1]

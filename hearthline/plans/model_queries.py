@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.operators import regression, report, textmodel, valuation
 from hearthline.operators.market import position
 from hearthline.plans.registry import query, rounded
-from hearthline.plans.views import LISTING, listing, table
+from hearthline.plans.views import LISTING, listing, spread, table
 
 FOLDS = 4
 #: DuckDB: the fold of a text id, as valuation.fold_of() gives it.
@@ -16,7 +16,7 @@ FOLD_OF = "(('0x' || substr(md5({id}::VARCHAR), 1, 8))::BIGINT % {n})::INT"
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").withColumn("row_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    turns = spread(table(spark, d, "conversations"), "conv_id").withColumn("row_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     return turns.select("row_id", "text", valuation.fold_of(F.col("row_id"), FOLDS).alias("fold"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.functions import geo, text
 from hearthline.operators import areas, quality, quantiles, search, valuation
 from hearthline.plans.registry import QUERIES, SQL, query, rounded as _round
-from hearthline.plans.views import LISTING, PLACES, km_sql, listing, places, table
+from hearthline.plans.views import LISTING, PLACES, km_sql, listing, places, spread, table
 from hearthline.sources import files, html
 from hearthline.streaming import sightings
 
@@ -70,7 +70,7 @@ def pending_queue(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def similar_texts(spark: SparkSession, d: str) -> DataFrame:
     """Greedy TF-IDF leaders of conversation turns, in blocks of role and the text's length to ten characters."""
-    turns = table(spark, d, "conversations").withColumn("row_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).withColumn("about", F.floor(F.length("text") / 10))
+    turns = spread(table(spark, d, "conversations"), "conv_id").withColumn("row_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).withColumn("about", F.floor(F.length("text") / 10))
     return quality.similar_leaders(turns, ["role", "about"], "text")
 
 

@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.operators import textmodel, valuation
+from hearthline.operators import quality, textmodel, valuation
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +99,12 @@ def test_text_and_fold_features_in_cross_validation(spark):
     assert both.count() == 240 and all(not a & b and len(a | b) == 240 for a, b in seen)
     rates = [valuation.fold_accuracy(x).first() for x in (bare, told)]
     assert rates[1].mape < 20 < rates[0].mape and rates[1].folds == 2 and rates[1].mape_sd >= 0
+
+
+def test_terms_are_counted_in_small_batches(spark):
+    rows = [(i, None if i % 50 == 0 else f"Aa bb{i % 7} bb{i % 7} aa x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    got = {r.i: (r.long, [tuple(x) for x in r.terms]) for r in quality.counted_terms(df, "t", "i").collect()}
+    assert got[0] == (False, []) and got[1] == (False, [("aa", 2), ("aa bb1", 1), ("bb1", 2), ("bb1 aa", 1), ("bb1 bb1", 1)]) and len(got) == 1000
+    made = list(quality._counted(pa.RecordBatch.from_pydict({"i": [i for i, _ in rows], "t": [t for _, t in rows]})))
+    assert max(b.num_rows for b in made) <= 256 and sum(b.num_rows for b in made) == 1000  # a worker's memory does not grow with a batch
