@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,9 +85,19 @@ def pairs_within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
 
 
 def dense_pins(df: DataFrame, km: float = 1.0, least: int = 5, places: int = 4) -> DataFrame:
-    """Rows whose rounded place has ``least`` or more other distinct places within km."""
-    place = df.select(F.bround("lat", places).alias("lat"), F.bround("lon", places).alias("lon")).distinct()
-    near = pairs_within(place, place, km).where("l_lat <> r_lat OR l_lon <> r_lon").groupBy("l_lat", "l_lon").count().where(F.col("count") >= least)
+    """Rows whose rounded place has ``least`` or more other distinct places within km.
+
+    Places that share a cell of a diagonal below km are that near to one another, so a cell of more than ``least`` settles all of its own. Only places of cells with fewer are compared,
+    of which each cell has at most ``least``: a place is met by a bounded number of them, however dense its surroundings.
+    """
+    place = df.select(F.bround("lat", places).alias("lat"), F.bround("lon", places).alias("lon")).where((F.abs("lat") < math.inf) & (F.abs("lon") < math.inf)).distinct()
+    # a parallel is longest on the equator, so at every latitude a cell of degrees is at most this wide; its diagonal is 0.92 km
+    side = 0.65 * km / 111.32
+    own = [F.floor(F.col("lat") / side), F.floor(F.col("lon") / side)]
+    place = cut_lineage(place.withColumn("_many", F.count("*").over(Window.partitionBy(*own)) > least))
+    few = place.where("NOT _many").select("lat", "lon")
+    near = pairs_within(few, place.select("lat", "lon"), km).where("l_lat <> r_lat OR l_lon <> r_lon").groupBy("l_lat", "l_lon").count().where(F.col("count") >= least)
+    near = near.select("l_lat", "l_lon").unionByName(place.where("_many").select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon")))
     on = (F.bround("lat", places) == F.col("l_lat")) & (F.bround("lon", places) == F.col("l_lon"))
     return df.join(near, on, "left_semi")
 
