@@ -24,23 +24,33 @@ def _wanted(n: Column, q: Wanted) -> tuple[Column, Column, Column]:
     return F.floor(at) + 1, F.ceil(at) + 1, at - F.floor(at)
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, Wanted], most: int = 200_000, buckets: int = 256) -> DataFrame:
+def _cuts_below(df: DataFrame, cuts: str, value: str, most: int, name: str) -> DataFrame:
+    """Adds ``name``: how many of the (at most ``most``, sorted) cuts lie below a value, found by halving; 0 without cuts."""
+    df, step = df.withColumn(name, F.lit(0)), 1 << most.bit_length() - 1
+    while step:
+        below = F.coalesce(F.get(cuts, F.col(name) + (step - 1)) < F.col(value), F.lit(False))
+        df, step = df.withColumn(name, F.col(name) + F.when(below, step).otherwise(0)), step // 2
+    return df
+
+
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, Wanted], most: int = 200_000, buckets: int = 256, count: str | None = None) -> DataFrame:
     """groups, n (rows that have a value) and one column per quantile, interpolated between the two values beside it, or per rank; a null key is a group. Without groups one row, nulls in it if there are no values.
+    ``count``: a column of how many rows a row stands for.
 
     Values are counted first, so that repeated ones cost one row. A group of more than ``most`` distinct values is parted into buckets by cuts through these, the buckets' counts
     tell which of them hold a wanted rank, and only these go on, as often as it takes; what is sorted together at last has at most ``most`` values. Cuts are approximate,
     but counted values are fixed by a checkpoint before each round, so every plan sees the same buckets.
     """
     key = F.struct(*groups) if groups else F.lit(0)
-    counted = df.where(F.col(value).isNotNull()).select(key.alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    counted = df.where(F.col(value).isNotNull()).select(key.alias("g"), F.col(value).cast("double").alias("v"), (F.col(count).cast("long") if count else F.lit(1).cast("long")).alias("c")).groupBy("g", "v").agg(F.sum("c").alias("c"))
     counted = cut_lineage(counted)
     totals = counted.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("size"))
     state = counted.withColumn("b", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))
     ranks = lambda n: F.array(*(r for q in quantiles.values() for r in _wanted(n, q)[:2]))
     while (state.groupBy("g", "b").count().agg(F.max("count")).first()[0] or 0) > most:
         sized = state.groupBy("g", "b").agg(F.count("*").alias("size"), F.percentile_approx("v", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 20 * buckets).alias("cuts"))
-        cuts = sized.select("g", "b", F.when(F.col("size") > most, F.col("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts"))
-        parted = state.join(cuts, ["g", "b"]).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+        cuts = sized.where(F.col("size") > most).select("g", "b", "cuts")  # a row per ``most`` values at most
+        parted = _cuts_below(state.join(F.broadcast(cuts), ["g", "b"], "left"), "cuts", "v", buckets - 1, "part").drop("cuts")
         parted = cut_lineage(parted)
         sums = parted.groupBy("g", "b", "before", "part").agg(F.sum("c").alias("s"))
         inside = Window.partitionBy("g", "b").orderBy("part")
