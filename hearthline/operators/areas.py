@@ -13,22 +13,26 @@ from hearthline.operators.lineage import cut_lineage
 from hearthline.operators.quantiles import exact_quantiles
 
 
-def quantile_table(df: DataFrame, groups: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 1) -> DataFrame:
-    """groups, n and q25, q50, ... (exact, interpolated) of groups with ``least`` or more values; null keys are no group."""
+def quantile_table(df: DataFrame, groups: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 1, count: str | None = None) -> DataFrame:
+    """groups, n and q25, q50, ... (exact, interpolated) of groups with ``least`` or more values; null keys are no group. ``count``: a column of how many rows a row stands for."""
     known = reduce(lambda a, b: a & b, (F.col(g).isNotNull() for g in groups))
-    agg = exact_quantiles(df.where(known), groups, value, {f"q{round(100 * q):02d}": q for q in quantiles})
+    agg = exact_quantiles(df.where(known), groups, value, {f"q{round(100 * q):02d}": q for q in quantiles}, count=count)
     if least < 1:  # groups without a value have a row too
         agg = df.where(known).select(*groups).distinct().join(agg, groups, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return agg.where(F.col("n") >= least)
 
 
 def ward_table(df: DataFrame, least: int = 20) -> DataFrame:
-    """Per ward (ward, district, price): n, quartiles, majority district (of equals the first by name), gap to the city's median and spread in per cent, rank by median; wards of fewer than ``least`` are left out."""
-    stats = quantile_table(df, ["ward"], "price", least=least)
-    votes = df.groupBy("ward", "district").count()
+    """Per ward (ward, district, price): n, quartiles, majority district (of equals the first by name), gap to the city's median and spread in per cent, rank by median; wards of fewer than ``least`` are left out.
+
+    df is read once: all comes from the counts of its equal rows.
+    """
+    df = cut_lineage(df.groupBy("ward", "district", F.col("price").cast("double").alias("price")).count())
+    stats = quantile_table(df, ["ward"], "price", least=least, count="count")
+    votes = df.groupBy("ward", "district").agg(F.sum("count").alias("count"))
     first = F.row_number().over(Window.partitionBy("ward").orderBy(F.desc("count"), F.asc_nulls_last("district")))
     majority = votes.withColumn("_r", first).where("_r = 1").select("ward", "district")
-    city = exact_quantiles(df, [], "price", {"city": 0.5}).select("city")
+    city = exact_quantiles(df, [], "price", {"city": 0.5}, count="count").select("city")
     out = stats.join(majority, "ward", "left").join(F.broadcast(city))
     out = out.withColumn("gap", 100 * (F.col("q50") / F.col("city") - 1)).withColumn("spread", 100 * (F.col("q75") - F.col("q25")) / F.col("q50"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("q50"), "ward"))).drop("city")
