@@ -50,7 +50,7 @@ def _priced(spark: SparkSession, d: str) -> DataFrame:
     rows = listing(spark, d).where("price > 0").withColumn("fold", valuation.fold_of(F.col("row_id")))
     cells = rows.groupBy("ward", "fold").agg(F.sum(F.round(F.col("price") * 100).cast("long")).alias("s"), F.count("*").alias("n"))  # cents, so that sums are exact
     others = cells.groupBy("ward").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n")).join(cells, "ward").select("ward", "fold", ((F.col("all_s") - F.col("s")) / (100 * (F.col("all_n") - F.col("n")))).alias("predicted"))
-    return rows.join(others, ["ward", "fold"]).withColumns({"low": 0.5 * F.col("predicted"), "high": 1.6 * F.col("predicted")})
+    return rows.join(F.broadcast(others), ["ward", "fold"]).withColumns({"low": 0.5 * F.col("predicted"), "high": 1.6 * F.col("predicted")})
 
 
 _KEYED = "(SELECT *, 'all' AS level, 'all' AS key FROM p UNION ALL SELECT *, 'branch', segment FROM p UNION ALL SELECT *, 'district', segment || ' / ' || district FROM p UNION ALL SELECT *, 'ward', segment || ' / ' || district || ' / ' || ward FROM p)"
