@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.operators.lineage import cut_lineage
+from hearthline.operators.lineage import cut_lineage, over_cores
 from hearthline.operators.quantiles import exact_quantiles
 from hearthline.operators.textmodel import COMPONENTS, fit_text
 
@@ -125,15 +125,16 @@ def fit(df: DataFrame, numbers: list[str], categories: list[str], alpha: float =
     """
     text = F.col(row_id).cast("string")
     base = df.where("price > 0").withColumn("y", F.log1p("price")).withColumn("calibrate", fold_of(F.concat(F.lit("c"), text), 4) == 0).withColumn("part", fold_of(F.concat(F.lit("p"), text), folds))
+    base = cut_lineage(over_cores(base, row_id))
     fitted, held = base.where("NOT calibrate"), base.where("calibrate")
-    known = fitted.agg(F.avg("y").alias("_overall"), *(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in numbers)).first()
+    known = fitted.agg(F.count("*").alias("_rows"), F.avg("y").alias("_overall"), *(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in numbers)).first()
     medians, overall = {c: float(known[c] or 0.0) for c in numbers}, float(known["_overall"] or 0.0)
     inputs = [*numbers, *(f"{c}_missing" for c in numbers), *(f"enc_{c}" for c in categories)]
     train, tables = fitted, {}
     for c in categories:
         tables[c] = encoding_table(fitted, c, F.col("y")).select("_key", F.col("enc").alias(f"enc_{c}"))
         train = encode(train, c, F.col("y"), fold="part").fillna(overall, [f"enc_{c}"])
-    train = _features(train, numbers, medians, inputs)
+    train = cut_lineage(over_cores(_features(train, numbers, medians, inputs), row_id, known["_rows"]))  # every level of every tree passes over these
     model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=42, predictionCol="p").fit(train)
     out = Appraiser(numbers, categories, medians, overall, tables, model, train.limit(0), train)
     scores = model.transform(out.features(held)).select(F.abs(F.col("y") - F.col("p")).alias("s"))
@@ -149,7 +150,7 @@ def cross_validated(
     ``text``: a column whose TF-IDF components, fitted to the other folds' texts, join the numbers. ``by_fold``: a function of the other folds' rows and the fold's own that gives
     both back with more columns, for features made of other rows' prices; those named in ``numbers`` or ``categories`` are used.
     """
-    base, out = df.where("price > 0").withColumn("fold", fold_of(F.col(row_id), folds)), None
+    base, out = cut_lineage(over_cores(df.where("price > 0").withColumn("fold", fold_of(F.col(row_id), folds)), row_id)), None
     for k in range(folds):
         train, test, more = base.where(f"fold <> {k}"), base.where(f"fold = {k}"), []
         if by_fold:
@@ -158,7 +159,6 @@ def cross_validated(
             model = fit_text(train, text, components)
             more = [f"txt_{i}" for i in range(model.loadings.shape[1])]
             train, test = model.transform(train, text), model.transform(test, text)
-        train = cut_lineage(train)  # read by every step of the fit
         appraiser = fit(train, [*numbers, *more], categories, alpha, row_id, trees, depth, folds)
         part = appraiser.price(test).select(row_id, "price", "fold", "predicted", "low", "high")
         out = part if out is None else out.unionByName(part)
@@ -173,6 +173,7 @@ def fold_accuracy(df: DataFrame, fold: str = "fold") -> DataFrame:
 def quantile_forest(train: DataFrame, test: DataFrame, inputs: list[str], target: str, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95), trees: int = 10, row_id: str = "row_id") -> DataFrame:
     """row_id with q05, q50, ...: quantiles of the training targets in a row's leaves, averaged over the trees of a random forest. Leaves are joined, so no row's neighbours pass through the driver."""
     ready = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
+    train = cut_lineage(over_cores(train, row_id) if row_id in train.columns else train)
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=6, seed=42, leafCol="leaf").fit(ready.transform(train))
     def split(df: DataFrame, *keep: str) -> DataFrame:
         return model.transform(ready.transform(df)).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.operators import areas, quantiles, report
+from hearthline.operators import areas, quantiles, report, valuation
 
 
 def test_places_of_dense_cells_are_not_compared(spark, monkeypatch):
@@ -41,5 +41,15 @@ def _listings(spark):
 ], ids=["ward_table", "metrics_report", "branch_report"])
 def test_rows_are_read_once(spark, made):
     out = made(_listings(spark))
-    assert "Range (" not in out._jdf.queryExecution().analyzed().toString()
+    assert "Range (0, 400" not in out._jdf.queryExecution().analyzed().toString()
     assert out.count() > 0
+
+
+def test_trees_are_fitted_by_many_tasks(spark):
+    """A file of one part, and categories of a few keys: the rows that trees pass over are dealt by their number, alike in every run."""
+    rows = spark.range(0, 45_000, 1, 1).select(F.col("id").alias("row_id"), (F.col("id") % 50).cast("double").alias("size"), F.concat(F.lit("b"), F.col("id") % 3).alias("brand"))
+    rows = rows.withColumn("price", 10 + F.col("size") * (1 + F.col("row_id") % 3))
+    a = valuation.fit(rows, ["size"], ["brand"], trees=2, depth=2)
+    assert a.train.rdd.getNumPartitions() == 2 and a.train.count() == rows.where(valuation.fold_of(F.concat(F.lit("c"), F.col("row_id").cast("string")), 4) != 0).count()
+    again = valuation.fit(rows.repartition(5), ["size"], ["brand"], trees=2, depth=2)
+    assert again.model.toDebugString.split("\n", 1)[1] == a.model.toDebugString.split("\n", 1)[1]
