@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions.geo import RADIUS_KM, cell, haversine_km, in_polygons, plane_km
 from hearthline.operators.lineage import cut_lineage
-from hearthline.operators.quantiles import exact_quantiles
+from hearthline.operators.quantiles import exact_quantiles, median_places
 
 
 def quantile_table(df: DataFrame, groups: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 1, count: str | None = None) -> DataFrame:
@@ -207,12 +207,11 @@ def nearest_centre(points: DataFrame, centres: DataFrame, row_id: str = "row_id"
 def cascade(df: DataFrame, levels: list[tuple[str, list[str]]], least: int = 3) -> DataFrame:
     """Adds lat_found, lon_found, level and support: own coordinates ('own'), else the median of the rows with coordinates that share the first level's keys, and so on; level is null if none has ``least`` rows.
 
-    ``levels``: (name, keys), the finest first. Each level is one grouped median and one join; a null key matches nothing.
+    ``levels``: (name, keys), the finest first. The medians of all levels are found together, and each level is one join; a null key matches nothing.
     """
-    known = df.where("lat IS NOT NULL AND lon IS NOT NULL")
     out = df
-    for i, (_, keys) in enumerate(levels):
-        table = known.dropna(subset=keys).groupBy(*keys).agg(F.median("lat").alias(f"_lat{i}"), F.median("lon").alias(f"_lon{i}"), F.count("*").alias(f"_n{i}")).where(F.col(f"_n{i}") >= least)
+    for i, ((_, keys), table) in enumerate(zip(levels, median_places(df, [keys for _, keys in levels]))):
+        table = table.where(F.col("n") >= least).withColumnsRenamed({c: f"_{c}{i}" for c in ("lat", "lon", "n")})
         out = out.join(table, keys, "left")
     own = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     pick = lambda first, cols: F.coalesce(F.when(own, first), *cols)

@@ -11,7 +11,7 @@ from hearthline.functions.geo import haversine_km, in_box
 from hearthline.functions.text import fold, ward_key
 from hearthline.operators.areas import contains
 from hearthline.operators.lineage import cut_lineage
-from hearthline.operators.quantiles import column_quantiles, exact_quantiles
+from hearthline.operators.quantiles import column_quantiles, exact_quantiles, median_places
 from hearthline.operators.quality import keep_first, similar_leaders
 
 #: Positional error in kilometres that smoothing starts from, and where none is known.
@@ -134,16 +134,15 @@ def level_report(df: DataFrame, level: str = "level") -> DataFrame:
 
 def place_table(df: DataFrame, keys: list[str], precise: Column | None = None, least: int = 3) -> DataFrame:
     """keys, lat, lon and n: the median place of rows with coordinates (of those that are ``precise``), for keys of ``least`` rows or more; a null key has none."""
-    known = df.where("lat IS NOT NULL AND lon IS NOT NULL").dropna(subset=keys)
-    known = known.where(precise) if precise is not None else known
-    return known.groupBy(*keys).agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return median_places(df.where(precise) if precise is not None else df, [keys])[0].where(F.col("n") >= least)
 
 
 def complete_places(requests: DataFrame, known: DataFrame, levels: list[tuple[str, list[str]]], least: int = 3) -> DataFrame:
     """Requests with lat, lon and level: their own pin, else the place of the first level whose keys ``known`` has ``least`` rows of."""
     out = requests.withColumn("_pin", F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    for i, (_, keys) in enumerate(levels):
-        out = out.join(place_table(known, keys, least=least).select(*keys, F.col("lat").alias(f"_lat{i}"), F.col("lon").alias(f"_lon{i}")), keys, "left")
+    tables = median_places(known, [keys for _, keys in levels])
+    for i, ((_, keys), table) in enumerate(zip(levels, tables)):
+        out = out.join(table.where(F.col("n") >= least).select(*keys, F.col("lat").alias(f"_lat{i}"), F.col("lon").alias(f"_lon{i}")), keys, "left")
     pick = lambda own, cols: F.coalesce(F.when(F.col("_pin"), own), *cols)
     n = range(len(levels))
     out = out.withColumn("level", pick(F.lit("pin"), [F.when(F.col(f"_lat{i}").isNotNull(), F.lit(name)) for i, (name, _) in enumerate(levels)]))
@@ -162,7 +161,8 @@ def assign_places(df: DataFrame, reference: DataFrame, levels: list[tuple[str, l
     if listing_id:
         one = known.where(F.col(listing_id).isNotNull()).groupBy(listing_id).agg(F.min(F.struct("lat", "lon")).alias("_p"))
         steps.append(("id", [listing_id], one.select(listing_id, F.col("_p.lat").alias("la"), F.col("_p.lon").alias("lo"), F.lit(1).cast("long").alias("n"))))
-    steps += [(name, keys, known.dropna(subset=keys).groupBy(*keys).agg(F.median("lat").alias("la"), F.median("lon").alias("lo"), F.count("*").alias("n"))) for name, keys in levels]
+    tables = median_places(known, [keys for _, keys in levels])
+    steps += [(name, keys, table.withColumnsRenamed({"lat": "la", "lon": "lo"})) for (name, keys), table in zip(levels, tables)]
     for i, (_, keys, found) in enumerate(steps):
         out = out.join(found.withColumnsRenamed({c: f"_{c}{i}" for c in ("la", "lo", "n")}), keys, "left")
     pick = lambda first, c: F.coalesce(F.when(F.col("_own"), first), *(F.when(~F.col("_own"), F.col(f"_{c}{i}")) for i in range(len(steps))))
@@ -178,9 +178,9 @@ def audit_places(df: DataFrame, reference: DataFrame, listing_id: str, levels: l
     truth = place.groupBy(listing_id).agg(F.min(F.struct("lat", "lon")).alias("truth"))
     blank = df.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}).join(truth, listing_id)
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("truth.lat"), F.col("truth.lon"))
-    found = assign_places(blank, reference, levels).withColumn("km", km).where("level IS NOT NULL")
+    found = cut_lineage(assign_places(blank, reference, levels).withColumn("km", km).where("level IS NOT NULL").select("level", "km"))
     shares = [F.avg((F.col("km") <= most).cast("double")).alias(name) for most, name in ((0.5, "within_500m"), (1.0, "within_1km"), (2.0, "within_2km"))]
-    return found.groupBy("level").agg(F.count("*").alias("n"), F.median("km").alias("q50"), F.percentile("km", F.lit(0.9)).alias("q90"), *shares)
+    return found.groupBy("level").agg(F.count("*").alias("n"), *shares).join(exact_quantiles(found, ["level"], "km", {"q50": 0.5, "q90": 0.9}).drop("n"), "level", "left").select("level", "n", "q50", "q90", "within_500m", "within_1km", "within_2km")
 
 
 def position(df: DataFrame, price: str = "price", predicted: str = "predicted", low: str = "low", high: str = "high") -> DataFrame:

@@ -77,6 +77,28 @@ def column_quantiles(df: DataFrame, columns: list[str], quantiles: dict[str, Wan
     return exact_quantiles(long, ["column"], "v", quantiles, **how)
 
 
+def median_places(df: DataFrame, levels: list[list[str]], **how) -> list[DataFrame]:
+    """For each level's keys a table of them, lat, lon and n: the exact median place of the rows with coordinates, for groups of any size; a null key is none.
+
+    All levels and both axes are groups of one long table, so their medians are found together.
+    """
+    if not levels:
+        return []
+    known, names = df.where("lat IS NOT NULL AND lon IS NOT NULL"), list(dict.fromkeys(k for keys in levels for k in keys))
+
+    def group(i: int, keys: list[str]) -> Column:
+        own = F.struct(F.lit(i).alias("_level"), *((F.col(k) if k in keys else F.lit(None).cast(df.schema[k].dataType)).alias(f"k_{k}") for k in names))
+        return F.when(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.lit(True)), own)
+
+    long = known.select("lat", "lon", F.explode(F.filter(F.array(*(group(i, keys) for i, keys in enumerate(levels))), lambda g: g.isNotNull())).alias("g"))
+    long = long.select("g.*", F.explode(F.array(*(F.struct(F.lit(c).alias("_axis"), F.col(c).cast("double").alias("v")) for c in ("lat", "lon")))).alias("x")).select("*", "x.*").drop("x")
+    by = ["_level", *(f"k_{k}" for k in names)]
+    middle = exact_quantiles(long, [*by, "_axis"], "v", {"m": 0.5}, **how)
+    found = middle.groupBy(*by).agg(*(F.max(F.when(F.col("_axis") == c, F.col("m"))).alias(c) for c in ("lat", "lon")), F.max("n").alias("n"))
+    found = cut_lineage(found)  # a row per group; every level reads it
+    return [found.where(F.col("_level") == i).select(*(F.col(f"k_{k}").alias(k) for k in keys), "lat", "lon", "n") for i, keys in enumerate(levels)]
+
+
 def beside_group(df: DataFrame, table: DataFrame, groups: list[str]) -> DataFrame:
     """df with the columns of table (one row per group), a null key equal to a null key."""
     if not groups:

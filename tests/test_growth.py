@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.operators import areas, quantiles, report, valuation
+from hearthline.operators import areas, market, quantiles, report, valuation
 
 
 def test_places_of_dense_cells_are_not_compared(spark, monkeypatch):
@@ -53,3 +53,34 @@ def test_trees_are_fitted_by_many_tasks(spark):
     assert a.train.rdd.getNumPartitions() == 2 and a.train.count() == rows.where(valuation.fold_of(F.concat(F.lit("c"), F.col("row_id").cast("string")), 4) != 0).count()
     again = valuation.fit(rows.repartition(5), ["size"], ["brand"], trees=2, depth=2)
     assert again.model.toDebugString.split("\n", 1)[1] == a.model.toDebugString.split("\n", 1)[1]
+
+
+def _pinned(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, None if i % 11 == 0 else f"w{i % 3}", i % 2, None if i % 7 == 0 else float(a), None if i % 13 == 0 else float(b)) for i, (a, b) in enumerate(rng.uniform(20, 22, (300, 2)))]
+    return rows, spark.createDataFrame(rows, "row_id long, ward string, district int, lat double, lon double")
+
+
+def test_median_places_of_any_size(spark):
+    rows, df = _pinned(spark)
+    wards, both, districts = quantiles.median_places(df, [["ward"], ["district", "ward"], ["district"]], most=4, buckets=4)
+    for got, keys in ((wards, [1]), (both, [2, 1]), (districts, [2])):
+        cells = {}
+        for r in rows:
+            if all(r[k] is not None for k in keys) and r[3] is not None and r[4] is not None:
+                cells.setdefault(tuple(r[k] for k in keys), []).append(r[3:])
+        want = {k: (*np.median(v, axis=0), len(v)) for k, v in cells.items()}
+        found = {tuple(r)[: len(keys)]: tuple(r)[len(keys):] for r in got.collect()}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+    assert quantiles.median_places(df, []) == []
+
+
+@pytest.mark.parametrize("made", [
+    lambda df: market.place_table(df, ["ward"], F.col("row_id") > 5), lambda df: market.complete_places(df, df, [("ward", ["district", "ward"])]), lambda df: market.assign_places(df, df, [("ward", ["ward"])]),
+    lambda df: areas.cascade(df, [("ward", ["ward"])]), lambda df: market.audit_places(df, df, "row_id", [("ward", ["ward"])]),
+], ids=["place_table", "complete_places", "assign_places", "cascade", "audit_places"])
+def test_medians_of_places_hold_no_group(spark, made):
+    out = made(_pinned(spark)[1])
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "median(" not in plan and "percentile(" not in plan
+    assert out.count() > 0
