@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,12 +161,145 @@ def nearest(df: DataFrame, base: DataFrame, k: int, km: float | None = None, row
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: How many places are compared with points of interest at a time, and how many of these share bounds of their distances.
+CHUNK, GROUP = 4096, 64
+
+
+def _haversine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """haversine_km of rows (lat, lon)."""
+    lat1, lon1, lat2, lon2 = (np.radians(v) for v in (a[:, 0], a[:, 1], b[:, 0], b[:, 1]))
+    h = np.sin(np.radians(b[:, 0] - a[:, 0]) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(np.radians(b[:, 1] - a[:, 1]) / 2) ** 2
+    return 2 * RADIUS_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+
+def _chord(km: float) -> float:
+    """The square of the straight distance between places km apart on the ground."""
+    return (2 * RADIUS_KM * math.sin(min(km / (2 * RADIUS_KM), math.pi / 2))) ** 2
+
+
+class _Around:
+    """Up to CHUNK places, and how many points of each kind were seen within km of each, and the nearest of them.
+
+    Places are dealt to groups of GROUP neighbours. A point that is within km of all of a group's box counts for all of its places at once, one beyond km of the box for none; only what
+    lies on the edge is compared place by place, and for the nearest what lies no further than the box's furthest corner from another point of the kind.
+    """
+
+    def __init__(self, places: np.ndarray, kinds: int, km: float) -> None:
+        strips = max(1, round(math.sqrt(len(places) / GROUP)))
+        strip = np.argsort(np.argsort(places[:, 0], kind="stable")) * strips // len(places)
+        self.places, self.km, self.limit, self.slack = places[np.lexsort((places[:, 1], strip))], km, _chord(km), 1e-6 * (1 + km)
+        ends = np.cumsum(np.bincount(strip))  # no group goes on in another strip, or its box would be as long as both
+        self.groups = [slice(i, min(i + GROUP, end)) for start, end in zip([0, *ends[:-1]], ends) for i in range(start, end, GROUP)]
+        self.low, self.high = (np.array([f(self.places[g, 2:], axis=0) for g in self.groups]) for f in (np.min, np.max))
+        self.count, self.near = np.zeros((len(places), kinds), np.int64), np.full((len(places), kinds), np.inf)
+        self.reach = np.full((len(self.groups), kinds), self.limit + self.slack)
+
+    def see(self, kind: np.ndarray, n: np.ndarray, points: np.ndarray) -> None:
+        """Points (lat, lon, x, y, z) with their kinds and how often each is there."""
+        order = np.argsort(kind, kind="stable")
+        kind, n, points = kind[order], n[order], points[order]
+        own, first = np.unique(kind, return_index=True)
+        weight = np.zeros((len(kind), self.count.shape[1]))
+        weight[np.arange(len(kind)), kind] = n
+        least, most = (np.zeros((len(self.groups), len(kind))) for _ in range(2))
+        for i in range(3):
+            under, over = self.low[:, i, None] - points[None, :, 2 + i], points[None, :, 2 + i] - self.high[:, i, None]
+            least += np.maximum(np.maximum(under, over), 0.0) ** 2
+            most += np.minimum(under, over) ** 2  # the further side of the box: both are negative inside it
+        self.reach[:, own] = np.minimum(self.reach[:, own], np.minimum.reduceat(most, first, axis=1) + self.slack)
+        inside = most <= self.limit - self.slack
+        whole = np.rint(inside @ weight).astype(np.int64)
+        edge, close = (least <= self.limit + self.slack) & ~inside, least <= self.reach[:, kind]
+        for g, group in enumerate(self.groups):
+            self.count[group] += whole[g]
+            places = self.places[group]
+            at = np.flatnonzero(edge[g])
+            if len(at):
+                square = sum((places[:, 2 + i, None] - points[None, at, 2 + i]) ** 2 for i in range(3))
+                within = square <= self.limit
+                a, b = np.nonzero(np.abs(square - self.limit) <= self.slack)
+                within[a, b] = _haversine(places[a], points[at[b]]) <= self.km
+                self.count[group] += np.rint(within @ weight[at]).astype(np.int64)
+            at = np.flatnonzero(close[g])
+            if len(at):
+                a, b = np.divmod(np.arange(len(places) * len(at)), len(at))
+                away = _haversine(places[a], points[at[b]]).reshape(len(places), len(at))
+                of, start = np.unique(kind[at], return_index=True)
+                self.near[group, of] = np.minimum(self.near[group, of], np.minimum.reduceat(away, start, axis=1))
+
+    def rows(self) -> pd.DataFrame:
+        near = np.where(self.near <= self.km, self.near, np.nan)
+        return pd.DataFrame({"lat": self.places[:, 0], "lon": self.places[:, 1], "count": list(self.count), "near": list(near)})
+
+
+def _counted(batches: Iterator[pd.DataFrame], kinds: int, km: float) -> Iterator[pd.DataFrame]:
+    """Rows sorted by cell and chunk, places (kind -1) before points: a row per place with counts and distances by kind. One chunk of places and one batch of points are held at a time."""
+    key, places, around = None, [], None
+    for batch in batches:
+        ids, kind, n, at = batch[["cell", "chunk"]].to_numpy(), batch["kind"].to_numpy(), batch["n"].to_numpy(), batch[["lat", "lon", "x", "y", "z"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)]) if len(ids) else []
+        for start, end in zip(starts, [*starts[1:], len(ids)]):
+            if key != tuple(ids[start]):
+                if around:
+                    yield around.rows()
+                key, places, around = tuple(ids[start]), [], None
+            split = start + int((kind[start:end] < 0).sum())
+            if split > start:
+                places.append(at[start:split])
+            if end > split and places:
+                around = around or _Around(np.concatenate(places), kinds, km)
+                around.see(kind[split:end], n[split:end], at[split:end])
+    if around:
+        yield around.rows()
+
+
 def poi_features(df: DataFrame, poi: DataFrame, kinds: tuple[str, ...], km: float, row_id: str = "row_id") -> DataFrame:
-    """row_id with near_<kind> (kilometres to the nearest, null beyond km) and count_<kind> for each kind of poi (kind, lat, lon)."""
-    pairs = pairs_within(df.select(row_id, "lat", "lon"), poi.select("kind", "lat", "lon"), km)
-    agg = [e for k in kinds for e in (F.min(F.when(F.col("r_kind") == k, F.col("km"))).alias(f"near_{k}"), F.count_if(F.col("r_kind") == k).alias(f"count_{k}"))]
-    out = df.select(row_id).join(pairs.groupBy(F.col(f"l_{row_id}").alias(row_id)).agg(*agg), row_id, "left")
-    return out.fillna(0, [f"count_{k}" for k in kinds])
+    """row_id with near_<kind> (kilometres to the nearest, null beyond km) and count_<kind> for each kind of poi (kind, lat, lon).
+
+    Equal places are one, and so are equal points of a kind. Places of a cell go to tasks by CHUNK, with the points no further than km from the chunk's box, in batches; only those near the edge of a
+    circle are compared one by one (_Around). Cells are cubes, so that every latitude is served alike.
+    """
+    finite = (F.abs("lat") < math.inf) & (F.abs("lon") < math.inf)
+    xyz = [c.alias(n) for n, c in zip("xyz", _cube("lat", "lon"))]
+    level = min(18, max(0, math.floor(math.log2(2 * CUBE_KM / (1.0001 * km)))))
+    side = CUBE_KM / 2**level
+
+    def number(size: float, shift: tuple[Column | int, ...] = (0, 0, 0)) -> Column:
+        at = [F.floor(F.col(c) / size) + d for c, d in zip("xyz", shift)]
+        return F.shiftleft(at[0], 42) + F.shiftleft(at[1], 21) + at[2]
+
+    place = df.select("lat", "lon").where(finite).distinct().select("lat", "lon", *xyz).withColumn("cell", number(side))
+    inside = Window.partitionBy("cell").orderBy(number(side / 4), "lat", "lon")
+    place = cut_lineage(place.withColumn("chunk", F.floor((F.row_number().over(inside) - 1) / CHUNK)))
+    kind = (F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")) - 1).cast("int")
+    point = poi.select(kind.alias("kind"), "lat", "lon").where(finite & (F.col("kind") >= 0)).groupBy("kind", "lat", "lon").agg(F.count("*").alias("n"))
+    point = cut_lineage(point.select("kind", "n", "lat", "lon", *xyz).withColumn("cell", number(side)))
+
+    def boxes(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(*(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))))
+
+    # chunks beside the cells of points that may be within reach, then beside their points
+    reach = math.floor(1.0001 * km / side) + 1
+    steps = F.array(*map(F.lit, range(-reach, reach + 1)))
+    cells = boxes(point, "cell").withColumnsRenamed({f"{n}_{c}": f"p_{n}_{c}" for c in "xyz" for n in ("low", "high")}).withColumnRenamed("cell", "at")
+    moved = cells.select("*", *(F.shiftright("at", 42 - 21 * i).bitwiseAND(F.lit(2**21 - 1).cast("long")).alias(f"g{c}") for i, c in enumerate("xyz")))
+    for c in "xyz":
+        moved = moved.withColumn("d", F.explode(steps)).withColumn(f"g{c}", F.col(f"g{c}") + F.col("d")).where(F.col(f"g{c}") >= 0).drop("d")
+    moved = moved.withColumn("cell", F.shiftleft("gx", 42) + F.shiftleft("gy", 21) + F.col("gz")).drop("gx", "gy", "gz")
+    far = _chord(km) + 1e-6 * (1 + km)
+    away = lambda low, high: sum((F.pow(F.greatest(F.col(f"low_{c}") - high(c), low(c) - F.col(f"high_{c}"), F.lit(0.0)), F.lit(2)) for c in "xyz"), F.lit(0.0))
+    chunks = boxes(place, "cell", "chunk").join(moved, "cell").where(away(lambda c: F.col(f"p_low_{c}"), lambda c: F.col(f"p_high_{c}")) <= far)
+    chunks = chunks.select("cell", "chunk", "at", *(f"{n}_{c}" for c in "xyz" for n in ("low", "high")))
+    near = chunks.join(point.withColumnRenamed("cell", "at"), "at").where(away(F.col, F.col) <= far)
+    columns = ["cell", "chunk", "kind", "n", "lat", "lon", "x", "y", "z"]
+    rows = place.withColumns({"kind": F.lit(-1), "n": F.lit(1).cast("long")}).select(columns).unionByName(near.select(columns))
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(tasks, "cell", "chunk").sortWithinPartitions("cell", "chunk", F.col("kind") >= 0)
+    found = dealt.mapInPandas(lambda batches: _counted(batches, len(kinds), km), "lat double, lon double, count array<long>, near array<double>")
+    out = df.select(row_id, "lat", "lon").join(found, ["lat", "lon"], "left")
+    each = [c for i, k in enumerate(kinds) for c in (F.when(~F.isnan(F.col("near")[i]), F.col("near")[i]).alias(f"near_{k}"), F.coalesce(F.col("count")[i], F.lit(0).cast("long")).alias(f"count_{k}"))]
+    return out.select(row_id, *each)
 
 
 def closeness(km: Column, decay: float) -> Column:

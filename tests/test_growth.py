@@ -84,3 +84,60 @@ def test_medians_of_places_hold_no_group(spark, made):
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "median(" not in plan and "percentile(" not in plan
     assert out.count() > 0
+
+
+def _poi_features(rows, poi, kinds, km):
+    """Counts and nearest by comparing all pairs."""
+    def away(a, b):
+        la, lo, lb, lp = (np.radians(v) for v in (a[0], a[1], b[0], b[1]))
+        return 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((lp - lo) / 2) ** 2, 1)))
+
+    out = {}
+    for i, *at in rows:
+        each = []
+        for k in kinds:
+            near = [] if None in at or np.isnan(at).any() else [d for kind, *b in poi if kind == k and None not in b and (d := away(at, b)) <= km]
+            each += [min(near, default=None), len(near)]
+        out[i] = each
+    return out
+
+
+@pytest.mark.parametrize("km", [0.5, 8.0, 30.0])
+def test_points_of_interest_equal_brute_force(spark, monkeypatch, km):
+    monkeypatch.setattr(areas, "CHUNK", 50)
+    monkeypatch.setattr(areas, "GROUP", 8)
+    rng = np.random.default_rng(9)
+    rows = [(i, 21.0 + float(a) / 10, 105.8 + float(b) / 10) for i, (a, b) in enumerate(rng.normal(0, 1, (300, 2)))]
+    # equal places, the date line, the far north, a pole, and rows without a place
+    rows += [(300 + i, *rows[i][1:]) for i in range(5)] + [(400, 10.0, 179.99), (401, 69.0, 20.0), (402, 90.0, 0.0), (403, None, 105.8), (404, float("nan"), 105.8), (405, -33.0, -70.0)]
+    poi = [(f"k{i % 3}", 21.0 + float(a) / 10, 105.8 + float(b) / 10) for i, (a, b) in enumerate(rng.normal(0, 1, (200, 2)))]
+    poi += [*poi[:4], ("k0", *rows[0][1:]), ("k0", 10.0, -179.99), ("k1", 69.0, 20.15), ("k2", 89.97, 180.0), ("k1", None, 1.0), ("other", 21.0, 105.8), (None, 21.0, 105.8), ("k0", -33.0, -70.05)]
+    kinds = ("k0", "k1", "k2", "none")
+    out = areas.poi_features(spark.createDataFrame(rows, "row_id long, lat double, lon double"), spark.createDataFrame(poi, "kind string, lat double, lon double"), kinds, km)
+    assert out.columns == ["row_id", *(f"{c}_{k}" for k in kinds for c in ("near", "count"))]
+    got, want = {r[0]: list(r[1:]) for r in out.collect()}, _poi_features(rows, poi, kinds, km)
+    assert got.keys() == want.keys()
+    for i, row in want.items():
+        assert got[i] == [v if v is None else pytest.approx(v, abs=1e-9) for v in row]
+
+
+def test_points_within_a_circle_are_not_compared(monkeypatch):
+    """Of places and points in one small patch all pairs are within km: whole groups count, and distances are taken for the nearest alone, in step with the rows and not with their pairs."""
+    compared = []
+    whole = areas._haversine
+    monkeypatch.setattr(areas, "_haversine", lambda a, b: compared.append(len(a)) or whole(a, b))
+    rng = np.random.default_rng(3)
+
+    def at(n):
+        lat, lon = 21 + rng.uniform(0, 0.03, n), 105.8 + rng.uniform(0, 0.03, n)
+        a, b = np.radians(lat), np.radians(lon)
+        return np.column_stack([lat, lon, *(areas.RADIUS_KM * (1 + c) for c in (np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)))])
+
+    totals = []
+    for n in (4000, 16000):
+        around = areas._Around(at(n), 2, 8.0)
+        around.see(np.arange(2 * n) % 2, np.ones(2 * n, np.int64), at(2 * n))
+        assert (around.count == n).all() and (around.near < 1.0).all()
+        totals.append(sum(compared))
+        compared.clear()
+    assert totals[1] < 6 * totals[0]  # 4 times the rows, 16 times the pairs
