@@ -27,10 +27,10 @@ from hearthline.llm.words import M1, M2, M3, SEPARATOR, U, mix, slices, word_has
 
 #: Rounds of naming.
 ROUNDS = 3
-#: Bytes of text in a slice; a longer document is a slice of its own.
-SLICE = 4 << 20
-MADE = pa.struct([("name", pa.int64()), ("multi", pa.bool_())])
-MADE_DDL = "array<struct<name:bigint,multi:boolean>>"
+#: Bytes of text in a slice; a longer document is a slice of its own. An executor holds some slices at a time, each in Python, in Arrow buffers and as a row.
+SLICE = 2 << 20
+#: Words whose bytes are compared at once.
+COMPARED = 1 << 16
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -57,26 +57,59 @@ def distinct_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tu
     _, first, local = np.unique(word_hashes(data, begins, ends), return_index=True, return_inverse=True)
     like, size = first[local], ends - begins
     if (size == size[like]).all():
-        at = np.flatnonzero(~SEPARATOR[data])
-        if (data[at] == data[at + np.repeat(begins[like] - begins, size)]).all():
+
+        def equal(a: int) -> bool:
+            b = min(a + COMPARED, len(begins))
+            at = begins[a] + np.flatnonzero(~SEPARATOR[data[begins[a] : ends[b - 1]]])
+            return (data[at] == data[at + np.repeat(begins[like[a:b]] - begins[a:b], size[a:b])]).all()
+
+        if all(equal(a) for a in range(0, len(begins), COMPARED)):
             return local, first
     raw, place = data.tobytes(), {}
     local = np.array([place.setdefault(raw[s:e], len(place)) for s, e in zip(begins.tolist(), ends.tolist())], np.int64)
     return local, np.unique(local, return_index=True)[1]
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers, compressed by their first bytes, second bytes and so on: rows are this small in the JVM and in its shuffle, not only in files."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(b: bytes, kind: type) -> np.ndarray:
+    if not b:
+        return np.zeros(0, kind)
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(memoryview(b)[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Rising numbers, as their steps."""
-    return np.diff(x, prepend=0).astype(np.int32).tobytes()
+    return _squeeze(np.diff(x, prepend=0).astype(np.int32))
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, np.int32), dtype=np.int64)
+    return np.cumsum(_unsqueeze(b, np.int32), dtype=np.int64)
+
+
+def _pack_names(table: np.ndarray, local: np.ndarray) -> tuple[bytes, bytes]:
+    """Names table[local] as the distinct ones, those that stand most often first, and which of these stands at every place."""
+    order = np.lexsort((table, -np.bincount(local, minlength=len(table))))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return _squeeze(np.diff(table[order], prepend=U(0))), _squeeze(rank[local])
+
+
+def _unpack_names(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unsqueeze(row["table"], np.uint64), dtype=np.uint64), _unsqueeze(row["local"], np.int32)
 
 
 def _made(s: "Symbols") -> pa.ListArray:
-    made = pa.StructArray.from_arrays([pa.array(s.proposed.view(np.int64)), pa.array(s.multi)], fields=list(MADE))
-    return pa.ListArray.from_arrays([0, len(made)], made)
+    """What s proposes. The lowest bit, which is set in every name, says whether it stands at two or more places."""
+    return pa.ListArray.from_arrays([0, len(s.proposed)], pa.array((s.proposed ^ (~s.multi).astype(np.uint64)).view(np.int64)))
 
 
 def _parse(width: int):
@@ -98,7 +131,7 @@ def _parse(width: int):
                 s.propose(0)
                 row = [
                     pa.array([part << 32 | k], pa.int64()), pa.ListArray.from_arrays([0, b - a], batch.column(0).slice(a, b - a)), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (np.diff(bounds), digests[::2], digests[1::2])),
-                    pa.array([table.tobytes()], pa.binary()), pa.array([local.astype(np.int32).tobytes()], pa.binary()), _made(s),
+                    *(pa.array([x], pa.binary()) for x in _pack_names(table, local)), _made(s),
                 ]
                 yield pa.RecordBatch.from_arrays(row, names=["slice", "ids", "n", "f1", "f2", "table", "local", "made"])
                 k += 1
@@ -186,8 +219,8 @@ class Symbols:
         self.narrow()
 
     def row(self, slice_: int) -> pa.RecordBatch:
-        binary = [pa.array([x], pa.binary()) for x in (self.name.tobytes(), *map(_pack, (self.bounds, self.at, self.low, self.high)))]
-        return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), *binary, _made(self)], names=["slice", "name", "bounds", "at", "low", "high", "made"])
+        binary = [pa.array([x], pa.binary()) for x in (*_pack_names(*np.unique(self.name, return_inverse=True)), *map(_pack, (self.bounds, self.at, self.low, self.high)))]
+        return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), *binary, _made(self)], names=["slice", "table", "local", "bounds", "at", "low", "high", "made"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -203,10 +236,11 @@ def _round(r: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
+            table, local = _unpack_names(row)
             if r:
-                s = Symbols(np.frombuffer(row["name"], np.uint64), *(_unpack(row[c]) for c in ("bounds", "at", "low", "high")))
+                s = Symbols(table[local], *(_unpack(row[c]) for c in ("bounds", "at", "low", "high")))
             else:
-                s = Symbols.of_slice(np.frombuffer(row["table"], np.uint64), np.frombuffer(row["local"], np.int32), row["n"], width, [])
+                s = Symbols.of_slice(table, local, row["n"], width, [])
             s.propose(r)
             if not r and len(row["copies"]):
                 bounds = np.concatenate([[0], np.cumsum(row["n"])])
@@ -225,7 +259,8 @@ def _window_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             at, bounds = _unpack(row["at"]), np.concatenate([[0], np.cumsum(row["n"])])
-            words = np.frombuffer(row["table"], np.uint64)[np.frombuffer(row["local"], np.int32)].tobytes()
+            table, local = _unpack_names(row)
+            words = table[local].tobytes()
             hashed = [b"".join([hashlib.blake2b(words[p : p + 8 * width], digest_size=12).digest() for p in (8 * at[a : a + 100_000]).tolist()]) for a in range(0, len(at), 100_000)]
             digest = np.frombuffer(b"".join(hashed), np.dtype([("h1", "<i8"), ("h2", "<i4")]))
             doc = np.searchsorted(bounds, at, "right") - 1
@@ -270,31 +305,31 @@ def _keep(width: int):
 
 
 def named(proposals: DataFrame) -> DataFrame:
-    """From proposals (slice, at, name, multi) slice and given: the places ``at`` of those whose name is proposed at two or more places of the corpus.
+    """From proposals (slice, at, name, multi: 1 if the slice has it at two or more places, else 0) slice and given: the places ``at`` of those whose name is proposed at two or more places of the corpus.
 
     A name that very many slices propose is combined before the shuffle, and its rows of the join may be split.
     """
     places = proposals.groupBy(spread_key("name"), "name").agg(F.count("*").alias("slices"), F.max("multi").alias("multi"))
-    names = materialise(places.where("slices > 1 OR multi").select("name"))
+    names = materialise(places.where("slices > 1 OR multi > 0").select("name"))
     return materialise(proposals.select("slice", "at", "name").join(names, "name").groupBy("slice").agg(F.collect_list("at").alias("given")), drop=names)
 
 
 def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """From (id, text) two tables: windows (h1, h2, id, at, again: the document has it before) that no round ruled out, and copies (id): documents whose words are those of one with a smaller id, of which no window is listed."""
     kind = docs.schema["id"].dataType.simpleString()
-    parsed = materialise(docs.mapInArrow(_parse(width), f"slice long, ids array<{kind}>, n array<long>, f1 array<long>, f2 array<long>, table binary, local binary, made {MADE_DDL}"))
+    parsed = materialise(docs.mapInArrow(_parse(width), f"slice long, ids array<{kind}>, n array<long>, f1 array<long>, f2 array<long>, table binary, local binary, made array<long>"), wide=True)
     rows = parsed.select("slice", F.posexplode(F.arrays_zip("ids", "n", "f1", "f2")).alias("row", "d")).select("slice", "row", F.col("d.ids").alias("id"), "d.n", "d.f1", "d.f2").where("n > 0")
     first = rows.groupBy(spread_key("f1", "f2"), "f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("f1", "f2", "first")
     copied = materialise(rows.select("slice", "row", "id", "f1", "f2").join(first, ["f1", "f2"]).where("id <> first").select("slice", "row", "id"))
-    columns = f"slice long, name binary, bounds binary, at binary, low binary, high binary, made {MADE_DDL}"
+    columns = "slice long, table binary, local binary, bounds binary, at binary, low binary, high binary, made array<long>"
     state = parsed
     for r in range(ROUNDS):
-        given = named(state.select("slice", F.posexplode("made").alias("at", "m")).select("slice", "at", "m.*"))
+        given = named(state.select("slice", F.posexplode("made").alias("at", "m")).selectExpr("slice", "at", "m | 1 AS name", "m & 1 AS multi"))
         if r:
             beside = state.drop("made").join(given, "slice", "left")
         else:
             beside = parsed.select("slice", "n", "table", "local").join(given, "slice", "left").join(copied.groupBy("slice").agg(F.collect_list("row").alias("copies")), "slice", "left")
-        state = materialise(beside.mapInArrow(_round(r, width), columns), drop=state if r else None)
+        state = materialise(beside.mapInArrow(_round(r, width), columns), drop=state if r else None, wide=True)
         discard(given)
     left = parsed.select("slice", "ids", "n", "table", "local").join(state.where(F.length("at") > 0).select("slice", "at"), "slice")
     windows = materialise(left.mapInArrow(_window_rows(width), f"h1 long, h2 int, id {kind}, at int, again boolean"))

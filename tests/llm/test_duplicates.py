@@ -2,10 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearthline.llm import components, minhash, recompress, storage
@@ -144,6 +147,48 @@ def test_words_are_told_apart_by_their_bytes(monkeypatch):
         assert [words[i] for i in local] == [b"one", b"two", b"one", b"ab", b"two"]
 
 
+def test_a_slice_takes_few_megabytes_of_a_task(monkeypatch):
+    """Memory of the parser and of the first two rounds, and their largest rows, over a batch of 9 MB of text."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(60_000)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array([" ".join(rng.choices(vocabulary, k=3_500)) for _ in range(400)])], names=["id", "text"])
+    monkeypatch.setattr(recompress.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+
+    def largest(rows):
+        most, out = 0, []
+        tracemalloc.start()
+        for row in rows:
+            most = max(most, row.nbytes)
+            out.append(row)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6, peak / 1e6, out
+
+    row_mb, peak_mb, parsed = largest(recompress._parse(20)(iter([batch])))
+    assert row_mb < 3 and peak_mb < 75
+    assert sum(len(x.column("n")[0]) for x in parsed) == 400
+    state = parsed
+    for r in range(2):
+        made = [pa.array([np.arange(len(x.column("made")[0]), dtype=np.int64)], pa.list_(pa.int64())) for x in state]
+        given = [x.append_column("given", g) for x, g in zip(state, made)]
+        if not r:
+            given = [x.append_column("copies", pa.array([[]], pa.list_(pa.int64()))) for x in given]
+        row_mb, peak_mb, state = largest(recompress._round(r, 20)(iter(given)))
+        assert row_mb < 3 and peak_mb < 75
+
+
+def test_names_of_a_slice_are_read_back_as_packed():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 700):
+        table = rng.integers(0, 1 << 64, max(size // 3, size and 1), np.uint64)
+        local = rng.integers(0, max(len(table), 1), size)
+        packed = dict(zip(("table", "local"), recompress._pack_names(table, local)))
+        names, places = recompress._unpack_names(packed)
+        assert (names[places] == table[local]).all() and len(places) == size
+        rising = np.cumsum(rng.integers(0, 9, size))
+        assert (recompress._unpack(recompress._pack(rising)) == rising).all()
+
+
 def test_tables_in_the_shared_folder_can_be_swept(spark):
     kept = storage.materialise(spark.range(3))
     storage.sweep(spark)
